@@ -3,12 +3,12 @@
 Method. A document is the set of its 5-word shingles. Sets fall into size bands whose ends
 grow by 1 / 0.75; two sets of Jaccard 0.75 or more lie in one band or in neighbouring ones,
 and each set takes part in its own band and the next. In a band of largest size r such sets
-differ in at most k = (1 - 0.75) / (1 + 0.75) * 2r shingles. The shingle domain is cut into
-n = k + 1 + SLACK partitions; a set has one token for each: the fingerprint of its shingles
-there. Two similar sets have more than SLACK equal tokens. Enumerating which of them to sign
-with: tokens are ordered from rare to frequent and every set leaves out its SLACK most
-frequent; the rarest of the more than SLACK common tokens can't be left out by either set, so
-they still share a signature. That keeps passages that many documents share (and partitions
+differ in at most k = (1 - 0.75) / (1 + 0.75) * 2r shingles. The shingle domain is cut into n =
+SPARE * (k + 1) partitions; a set has one token for each: the fingerprint of its shingles
+there. Sets that differ in d shingles have at least n - d equal tokens. Enumerating which of
+them to sign with: tokens are ordered from rare to frequent and every set leaves out its most
+frequent, fewer than n - d for the largest d it may have; the rarest of the common tokens can't
+be left out by either set, so they still share a signature. That keeps passages that many documents share (and partitions
 without any shingle, the most frequent tokens of all) out of the signatures without losing a
 pair.
 
@@ -17,7 +17,8 @@ everybody: each class is held against the group's pivot, verified links merge cl
 components, and after each round only members of other components are still open. The last
 round compares what is still open between components, so no link is missed.
 
-Candidates are verified on the words themselves. Only minima, counts and verified links are
+Candidates whose bucket counts differ too much are dropped, which loses none; the others are
+verified on the words themselves. Only minima, counts and verified links are
 shuffled; ids, links and components never come to the driver.
 """
 
@@ -42,9 +43,12 @@ ALIKE, OF = 75, 100
 ROUNDS = 2
 #: A row's tag is its band and, in so many low bits, how many tokens its set leaves out.
 LEAVE_BITS = 40
-_KNOWN: dict[bytes, int] = {}
-_MOST_KNOWN = 400_000
+#: Partitions for each shingle in which sets of a band may differ; what exceeds 1 can be left out.
+SPARE = 1.3
+#: Bits of a token that are shuffled; two tokens that fall together cost a comparison, no more.
+TOKEN_BITS = 48
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
+_PLACES = 64
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -53,28 +57,57 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def words(text: str | None) -> list[bytes]:
-    """Words in lower case (A-Z alone); bytes split on exactly \\x20 and \\x09-\\x0D."""
-    return (text or "").encode().lower().split()
+def _byte_tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Byte in lower case (A-Z alone), whether it is white space, and a random number for each place and byte."""
+    low = np.arange(256, dtype=np.uint8)
+    low[65:91] += 32
+    space = np.zeros(256, bool)
+    space[[32, *range(9, 14)]] = True
+    return low, space, _mix(np.arange(1, _PLACES * 256 + 1, dtype=np.uint64) * _ODD[0])
 
 
-def shingles(text: str | None) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the shingles; of the whole sequence if it is shorter."""
-    import xxhash
+_LOW, _SPACE, _NUMBER = _byte_tables()
 
-    w = words(text)
-    if not w:
-        return np.empty(0, np.uint64)
-    if len(_KNOWN) > _MOST_KNOWN:
-        _KNOWN.clear()
-    for x in set(w).difference(_KNOWN):
-        _KNOWN[x] = xxhash.xxh3_64_intdigest(x)
-    h = np.fromiter(map(_KNOWN.__getitem__, w), np.uint64, len(w))
-    n = min(SHINGLE, len(h))
-    total = np.full(len(h) - n + 1, n, np.uint64)
-    for i in range(n):
-        total += _mix(h[i : len(h) - n + 1 + i] * _ODD[i])
-    return np.unique(_mix(total))
+
+def shingles(texts: list[str | None]) -> list[np.ndarray]:
+    """For each text the sorted distinct 64-bit hashes of its shingles; of the whole sequence if it is shorter.
+
+    All texts are hashed at once: a word's hash is the sum of numbers for its bytes and their places.
+    """
+    raws = [(t or "").encode() for t in texts]
+    data = np.frombuffer(b" ".join([b"", *raws, b""]), np.uint8)
+    ends_ = np.cumsum([len(r) + 1 for r in raws])  # place of the space after each text
+    space = _SPACE[data]
+    start = np.flatnonzero(space[:-1] & ~space[1:]) + 1
+    stop = np.flatnonzero(~space[:-1] & space[1:]) + 1
+    if not len(start):
+        return [np.empty(0, np.uint64) for _ in texts]
+    size = stop - start
+    first = np.concatenate([[0], np.cumsum(size)[:-1]])
+    place = np.arange(int(size.sum())) - np.repeat(first, size)
+    letters = _LOW[data[~space]].astype(np.int64)
+    value = _NUMBER[place % _PLACES * 256 + letters] * (2 * (place // _PLACES) + 1).astype(np.uint64)
+    h = _mix(np.add.reduceat(value, first))
+    bounds = np.searchsorted(start, ends_)
+    rolled = np.full(len(h), SHINGLE, np.uint64)
+    for i in range(SHINGLE):
+        part = _mix(h[i:] * _ODD[i])
+        rolled[: len(part)] += part
+    rolled = _mix(rolled)
+    out, at = [], 0
+    for end in bounds:
+        n = end - at
+        if n >= SHINGLE:
+            out.append(np.unique(rolled[at : end - SHINGLE + 1]))
+        elif n:
+            short = np.uint64(n)
+            for i in range(n):
+                short = short + _mix(h[at + i : at + i + 1] * _ODD[i])
+            out.append(_mix(short))
+        else:
+            out.append(np.empty(0, np.uint64))
+        at = end
+    return out
 
 
 def ends() -> list[int]:
@@ -95,54 +128,70 @@ def bands(size: int) -> tuple[int, int]:
     return own, own + 1
 
 
-def parts(band: int) -> tuple[int, int]:
-    """Number of partitions and slack of a band."""
-    k = math.floor(2 * int(_ENDS[band]) * (OF - ALIKE) / (OF + ALIKE))
-    slack = 0 if k == 0 else max(1, k // 5)
-    return k + 1 + slack, slack
+def differ(a: int, b: int) -> int:
+    """In how many shingles similar sets of these sizes differ at most."""
+    return (a + b) * (OF - ALIKE) // (OF + ALIKE)
+
+
+def parts(band: int) -> int:
+    """Number of partitions in a band."""
+    k = differ(int(_ENDS[band]), int(_ENDS[band]))
+    return math.ceil(SPARE * (k + 1)) if k else 1
 
 
 def tokens(hashes: np.ndarray) -> Iterator[tuple[int, np.ndarray, int]]:
     """For each band: its number, a set's tokens, and how many of the most frequent it leaves out.
 
-    Tokens of partitions without a shingle are the most frequent of all, by partition; what
-    doesn't fit into the slack is kept from the front.
+    A set may leave out all but 1 + the most in which it differs from a similar set of the band:
+    of the n tokens of both, at least n less that number are equal. Tokens of partitions without
+    a shingle are the most frequent of all, by partition; what doesn't fit is kept from the front.
     """
-    for band in bands(len(hashes)):
-        n, slack = parts(band)
+    own, above = bands(len(hashes))
+    for band in (own, above):
+        n, size = parts(band), len(hashes)
+        leave = n - 1 - differ(size, min(int(_ENDS[band]), size * OF // ALIKE))
         at = (_mix(hashes ^ np.uint64(0x5851F42D4C957F2D + band)) % np.uint64(n)).astype(np.int64)
         sums = np.zeros(n, np.uint64)
         np.add.at(sums, at, _mix(hashes + np.uint64(0x2545F4914F6CDD1D)))
         full = np.bincount(at, minlength=n) > 0
-        empty = np.flatnonzero(~full)
-        use = np.flatnonzero(full)
-        over = empty[: max(0, len(empty) - slack)]
-        use = np.concatenate([use, over])
+        empty, use = np.flatnonzero(~full), np.flatnonzero(full)
+        use = np.concatenate([use, empty[: max(0, len(empty) - leave)]])
         made = _mix(sums[use] ^ _mix(np.uint64(band) * np.uint64(1 << 40) + use.astype(np.uint64)))
-        yield band, made.view(np.int64), max(0, slack - len(empty))
+        yield band, (made >> np.uint64(64 - TOKEN_BITS)).view(np.int64), max(0, leave - len(empty))
+
+
+def sketch(hashes: np.ndarray) -> bytes:
+    """Shingles in each of a power of two of buckets, about three shingles a bucket."""
+    n = 1 << max(6, (len(hashes) // 3).bit_length())
+    counts = np.bincount((hashes & np.uint64(n - 1)).astype(np.int64), minlength=n)
+    return np.minimum(counts, 255).astype(np.uint8).tobytes()
+
+
+def may_match(x: bytes, y: bytes, a: int, b: int) -> bool:
+    """False only if the sketches alone show that sets of sizes a and b differ too much."""
+    u, v = np.frombuffer(x, np.uint8).astype(np.int32), np.frombuffer(y, np.uint8).astype(np.int32)
+    n = min(len(u), len(v))
+    return int(np.abs(u.reshape(-1, n).sum(0) - v.reshape(-1, n).sum(0)).sum()) <= differ(a, b)
+
+
+def _sets(texts: list[str | None]) -> Iterator[np.ndarray]:
+    for a, b in groups([t or "" for t in texts], 300_000):
+        yield from shingles(texts[a:b])
 
 
 def _fingerprints(df: DataFrame) -> DataFrame:
-    """_doc, n_shingles, _a, _b (two fingerprints of the set)."""
+    """_doc, n_shingles, _a, _b (two fingerprints of the set), _sketch."""
+    names = ["_doc", "n_shingles", "_a", "_b", "_sketch"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, a, b = [], [], []
-            for t in batch.column(1).to_pylist():
-                h = shingles(t)
-                n.append(len(h))
-                x, y = _prints(h)
-                a.append(x)
-                b.append(y)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64())],
-                names=["_doc", "n_shingles", "_a", "_b"],
-            )
-
-    kind = T.StructType(
-        [T.StructField("_doc", T.LongType()), *(T.StructField(c, T.LongType()) for c in ("n_shingles", "_a", "_b"))]
+            rows = [(len(h), *_prints(h), sketch(h)) for h in _sets(batch.column(1).to_pylist())]
+            made = [pa.array([r[i] for r in rows], k) for i, k in enumerate([pa.int64()] * 3 + [pa.binary()])]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *made], names=names)
+
+    return df.select(F.col("doc_id").cast("long").alias("_doc"), "text").mapInArrow(
+        run, "_doc bigint, n_shingles bigint, _a bigint, _b bigint, _sketch binary"
     )
-    return df.select(F.col("doc_id").cast("long").alias("_doc"), "text").mapInArrow(run, kind)
 
 
 def _prints(h: np.ndarray) -> tuple[int, int]:
@@ -161,8 +210,7 @@ def _signatures(df: DataFrame) -> DataFrame:
             texts = batch.column(0).to_pylist()
             for start, end in groups([t or "" for t in texts], 1_000_000):
                 sig, who, tag = [], [], []
-                for t in texts[start:end]:
-                    h = shingles(t)
+                for h in _sets(texts[start:end]):
                     a = _prints(h)[0]
                     if not len(h) or a in done:
                         continue
@@ -222,6 +270,19 @@ def components(edges: DataFrame) -> DataFrame:
     return nodes.unionByName(edges.select(F.col("_y").alias("_node"), F.col("_y").alias("_comp")).distinct())
 
 
+def _possible(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+    """The pairs without those whose sketches differ too much."""
+    one = lambda to: sketches.select(F.col("_node").alias(f"_{to}"), F.col("_size").alias(f"_s{to}"), F.col("_sketch").alias(f"_k{to}"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y, *sides = (batch.column(c) for c in ("_x", "_y", "_kx", "_ky", "_sx", "_sy"))
+            may = [may_match(*r) for r in zip(*(c.to_pylist() for c in sides), strict=True)]
+            yield pa.RecordBatch.from_arrays([x, y], names=["_x", "_y"]).filter(pa.array(may, pa.bool_()))
+
+    return pairs.join(one("x"), "_x").join(one("y"), "_y").select("_x", "_y", "_kx", "_ky", "_sx", "_sy").mapInArrow(run, "_x bigint, _y bigint")
+
+
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Those of the pairs _x, _y whose texts are similar."""
     t = texts.select(F.col("_id").alias("_x"), F.col("text").alias("_tx"))
@@ -240,11 +301,12 @@ def linked(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Sets and groups: (_doc, n_shingles, _a, _b of every row; _a, _b, n_shingles, _comp of every class)."""
     prints = materialise(_fingerprints(documents))
     classes = materialise(
-        prints.filter("n_shingles > 0").groupBy("_a", "_b", "n_shingles").agg(F.min("_doc").alias("_node"))
+        prints.filter("n_shingles > 0").groupBy("_a", "_b", "n_shingles").agg(F.min("_doc").alias("_node"), F.first("_sketch").alias("_sketch"))
         .filter(F.col("_node").isNotNull())
     )
     nodes = classes.select("_a", "_node", F.col("n_shingles").alias("_size"))
     members = materialise(_signed(documents).join(nodes, "_a").select("_sig", "_node", "_size"))
+    sketches = classes.select("_node", F.col("n_shingles").alias("_size"), "_sketch").dropDuplicates(["_node"])
     wanted = members.select(F.col("_node").alias("_id")).distinct()
     texts = materialise(
         documents.select(F.col("doc_id").cast("long").alias("_id"), "text").join(small_enough(materialise(wanted)), "_id", "left_semi")
@@ -262,7 +324,7 @@ def linked(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
             # first against the pivot with which a member shares most
             best = Window.partitionBy("_y").orderBy(F.desc("_n"), "_x")
             pairs = pairs.withColumn("_rank", F.row_number().over(best)).filter("_rank = 1")
-        pairs = materialise(pairs.select("_x", "_y"))
+        pairs = materialise(_possible(pairs.select("_x", "_y"), sketches))
         if pairs.isEmpty():
             continue
         tried = pairs if tried is None else tried.unionByName(pairs)
@@ -321,7 +383,8 @@ def keep_one(documents: DataFrame) -> DataFrame:
 
 
 def shingle_set(text: str | None) -> set[tuple[bytes, ...]]:
-    w = words(text)
+    """The shingles themselves; bytes split on exactly \\x20 and \\x09-\\x0D and lower A-Z alone."""
+    w = (text or "").encode().lower().split()
     return {tuple(w[i : i + SHINGLE]) for i in range(max(1, len(w) - SHINGLE + 1))} if w else set()
 
 
