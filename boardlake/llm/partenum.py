@@ -15,7 +15,7 @@ pair.
 Equal sets are one class from the start. In a signature's group nobody is paired with
 everybody: each class is held against the group's pivot, verified links merge classes into
 components, and after each round only members of other components are still open. The last
-round compares what is still open between components, so no link is missed.
+round compares what is still open between components, block by block, so no link is missed.
 
 Candidates whose bucket counts differ too much are dropped, which loses none; the others are
 verified on the words themselves. Only minima, counts and verified links are
@@ -41,6 +41,8 @@ SHINGLE = 5
 ALIKE, OF = 75, 100
 #: Rounds in which open members meet one pivot of their group before the last round.
 ROUNDS = 2
+#: Members of a block in the last round.
+BLOCK = 256
 #: A row's tag is its band and, in so many low bits, how many tokens its set leaves out.
 LEAVE_BITS = 40
 #: Partitions for each shingle in which sets of a band may differ; what exceeds 1 can be left out.
@@ -161,17 +163,21 @@ def tokens(hashes: np.ndarray) -> Iterator[tuple[int, np.ndarray, int]]:
 
 
 def sketch(hashes: np.ndarray) -> bytes:
-    """Shingles in each of a power of two of buckets, about three shingles a bucket."""
-    n = 1 << max(6, (len(hashes) // 3).bit_length())
+    """Shingles in each of a power of two of buckets, at most one shingle a bucket on average."""
+    n = 1 << max(6, len(hashes).bit_length())
     counts = np.bincount((hashes & np.uint64(n - 1)).astype(np.int64), minlength=n)
     return np.minimum(counts, 255).astype(np.uint8).tobytes()
 
 
+def folded(sketches: list[bytes], n: int) -> np.ndarray:
+    """The sketches, one a row, with n buckets each."""
+    return np.stack([np.frombuffer(x, np.uint8).reshape(-1, n).sum(0, dtype=np.int16) for x in sketches])
+
+
 def may_match(x: bytes, y: bytes, a: int, b: int) -> bool:
     """False only if the sketches alone show that sets of sizes a and b differ too much."""
-    u, v = np.frombuffer(x, np.uint8).astype(np.int32), np.frombuffer(y, np.uint8).astype(np.int32)
-    n = min(len(u), len(v))
-    return int(np.abs(u.reshape(-1, n).sum(0) - v.reshape(-1, n).sum(0)).sum()) <= differ(a, b)
+    u, v = folded([x, y], min(len(x), len(y)))
+    return int(np.abs(u - v).sum()) <= differ(a, b)
 
 
 def _sets(texts: list[str | None]) -> Iterator[np.ndarray]:
@@ -314,17 +320,19 @@ def linked(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     open_, links = members.withColumn("_comp", F.col("_node")), None
     tried = None
     for turn in range(ROUNDS + 1):
-        pairs = (_to_pivot(open_, turn) if turn < ROUNDS else _between(open_)).filter(
-            f"least(_sx, _sy) * {OF} >= greatest(_sx, _sy) * {ALIKE}"
-        )
-        pairs = pairs.groupBy("_x", "_y").agg(F.count("*").alias("_n"))
+        if turn < ROUNDS:
+            pairs = _to_pivot(open_, turn).filter(f"least(_sx, _sy) * {OF} >= greatest(_sx, _sy) * {ALIKE}")
+            pairs = pairs.groupBy("_x", "_y").agg(F.count("*").alias("_n"))
+        else:
+            pairs = _between(open_, sketches)
         if tried is not None:
             pairs = pairs.join(tried, ["_x", "_y"], "left_anti")
         if turn == 0:
             # first against the pivot with which a member shares most
             best = Window.partitionBy("_y").orderBy(F.desc("_n"), "_x")
             pairs = pairs.withColumn("_rank", F.row_number().over(best)).filter("_rank = 1")
-        pairs = materialise(_possible(pairs.select("_x", "_y"), sketches))
+        pairs = pairs.select("_x", "_y")
+        pairs = materialise(_possible(pairs, sketches) if turn < ROUNDS else pairs)
         if pairs.isEmpty():
             continue
         tried = pairs if tried is None else tried.unionByName(pairs)
@@ -351,13 +359,48 @@ def _to_pivot(members: DataFrame, turn: int) -> DataFrame:
     )
 
 
-def _between(members: DataFrame) -> DataFrame:
-    """Members of a group whose components still differ."""
-    x = members.select("_sig", *[F.col(c).alias(f"{c}x") for c in ("_node", "_comp", "_size")])
-    y = members.select("_sig", *[F.col(c).alias(f"{c}y") for c in ("_node", "_comp", "_size")])
-    return x.join(y, "_sig").filter("_compx != _compy and _nodex < _nodey").select(
-        F.col("_nodex").alias("_x"), F.col("_nodey").alias("_y"), F.col("_sizex").alias("_sx"), F.col("_sizey").alias("_sy")
+def _between(members: DataFrame, sketches: DataFrame) -> DataFrame:
+    """Pairs _x, _y of open members of different components that their sketches let pass.
+
+    Members that signatures connect, directly or through others, are a family. Families are cut
+    into blocks of BLOCK members by size, and blocks of fitting sizes are held against each
+    other in one step that returns only what passes; a task holds two blocks, however large a
+    family is.
+    """
+    pivots = members.groupBy("_sig").agg(F.min("_node").alias("_y"))
+    families = components(members.join(pivots, "_sig").select(F.col("_node").alias("_x"), "_y")).withColumnRenamed("_comp", "_family")
+    place = F.row_number().over(Window.partitionBy("_family").orderBy("_size", "_node")) - 1
+    rows = (
+        members.select("_node", "_comp").distinct().join(families, "_node").join(sketches, "_node")
+        .withColumn("_block", F.floor(place / BLOCK))
+    )
+    blocks = materialise(
+        rows.groupBy("_family", "_block").agg(  # BLOCK rows at most
+            F.min("_size").alias("_least"), F.max("_size").alias("_most"), F.min("_comp").alias("_c"), F.max("_comp").alias("_d"),
+            F.collect_list(F.struct("_node", "_comp", "_size", "_sketch")).alias("_rows"),
+        )
     )
+    x, y = blocks.alias("x"), blocks.alias("y")
+    both = x.join(y, "_family").filter(
+        f"x._block <= y._block and x._most * {OF} >= y._least * {ALIKE} and not (x._c = x._d and y._c = y._d and x._c = y._c)"
+    ).select(F.col("x._rows").alias("_rx"), F.col("y._rows").alias("_ry"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                a, b = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
+                n = min(len(r["_sketch"]) for r in (*a, *b))
+                theirs = folded([r["_sketch"] for r in b], n)
+                node, comp, size = (np.array([r[c] for r in b], np.int64) for c in ("_node", "_comp", "_size"))
+                found = []
+                for r, u in zip(a, folded([r["_sketch"] for r in a], n), strict=True):
+                    most = (r["_size"] + size) * (OF - ALIKE) // (OF + ALIKE)
+                    at = np.flatnonzero((comp != r["_comp"]) & (node != r["_node"]) & (np.abs(theirs - u).sum(1) <= most))
+                    found += [(min(r["_node"], m), max(r["_node"], m)) for m in node[at].tolist()]
+                left, right = zip(*found, strict=True) if found else ((), ())
+                yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["_x", "_y"])
+
+    return both.mapInArrow(run, "_x bigint, _y bigint").distinct()
 
 
 def report(documents: DataFrame) -> DataFrame:
