@@ -29,8 +29,22 @@ _FIRST = "struct<doc:bigint,at:int>"
 
 
 def norm(line: Column) -> Column:
-    """Lower case, ends trimmed, white space as one space."""
-    return F.trim(F.regexp_replace(F.lower(line), r"[\x20\x09-\x0D]+", " "))
+    """Lower case, without spaces, tabs and carriage returns at the ends; words are what single spaces part."""
+    return F.btrim(F.lower(line), F.lit(" \t\r"))
+
+
+def _count(line: Column) -> Column:
+    return F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) + 1
+
+
+def _front(line: Column, n: Column) -> Column:
+    """The first n words."""
+    return F.call_function("substring_index", line, F.lit(" "), n.cast("int"))
+
+
+def _back(line: Column, n: Column) -> Column:
+    """The last n words."""
+    return F.call_function("substring_index", line, F.lit(" "), -n.cast("int"))
 
 
 def _lines(documents: DataFrame) -> DataFrame:
@@ -42,7 +56,7 @@ def _lines(documents: DataFrame) -> DataFrame:
             F.posexplode(F.split(text, "\n", -1)).alias("_at", "_raw"),
         )
         .select("_doc", "_text", "_at", norm(F.col("_raw")).alias("_line"))
-        .select("*", (F.length("_line") - F.length(F.replace("_line", F.lit(" "), F.lit(""))) + 1).alias("_n"))
+        .select("*", _count(F.col("_line")).alias("_n"))
         .filter((F.col("_line") != "") & (F.col("_n") >= MIN_WORDS))
     )
 
@@ -53,12 +67,9 @@ def _halves(line: Column, n: Column) -> Column:
     keys = []
     for extra in (0, 1):
         longer = n + extra
-        left = F.expr(f"(_n + {extra} - 1) div 2").cast("int")
-        right = (longer - 1 - left).cast("int")
-        keys += [
-            F.xxhash64(F.lit(0), longer, F.call_function("substring_index", line, F.lit(" "), left)),
-            F.xxhash64(F.lit(1), longer, F.call_function("substring_index", line, F.lit(" "), -right)),
-        ]
+        left = F.expr(f"(_n + {extra} - 1) div 2")
+        right = longer - 1 - left
+        keys += [F.xxhash64(F.lit(0), longer, _front(line, left)), F.xxhash64(F.lit(1), longer, _back(line, right))]
     return F.array(*keys)
 
 
@@ -79,7 +90,7 @@ def later_lines(documents: DataFrame) -> DataFrame:
     first = materialise(
         table.groupBy("_h").agg(_first(), F.count("*").alias("_copies"), F.first("_keys").alias("_keys"))
     )
-    near = _near(lines, first)
+    near = _near(documents, first)
     odd = first.filter(F.col("_copies") > 1).select("_h", "_first").join(
         near.withColumnRenamed("_h", "_g"), F.col("_h") == F.col("_g"), "full"
     ).select(F.coalesce("_h", "_g").alias("_o"), "_first", F.coalesce("_is_near", F.lit(False)).alias("_is_near"))
@@ -90,23 +101,34 @@ def later_lines(documents: DataFrame) -> DataFrame:
     return gone.groupBy("_doc", "_text").agg(F.collect_set("_at").alias("_gone"))  # of one document
 
 
-def _near(lines: DataFrame, first: DataFrame) -> DataFrame:
+def _near(documents: DataFrame, first: DataFrame) -> DataFrame:
     """_h, _is_near (true) of the lines that have an earlier line within one edit."""
     halves = first.filter(F.col("_keys").isNotNull()).select("_h", F.explode("_keys").alias("_key"))
     shared = halves.groupBy("_key").agg(F.min("_h").alias("a"), F.max("_h").alias("b")).filter(F.col("a") != F.col("b"))
     able = materialise(halves.join(shared.select("_key"), "_key", "left_semi").select("_h").distinct())
-    words = F.split("_line", " ")
-    # one row for each line that passed the sieve, at its earliest place
+    # each line that passed the sieve is read once, at its earliest place
+    at = first.join(small_enough(able), "_h", "left_semi").groupBy(F.col("_first.doc").alias("_doc")).agg(
+        F.collect_set("_first.at").alias("_places")  # of one document
+    )
+    docs = documents.select(F.col("doc_id").cast("long").alias("_id"), F.split(F.coalesce(F.col("text"), F.lit("")), "\n", -1).alias("_all"))
+    read = docs.join(small_enough(materialise(at), 200_000), F.col("_id").eqNullSafe(F.col("_doc"))).select(
+        "_doc", "_all", F.explode("_places").alias("_at")
+    )
+    line = read.filter(F.col("_at") < F.size("_all")).select("_doc", "_at", norm(F.element_at("_all", F.col("_at") + 1)).alias("_line"))
     unique = materialise(
-        lines.filter(F.col("_n") >= NEAR_WORDS).withColumn("_h", F.xxhash64("_line"))
-        .join(small_enough(able), "_h", "left_semi")
-        .groupBy("_h").agg(_first(), F.first("_line").alias("_line"))
+        line.withColumn("_h", F.xxhash64("_line")).withColumn("_n", _count(F.col("_line"))).filter(F.col("_n") >= NEAR_WORDS)
+        .groupBy("_h").agg(_first(), F.first("_line").alias("_line"), F.first("_n").alias("_n"))
     )
-    whole = F.struct(F.lit(-1).alias("i"), F.xxhash64(words).alias("v"))
+    text, n = F.col("_line"), F.col("_n")
+    whole = F.struct(F.lit(-1).alias("i"), F.xxhash64(text).alias("v"))
     less = F.transform(
-        F.sequence(F.lit(0), F.size(words) - 1),
+        F.sequence(F.lit(0), n - 1),
         lambda i: F.struct(
-            i.alias("i"), F.xxhash64(F.concat(F.slice(words, F.lit(1), i), F.slice(words, i + 2, F.size(words)))).alias("v")
+            i.alias("i"),
+            F.xxhash64(
+                F.when(i == 0, _back(text, n - 1)).when(i == n - 1, _front(text, n - 1))
+                .otherwise(F.concat(_front(text, i), F.lit(" "), _back(text, n - 1 - i)))
+            ).alias("v"),
         ),
     )
     variants = unique.select("_h", "_first", F.explode(F.concat(F.array(whole), less)).alias("k")).select(

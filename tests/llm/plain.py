@@ -107,7 +107,7 @@ def left_lines(docs):
     for doc, t in sorted(docs):
         kept = []
         for raw in (t or "").split("\n"):
-            w = re.sub(r"[\x20\x09-\x0D]+", " ", raw.lower()).strip(" ").split(" ")
+            w = raw.lower().strip(" \t\r").split(" ")
             gone = len(w) >= 5 and any(
                 w == e or len(w) >= 10 and len(e) >= 10 and abs(len(w) - len(e)) <= 1 and near_words(w, e) for e in earlier
             )
