@@ -9,6 +9,8 @@ time, so a pre-token of n bytes takes O(n log n), however long.
 from __future__ import annotations
 
 import base64
+import sys
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,18 +45,7 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     after = list(range(1, n + 1))
     before = list(range(-1, n - 1))
 
-    def put(i: int, rank: int) -> None:
-        k = size + i
-        tree[k] = rank
-        k >>= 1
-        while k:
-            a, b = tree[2 * k], tree[2 * k + 1]
-            least = a if a <= b else b
-            if tree[k] == least:
-                break
-            tree[k] = least
-            k >>= 1
-
+    rank = ranks.get
     while (least := tree[1]) != _NONE:
         k = 1
         while k < size:
@@ -64,14 +55,29 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
         i = k - size
         j = after[i]
         end = after[i] = after[j]
-        put(j, _NONE)
+        tree[size + j] = _NONE
         if end < n:
             before[end] = i
-            put(i, ranks.get(piece[i : after[end]], _NONE))
+            tree[size + i] = rank(piece[i : after[end]], _NONE)
+        else:
+            tree[size + i] = _NONE
+        p = before[i]
+        if p >= 0:
+            tree[size + p] = rank(piece[p:end], _NONE)
         else:
-            put(i, _NONE)
-        if (p := before[i]) >= 0:
-            put(p, ranks.get(piece[p:end], _NONE))
+            p = i
+        # the three leaves' ancestors, level by level; they soon are the same
+        x, y, z = size + p >> 1, size + i >> 1, size + j >> 1
+        while z:
+            a, b = tree[2 * z], tree[2 * z + 1]
+            tree[z] = a if a <= b else b
+            if y != z:
+                a, b = tree[2 * y], tree[2 * y + 1]
+                tree[y] = a if a <= b else b
+            if x != y:
+                a, b = tree[2 * x], tree[2 * x + 1]
+                tree[x] = a if a <= b else b
+            x, y, z = x >> 1, y >> 1, z >> 1
     ids, i = [], 0
     while i < n:
         ids.append(ranks[piece[i : after[i]]])
@@ -79,6 +85,14 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return ids
 
 
+def _packed(ids: list[int]) -> bytes:
+    """Little-endian unsigned 32-bit integers."""
+    out = array("I", ids)
+    if sys.byteorder == "big":
+        out.byteswap()
+    return out.tobytes()
+
+
 class Codec:
     """One worker's encoder and decoder."""
 
@@ -90,6 +104,7 @@ class Codec:
         self.ranks = load_ranks(path)
         self.parts = {v: k for k, v in self.ranks.items()}
         self.find = regex.compile(pattern).findall
+        self.pieces = Encoded(lambda pieces: [_packed(merge(p.encode(), self.ranks)) for p in pieces])
         self.store = Encoded(self._encode)
 
     @classmethod
@@ -99,10 +114,9 @@ class Codec:
         return cls._open[path, pattern]
 
     def _encode(self, chunks: list[str]) -> list[bytes]:
-        return [
-            np.array([i for p in self.find(c) for i in merge(p.encode(), self.ranks)], "<u4").tobytes()
-            for c in chunks
-        ]
+        found = [self.find(c) for c in chunks]
+        get = self.pieces.fill(set().union(*found)).__getitem__
+        return [b"".join(map(get, x)) for x in found]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""

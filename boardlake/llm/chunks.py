@@ -30,22 +30,31 @@ def cut(text: str) -> list[str]:
 
 
 class Encoded:
-    """Chunk -> value, bounded; a full store is emptied, which costs time only."""
+    """Chunk -> value, bounded: two generations of at most so many chunks. A full one becomes the
+    older one, from which chunks that come again move over; losing a chunk costs time only."""
 
-    def __init__(self, encode: Callable[[list[str]], Iterable], most: int = 300_000):
-        self.encode, self.most, self.known = encode, most, {}
+    def __init__(self, encode: Callable[[list[str]], Iterable], most: int = 250_000):
+        self.encode, self.most, self.known, self.older = encode, most, {}, {}
+
+    def fill(self, chunks: set[str]) -> dict:
+        """The store, with all these chunks in it."""
+        need = chunks - self.known.keys()
+        if len(self.known) + len(need) > self.most:
+            self.older, self.known, need = self.known, {}, chunks
+        known, new = self.known, []
+        for c in need:
+            if (value := self.older.get(c)) is None:
+                new.append(c)
+            else:
+                known[c] = value
+        if new:
+            known.update(zip(new, self.encode(new), strict=True))
+        return known
 
     def of(self, texts: list[str]) -> list[list]:
         """The values of each text's chunks."""
         cuts = [cut(t) for t in texts]
-        new = {c for cs in cuts for c in cs if c not in self.known}
-        if len(self.known) + len(new) > self.most:
-            self.known = {}
-            new = {c for cs in cuts for c in cs}
-        if new:
-            listed = list(new)
-            self.known.update(zip(listed, self.encode(listed), strict=True))
-        get = self.known.__getitem__
+        get = self.fill(set().union(*cuts)).__getitem__
         return [list(map(get, cs)) for cs in cuts]
 
 
