@@ -135,6 +135,9 @@ def _near(documents: DataFrame, first: DataFrame) -> DataFrame:
         "_h", "_first", F.col("k.i").alias("_i"), F.col("k.v").alias("_v")
     )
     variants = materialise(variants)
+    # variants that one line alone has meet nothing
+    met = variants.groupBy("_v").agg(F.min("_h").alias("a"), F.max("_h").alias("b")).filter(F.col("a") != F.col("b")).select("_v")
+    variants = materialise(variants.join(met, "_v", "left_semi"))
     me = F.struct(F.col("_first").alias("f"), F.col("_h").alias("h"))
     least = variants.groupBy("_v", "_i").agg(F.min(me).alias("_e"))
     # substitution: the same word left out of both
