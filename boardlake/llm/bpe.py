@@ -85,7 +85,7 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return ids
 
 
-def _packed(ids: list[int]) -> bytes:
+def packed(ids: list[int]) -> bytes:
     """Little-endian unsigned 32-bit integers."""
     out = array("I", ids)
     if sys.byteorder == "big":
@@ -104,7 +104,7 @@ class Codec:
         self.ranks = load_ranks(path)
         self.parts = {v: k for k, v in self.ranks.items()}
         self.find = regex.compile(pattern).findall
-        self.pieces = Encoded(lambda pieces: [_packed(merge(p.encode(), self.ranks)) for p in pieces])
+        self.pieces = Encoded(lambda pieces: [packed(merge(p.encode(), self.ranks)) for p in pieces])
         self.store = Encoded(self._encode)
 
     @classmethod

@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from boardlake.llm.bpe import packed
 from boardlake.llm.chunks import Encoded, groups
 
 END_ID = 2
@@ -48,9 +49,9 @@ def _ids(path: str) -> Encoded:
         def encode(chunks: list[str]) -> Iterator[bytes]:
             for i in range(0, len(chunks), 4096):
                 for e in tokenizer.encode_batch_fast(chunks[i : i + 4096], add_special_tokens=False):
-                    yield np.array(e.ids, "<u4").tobytes()
+                    yield packed(e.ids)
 
-        _OPEN[path] = Encoded(encode)
+        _OPEN[path] = Encoded(encode, 500_000)
     return _OPEN[path]
 
 
