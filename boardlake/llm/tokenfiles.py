@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from boardlake.llm.bpe import packed
 from boardlake.llm.chunks import Encoded, groups
+from boardlake.llm.common import materialise, small_enough
 
 END_ID = 2
 BLOCK_IDS = 262_144
@@ -192,7 +193,8 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
                 )
 
     columns = ["n_docs", "width", "ids", "low_bits", "low", "high", "marks", "keys", "_start"]
-    return blocks.join(at, ["shard", "block"]).select(*columns).mapInArrow(
+    # a few numbers for each block; while they are few enough, the ids needn't be shuffled to meet them
+    return blocks.join(small_enough(materialise(at)), ["shard", "block"]).select(*columns).mapInArrow(
         run, "doc_id bigint, start bigint, n_tokens bigint, ids binary"
     )
 
