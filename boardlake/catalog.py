@@ -1,12 +1,14 @@
 """All registered queries of the postings engine; importing the modules registers them."""
 
-from boardlake.functions import dates, geo, text
-from boardlake.operators import aggregates, filters, joins, lifecycle, relevance
+from boardlake.functions import dates, enrich, geo, text
+from boardlake.operators import aggregates, filters, history, joins, lifecycle, matching, relevance
 from boardlake.registry import ORACLE_SQL, QUERIES
-from boardlake.sources import payloads
+from boardlake.sources import pages, payloads
 from boardlake.streaming import streams
 
-MODULES = (aggregates, dates, filters, geo, joins, lifecycle, payloads, relevance, streams, text)
+MODULES = (
+    aggregates, dates, enrich, filters, geo, history, joins, lifecycle, matching, pages, payloads, relevance, streams, text,
+)
 FLAGSHIP = "q_listing"
 
 __all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES"]
