@@ -30,6 +30,8 @@ from boardlake.llm.common import materialise, small_enough
 END_ID = 2
 BLOCK_IDS = 262_144
 SELECT = 64
+#: Marks that are cut off the end of a chunk.
+MARKS = ",.;:!?"
 _BLOCKS = (
     "shard int, block long, n_docs long, n_ids long, width int, ids binary, low_bits int, low binary, high binary,"
     " marks binary, keys array<long>"
@@ -47,12 +49,24 @@ def _ids(path: str) -> Encoded:
 
         tokenizer = Tokenizer.from_file(path)
 
-        def encode(chunks: list[str]) -> Iterator[bytes]:
+        def library(chunks: list[str]) -> Iterator[bytes]:
             for i in range(0, len(chunks), 4096):
                 for e in tokenizer.encode_batch_fast(chunks[i : i + 4096], add_special_tokens=False):
                     yield packed(e.ids)
 
-        _OPEN[path] = Encoded(encode, 500_000)
+        marks = dict(zip(MARKS, library(list(MARKS)), strict=True))
+
+        def encode(chunks: list[str]) -> list[bytes]:
+            """A mark that ends a chunk after a letter is a pre-token of its own, so "word," needs no
+            more than what is known of "word"."""
+            known, older = store.known, store.older
+            bare = [c[:-1] if c[-1:] in marks and c[-2:-1].isalpha() else c for c in chunks]
+            found = {b: v for b in set(bare) if (v := known.get(b) or older.get(b))}
+            new = [b for b in set(bare) if b not in found]
+            found.update(zip(new, library(new), strict=True))
+            return [found[b] if b is c else found[b] + marks[c[-1]] for b, c in zip(bare, chunks, strict=True)]
+
+        store = _OPEN[path] = Encoded(encode, 500_000)
     return _OPEN[path]
 
 
@@ -152,7 +166,7 @@ def write(documents: DataFrame, tokenizer_path: str, folder: str) -> None:
             shard = batch.column(2)[0].as_py() if len(ids) else shard
             for a, b in groups(texts):
                 for key, made in zip(ids[a:b], _ids(tokenizer_path).of(texts[a:b]), strict=True):
-                    made = b"".join(made) + end
+                    made = b"".join((*made, end))
                     if n and n + len(made) // 4 > BLOCK_IDS:
                         yield flush(shard)
                     keys.append(key)
