@@ -42,3 +42,37 @@ def test_text_forms(spark):
     assert values(spark, text.clean_html, ["<p>a&nbsp;&lt;b</p>\n<br>c"]) == ["a <b c"]
     assert values(spark, text.title_words, ["The Senior C/C++ Engineer and Engineer 2024"]) == [["senior", "engineer"]]
     assert values(spark, text.company_from_url, ["https://www.acme-co.example.com/x", "http://jobs.big_one.com"]) == ["acme co", "big one"]
+
+
+def test_entities_and_page_text(spark):
+    from boardlake.functions import enrich
+
+    assert values(spark, enrich.decode_entities, ["a &#233;&#x4E2D;&lt;b&gt; &#0; &amp;", "", None]) == ["a é中<b> &#0; &", "", None]
+    assert values(spark, enrich.html_to_text, ["<script>x</script><ul><li>one</li><li>two&nbsp;x</li></ul><!-- c -->end", None]) == ["- one\n\n- two x\nend", None]
+
+
+def test_pay_from_prose(spark):
+    from boardlake.functions import enrich
+
+    got = values(spark, enrich.pay_from_prose, ["$136,000 - $200,000 per year", "$105,000 to $110,000 annually", "pay $28.50 per hour", "between $95k and $120k", "7 to 10 years of cases", "Shift runs 8 - 10 daily.", "", None])
+    assert [r and (r.pay_min, r.pay_max, r.pay_period) for r in got] == [
+        (136000.0, 200000.0, "year"), (105000.0, 110000.0, "year"), (28.5, 28.5, "hour"), (95000.0, 120000.0, "year"), None, None, None, None,
+    ]
+
+
+def test_sections(spark):
+    from boardlake.functions import enrich
+
+    many = "Requirements\n" + "\n".join(f"- demand number {i} of a long list" for i in range(20))
+    got = values(spark, enrich.sections, [many, "no heads at all", "", None, "About the role\nYou lead the whole crew here.\nBenefits\n- not a duty of any kind at all"])
+    assert [len(r.requirements) for r in got] == [12, 0, 0, 0, 0]
+    assert got[4].responsibilities == ["You lead the whole crew here."]
+
+
+def test_pages_without_a_posting_give_none(spark):
+    from boardlake.sources import pages
+
+    block = '<script type="application/ld+json">{}</script>'
+    got = values(spark, pages.jsonld_posting, [block.format("not json"), block.format('{"@type": "Organization"}'), "", None, block.format('[{"@type": ["Thing", "JobPosting"], "title": "x"}]')])
+    assert [g is not None for g in got] == [False, False, False, False, True]
+    assert values(spark, lambda c: F.size(pages.site_entries(c)), ["<urlset><url><loc>a</loc></url><url></url></urlset>", "no xml"]) == [1, 0]
