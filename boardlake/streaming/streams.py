@@ -8,7 +8,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from boardlake.functions.dates import within_window
+from boardlake.operators import lifecycle
 from boardlake.registry import query
+from boardlake.sources.postings import NOW
 
 
 def telemetry(events: DataFrame, length: str = "1 hour", late: str = "2 hours") -> DataFrame:
@@ -29,8 +32,7 @@ def replay(spark: SparkSession, path: str, transform) -> DataFrame:
     """Run a stream over the files that are there, to its end; each batch writes its whole result to
     the shared folder, and the last one is read."""
     schema = spark.read.parquet(path).schema
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="boardlake-")
-    folder, batches = f"{base.rstrip('/')}/{uuid.uuid4().hex}", []
+    folder, batches = shared_folder(spark), []
 
     def keep(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{folder}/batch-{number}")
@@ -66,3 +68,80 @@ def st_write_liveness(spark, sf_dir) -> DataFrame:
     before = F.lag("ts").over(Window.partitionBy("event_type").orderBy("ts", "event_id"))
     rows = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("before", before)
     return rows.select(F.col("event_type").alias("source"), F.unix_timestamp("before").alias("stalled_from"), F.unix_timestamp("ts").alias("recovered_at")).filter("recovered_at - stalled_from >= 7200")
+
+
+def dropped(events: DataFrame, now: int, hours: int = 24, late: str = "2 hours") -> DataFrame:
+    """Postings kept and dropped by the date gate in tumbling hours; the gate itself has no state."""
+    gated = events.withColumn("_in", within_window(F.col("posting_date"), now, hours))
+    return gated.withWatermark("ts", late).groupBy(F.window("ts", "1 hour")).agg(
+        F.count_if("_in").alias("kept"), F.count_if(~F.col("_in")).alias("dropped")
+    ).select(F.unix_timestamp("window.start").alias("start"), "kept", "dropped")
+
+
+_SNAPSHOT = (
+    f"{lifecycle.KEY} string, position_name string, location string, job_description string, pay_min double, pay_max double,"
+    " first_seen_epoch bigint, last_seen_epoch bigint, hidden boolean, hidden_reason string, hidden_at_epoch bigint"
+)
+
+
+def upsert_stream(incoming: DataFrame, folder: str, now: int) -> DataFrame:
+    """Merge each batch of a stream into a snapshot of postings; the last snapshot.
+
+    A batch writes a snapshot of its own from the one before it, so a batch that is run again
+    after a failure gives the same. An older snapshot is no longer needed once its successor is there.
+    """
+    spark, last = incoming.sparkSession, []
+
+    def merge(batch: DataFrame, number: int) -> None:
+        before = spark.read.schema(_SNAPSHOT).parquet(f"{folder}/snapshot-{number - 1}") if number else spark.createDataFrame([], _SNAPSHOT)
+        lifecycle.upsert(before, batch, now).write.mode("overwrite").parquet(f"{folder}/snapshot-{number}")
+        last.append(number)
+
+    run = incoming.writeStream.foreachBatch(merge).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+    run.awaitTermination()
+    return spark.read.schema(_SNAPSHOT).parquet(f"{folder}/snapshot-{last[-1]}")
+
+
+def shared_folder(spark: SparkSession) -> str:
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="boardlake-")
+    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+
+
+@query(
+    """SELECT floor(epoch(time_bucket(INTERVAL 1 HOUR, ts)))::BIGINT AS start, count(*) FILTER (user_id % 3 <> 2) AS kept,
+count(*) FILTER (user_id % 3 = 2) AS dropped FROM events GROUP BY 1"""
+)
+def st_classify(spark, sf_dir) -> DataFrame:
+    date = F.element_at(F.array(F.lit("today"), F.lit("yesterday"), F.lit("9 days ago")), (F.col("user_id") % 3).cast("int") + 1)
+    return replay(spark, f"{sf_dir}/events.parquet", lambda events: dropped(events.withColumn("posting_date", date), NOW))
+
+
+@query(
+    """SELECT 'https://example.com/job/' || user_id AS job_posting_url, arg_max(event_type, event_id) AS position_name, 1706659200 AS first_seen_epoch,
+1706659200 AS last_seen_epoch FROM events GROUP BY user_id"""
+)
+def st_upsert(spark, sf_dir) -> DataFrame:
+    """Sightings merged by URL, the last of a batch winning; every file that has landed is a batch."""
+    path = f"{sf_dir}/events.parquet"
+    source = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", 1).parquet(path.replace(".parquet", "[.]parquet"))
+    none = lambda name, kind: F.lit(None).cast(kind).alias(name)
+    rows = source.select(
+        F.concat(F.lit("https://example.com/job/"), F.col("user_id").cast("string")).alias(lifecycle.KEY), F.col("event_type").alias("position_name"),
+        none("location", "string"), none("job_description", "string"), none("pay_min", "double"), none("pay_max", "double"), F.col("event_id").alias("batch_order"),
+    )
+    return upsert_stream(rows, shared_folder(spark), NOW).select(lifecycle.KEY, "position_name", "first_seen_epoch", "last_seen_epoch")
+
+
+@query(
+    """WITH h AS (SELECT floor(epoch(time_bucket(INTERVAL 1 HOUR, ts)))::BIGINT AS start, count(*) AS n FROM events GROUP BY 1),
+r AS (SELECT start, n, sum(n) OVER (ORDER BY start)::BIGINT AS done, sum(n) OVER ()::BIGINT AS total FROM h)
+SELECT start, n, done, round(100.0 * done / total, 4)::DOUBLE AS percent, round(n / 60.0, 4)::DOUBLE AS per_minute FROM r"""
+)
+def st_progress(spark, sf_dir) -> DataFrame:
+    """Completed targets by hour, their running number, share and speed. Only counts of hours come together."""
+    hours = spark.read.parquet(f"{sf_dir}/events.parquet").groupBy(F.unix_timestamp(F.date_trunc("hour", "ts")).alias("start")).agg(F.count("*").alias("n"))
+    done = F.sum("n").over(Window.orderBy("start").rowsBetween(Window.unboundedPreceding, 0))
+    total = F.sum("n").over(Window.orderBy("start").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    return hours.select(
+        "start", "n", done.alias("done"), F.round(done * 100.0 / total, 4).cast("double").alias("percent"), F.round(F.col("n") / 60.0, 4).cast("double").alias("per_minute")
+    )
