@@ -48,7 +48,7 @@ def currency(c: Column) -> Column:
 
 def csv_list(c: Column) -> Column:
     """Trimmed items between commas; empty ones go."""
-    return F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), ","), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), ","), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def education_list(c: Column) -> Column:
@@ -59,7 +59,7 @@ def education_list(c: Column) -> Column:
 def json_list(c: Column) -> Column:
     """Trimmed items of a JSON list of texts; a text that isn't one is an empty list."""
     items = F.coalesce(F.from_json(F.coalesce(c, F.lit("")), "array<string>"), F.array().cast("array<string>"))
-    return F.filter(F.transform(items, F.trim), lambda x: x.isNotNull() & (x != ""))
+    return F.filter(F.transform(items, lambda x: F.trim(x)), lambda x: x.isNotNull() & (x != ""))
 
 
 def base64_text(c: Column) -> Column:

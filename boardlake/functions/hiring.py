@@ -36,7 +36,7 @@ def hiring_places(text: Column) -> Column:
     names = F.create_map(*[F.lit(x) for k, v in STATES.items() for x in (v.lower(), k)])
     said = F.concat(*[F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(p), 1) for p in CLAUSES])
     places = F.filter(
-        F.transform(F.split(F.array_join(F.transform(said, lambda s: F.regexp_replace(s, r"(?i)\b(?:or|and)\b", ",")), ","), ","), F.trim), lambda p: p != ""
+        F.transform(F.split(F.array_join(F.transform(said, lambda s: F.regexp_replace(s, r"(?i)\b(?:or|and)\b", ",")), ","), ","), lambda x: F.trim(x)), lambda p: p != ""
     )
     whole = F.filter(places, lambda p: names[F.lower(p)].isNotNull())
     states = F.transform(

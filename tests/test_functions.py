@@ -3,7 +3,9 @@
 import pytest
 from pyspark.sql import functions as F
 
-from boardlake.functions import dates, geo, text
+from boardlake.functions import dates, fields, geo, hiring, industry, text
+from boardlake.operators import similar
+from boardlake.streaming import streams
 
 NOW = 1_706_659_200
 
@@ -76,3 +78,72 @@ def test_pages_without_a_posting_give_none(spark):
     got = values(spark, pages.jsonld_posting, [block.format("not json"), block.format('{"@type": "Organization"}'), "", None, block.format('[{"@type": ["Thing", "JobPosting"], "title": "x"}]')])
     assert [g is not None for g in got] == [False, False, False, False, True]
     assert values(spark, lambda c: F.size(pages.site_entries(c)), ["<urlset><url><loc>a</loc></url><url></url></urlset>", "no xml"]) == [1, 0]
+
+
+@pytest.mark.parametrize(
+    ("title", "want"),
+    [
+        ("Salesforce Developer", "information_technology_software"), ("Salesforce Account Executive", "information_technology_software"),
+        ("Regional Sales Lead", "sales_business_development"), ("Pre sale clerk", None), ("Payroll Analyst II", "finance_accounting_banking_insurance"),
+        ("RN", "healthcare_medical"), ("Warner", None), ("Data Engineer", "data_ai_analytics"), (None, None), ("", None),
+    ],
+)
+def test_industry_rules(spark, title, want):
+    found = spark.createDataFrame([(title,)], "x string").select(industry.rule(F.col("x")).alias("r")).first().r
+    assert (found and found.industry) == want
+
+
+def test_grams_of_short_titles(spark):
+    assert values(spark, lambda c: industry.grams(industry.title_parts(c)), ["", None, "Lead", "Red Hat Lead"]) == [
+        [""][:0], [], ["lead"], ["red", "hat", "lead", "red hat", "hat lead", "red hat lead"]
+    ]
+
+
+def test_fields(spark):
+    assert values(spark, fields.json_list, ['["a", " b ", ""]', "[broken", None, "{}"]) == [["a", "b"], [], [], []]
+    assert values(spark, fields.csv_list, [" a,, b ", "", None]) == [["a", "b"], [], []]
+    assert values(spark, fields.base64_text, ["aGVsbG8=", "!!", None]) == ["hello", "", ""]
+    assert values(spark, fields.pay_number, ["$1,200.50", "-3", "x", None]) == [1200.5, None, None, None]
+    assert values(spark, fields.bool_flag, ["YES", " 0", "?", None]) == [True, False, False, False]
+    assert values(spark, fields.currency, [" usd", "xyz", None]) == ["USD", None, None]
+    assert values(spark, fields.compensation_type, ["wage", "Per-Year", "?", None]) == ["hourly", "salary", "unknown", "unknown"]
+    assert values(spark, fields.normalize_url, ["a.example.com/x", "HTTP://a.b/c", "ftp://a.b", "", None]) == ["https://a.example.com/x", "HTTP://a.b/c", None, None, None]
+    assert values(spark, lambda c: fields.days_in_window(c, 3), ["Posted 3 Days Ago", "4 days ago", "Posted 30+ Days Ago", "Posted Today", "", None]) == [
+        True, False, False, True, False, False
+    ]
+
+
+def test_hiring_clauses_open_whole_states(spark):
+    told = "We are hiring out of Arizona, Denver, and Seattle."
+    df = spark.createDataFrame([("Phoenix, AZ", told), ("Boise, ID", told), ("Seattle, WA", told), ("Boise, ID", ""), (None, told)], "head string, body string")
+    got = df.select(hiring.conflict(geo.entries(F.col("head")), hiring.hiring_places(F.col("body"))).alias("c")).collect()
+    assert [r.c for r in got] == [False, True, False, False, False]
+
+
+def test_country_and_region(spark):
+    got = values(spark, hiring.infer_geo, ["Paris, France", "Boise, ID", "Remote, EMEA", "", None])
+    assert [tuple(g) for g in got] == [("FR", "EMEA"), ("US", "AMER"), (None, "EMEA"), (None, None), (None, None)]
+
+
+def test_sql_functions_equal_expressions(spark):
+    fields.register(spark)
+    df = spark.createDataFrame([(" Hybrid -  Boston ",), ("the Red-Widget 12 and cog",), ("",)], "x string")
+    for row in df.selectExpr("like_text(x) a", "work_mode(x) b", "title_words(x) c", "x").withColumns(
+        {"d": text.like_text(F.col("x")), "e": geo.work_mode(F.col("x")), "f": text.title_words(F.col("x"))}
+    ).collect():
+        assert (row.a, row.b, row.c) == (row.d, row.e, row.f)
+
+
+def test_evidence_prefers_more_terms_then_earlier_lines(spark):
+    lines = ["short token line", "one token in a line that is long enough to count", "token and license in a line that is long enough too", "another token line that is surely long enough for it"]
+    got = values(spark, lambda c: similar.evidence(c, ["token", "license"]), ["\n".join(lines), None])
+    assert [(e.n, e.place) for e in got[0]] == [(2, 1), (1, 0), (1, 2)] and got[1] == []
+
+
+def test_stream_merges_files_in_turn(spark, tmp_path):
+    schema = "job_posting_url string, position_name string, location string, job_description string, pay_min double, pay_max double, batch_order bigint"
+    for i, rows in enumerate([[("u", "old", "a", None, None, None, 1), ("v", "kept", None, None, None, None, 2)], [("u", "new", None, None, None, None, 3)]]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    got = streams.upsert_stream(source, str(tmp_path / "out"), 9).orderBy("job_posting_url").collect()
+    assert [(r.position_name, r.location, r.last_seen_epoch) for r in got] == [("new", "a", 9), ("kept", None, 9)]
