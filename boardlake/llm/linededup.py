@@ -22,9 +22,12 @@ from pyspark.sql import functions as F
 
 from boardlake.llm.common import fresh, materialise, small_enough
 
-#: Shorter lines (in words) stay, and so do near copies of lines below NEAR_WORDS.
+#: Shorter lines (in words) stay, and so do near copies of lines below NEAR_WORDS. Defaults, which the pipeline keeps.
 MIN_WORDS = 5
 NEAR_WORDS = 10
+#: The same for all lines that aren't empty: every copy goes, and near copies from so many words.
+ALL_WORDS = 1
+ALL_NEAR_WORDS = 5
 _FIRST = "struct<doc:bigint,at:int>"
 
 
@@ -47,8 +50,8 @@ def _back(line: Column, n: Column) -> Column:
     return F.call_function("substring_index", line, F.lit(" "), -n.cast("int"))
 
 
-def _lines(documents: DataFrame) -> DataFrame:
-    """_doc, _text, _at, _line for each line of at least MIN_WORDS words."""
+def _lines(documents: DataFrame, least: int) -> DataFrame:
+    """_doc, _text, _at, _line for each line of at least so many words; never for empty lines."""
     text = F.coalesce(F.col("text"), F.lit(""))
     return (
         documents.select(
@@ -57,7 +60,7 @@ def _lines(documents: DataFrame) -> DataFrame:
         )
         .select("_doc", "_text", "_at", norm(F.col("_raw")).alias("_line"))
         .select("*", _count(F.col("_line")).alias("_n"))
-        .filter((F.col("_line") != "") & (F.col("_n") >= MIN_WORDS))
+        .filter((F.col("_line") != "") & (F.col("_n") >= least))
     )
 
 
@@ -78,19 +81,19 @@ def _first(c: str = "_first") -> Column:
     return F.min(F.struct(F.col("_doc").alias("doc"), F.col("_at").alias("at"))).alias(c)
 
 
-def later_lines(documents: DataFrame) -> DataFrame:
+def later_lines(documents: DataFrame, least: int = MIN_WORDS, near_from: int = NEAR_WORDS) -> DataFrame:
     """_doc, _text, _gone (array of line positions) of the documents that lose lines."""
-    lines = _lines(documents)
+    lines = _lines(documents, least)
     table = materialise(
         lines.select(
             "_doc", "_text", "_at", F.xxhash64("_line").alias("_h"),
-            F.when(F.col("_n") >= NEAR_WORDS, _halves(F.col("_line"), F.col("_n"))).alias("_keys"),
+            F.when(F.col("_n") >= near_from, _halves(F.col("_line"), F.col("_n"))).alias("_keys"),
         )
     )
     first = materialise(
         table.groupBy("_h").agg(_first(), F.count("*").alias("_copies"), F.first("_keys").alias("_keys"))
     )
-    near = _near(documents, first)
+    near = _near(documents, first, near_from)
     odd = first.filter(F.col("_copies") > 1).select("_h", "_first").join(
         near.withColumnRenamed("_h", "_g"), F.col("_h") == F.col("_g"), "full"
     ).select(F.coalesce("_h", "_g").alias("_o"), "_first", F.coalesce("_is_near", F.lit(False)).alias("_is_near"))
@@ -101,7 +104,7 @@ def later_lines(documents: DataFrame) -> DataFrame:
     return gone.groupBy("_doc", "_text").agg(F.collect_set("_at").alias("_gone"))  # of one document
 
 
-def _near(documents: DataFrame, first: DataFrame) -> DataFrame:
+def _near(documents: DataFrame, first: DataFrame, near_from: int) -> DataFrame:
     """_h, _is_near (true) of the lines that have an earlier line within one edit."""
     halves = first.filter(F.col("_keys").isNotNull()).select("_h", F.explode("_keys").alias("_key"))
     shared = halves.groupBy("_key").agg(F.min("_h").alias("a"), F.max("_h").alias("b")).filter(F.col("a") != F.col("b"))
@@ -116,7 +119,7 @@ def _near(documents: DataFrame, first: DataFrame) -> DataFrame:
     )
     line = read.filter(F.col("_at") < F.size("_all")).select("_doc", "_at", norm(F.element_at("_all", F.col("_at") + 1)).alias("_line"))
     unique = materialise(
-        line.withColumn("_h", F.xxhash64("_line")).withColumn("_n", _count(F.col("_line"))).filter(F.col("_n") >= NEAR_WORDS)
+        line.withColumn("_h", F.xxhash64("_line")).withColumn("_n", _count(F.col("_line"))).filter(F.col("_n") >= near_from)
         .groupBy("_h").agg(_first(), F.first("_line").alias("_line"), F.first("_n").alias("_n"))
     )
     text, n = F.col("_line"), F.col("_n")
@@ -170,20 +173,20 @@ def one_edit(x: Column, y: Column) -> Column:
     ).otherwise(rest(x, 0) == rest(y, 1))
 
 
-def dedup(documents: DataFrame) -> DataFrame:
+def dedup(documents: DataFrame, least: int = MIN_WORDS, near_from: int = NEAR_WORDS) -> DataFrame:
     """The documents with their columns, texts without lines that come again.
 
     A line goes if an equal line, or one within one word of it, stands earlier (by doc_id,
-    then line). Lines under MIN_WORDS words stay, near copies under NEAR_WORDS too. Null texts
+    then line). Lines under least words stay, near copies under near_from too. Null texts
     stay null; empty texts stay; a document may keep no line and then has an empty text. Rows
     with one doc_id and text count as one document and are treated alike. n_chars, if a
     whole-number column, follows the text. Further columns pass as they are.
     """
-    return _cut(documents, [])[0]
+    return _cut(documents, [], least, near_from)[0]
 
 
-def _cut(documents: DataFrame, more: list[str]) -> tuple[DataFrame, str]:
-    gone = materialise(later_lines(documents))
+def _cut(documents: DataFrame, more: list[str], least: int, near_from: int) -> tuple[DataFrame, str]:
+    gone = materialise(later_lines(documents, least, near_from))
     d, t, g, k = (fresh(x, documents.columns) for x in ("_doc", "_text", "_gone", "_key"))
     gone = gone.select(F.col("_doc").alias(d), F.col("_text").alias(t), F.col("_gone").alias(g))
     keyed = documents.withColumn(k, F.xxhash64("text"))
@@ -201,9 +204,9 @@ def _cut(documents: DataFrame, more: list[str]) -> tuple[DataFrame, str]:
     return (out.select(*documents.columns, *([F.size(F.col(g)).alias(m) for m in more] if more else [])), g)
 
 
-def report(documents: DataFrame) -> DataFrame:
+def report(documents: DataFrame, least: int = MIN_WORDS, near_from: int = NEAR_WORDS) -> DataFrame:
     """Per document: doc_id, n_removed, n_lines_kept, text_sha256 (of the text that is left)."""
-    out, _ = _cut(documents.select("doc_id", "text"), ["removed"])
+    out, _ = _cut(documents.select("doc_id", "text"), ["removed"], least, near_from)
     return out.select(
         "doc_id",
         F.greatest(F.coalesce("removed", F.lit(0)), F.lit(0)).cast("long").alias("n_removed"),

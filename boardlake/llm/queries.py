@@ -54,7 +54,7 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return linededup.report(table(spark, sf_dir, "documents"))
+    return linededup.report(table(spark, sf_dir, "documents"), linededup.ALL_WORDS, linededup.ALL_NEAR_WORDS)
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
