@@ -43,6 +43,8 @@ ALIKE, OF = 75, 100
 ROUNDS = 2
 #: Members of a block in the last round.
 BLOCK = 256
+#: Sets of a block where links are counted.
+LINK_BLOCK = 128
 #: A row's tag is its band and, in so many low bits, how many tokens its set leaves out.
 LEAVE_BITS = 40
 #: Partitions for each shingle in which sets of a band may differ; what exceeds 1 can be left out.
@@ -418,6 +420,132 @@ def report(documents: DataFrame) -> DataFrame:
     )
 
 
+def _sets_of(documents: DataFrame) -> DataFrame:
+    """_node (fingerprint of the set), _set (its shingles' sorted 64-bit hashes)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(0).to_pylist()
+            for start, end in groups([t or "" for t in texts], 1_000_000):
+                found = [(_prints(h)[0], h.tobytes()) for h in _sets(texts[start:end]) if len(h)]
+                if found:
+                    a, h = zip(*found, strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(h, pa.binary())], names=["_node", "_set"])
+
+    return documents.select("text").mapInArrow(run, "_node bigint, _set binary").dropDuplicates(["_node"])
+
+
+def _blocks(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """_family, _block, _n, _least, _most (sizes), _rows (_node, _set, _weight): sets that signatures connect, directly
+    or through others, in blocks of about LINK_BLOCK sets of like size.
+
+    Blocks are dealt by hash from counts of each family and size, so no family is ordered in one task."""
+    pivots = members.groupBy("_sig").agg(F.min("_node").alias("_y"))
+    families = components(members.join(pivots, "_sig").select(F.col("_node").alias("_x"), "_y")).withColumnRenamed("_comp", "_family")
+    placed = materialise(
+        families.join(members.select("_node", "_size").distinct(), "_node").withColumn("_like", F.floor(F.log(F.col("_size")) / math.log(OF / ALIKE)))
+    )
+    many = placed.groupBy("_family", "_like").agg(F.ceil(F.count("*") / LINK_BLOCK).alias("_many"))
+    block = F.col("_like") * (1 << 40) + F.pmod(F.xxhash64("_node"), F.col("_many"))
+    rows = placed.join(many, ["_family", "_like"]).select("_node", "_size", "_family", block.alias("_block"))
+    return materialise(
+        rows.join(sets, "_node").groupBy("_family", "_block").agg(
+            F.count("*").alias("_n"), F.min("_size").alias("_least"), F.max("_size").alias("_most"),
+            F.collect_list(F.struct("_node", "_set", "_weight")).alias("_rows"),
+        )
+    )
+
+
+def _counted(a: list[dict], b: list[dict]) -> Iterator[tuple[int, int, int]]:
+    """Links between the sets of two blocks, or within one if b is empty: (node, node, documents linked to it here) for
+    each set that has any, and (node, other node, 0) for as many links as join the same sets.
+
+    A set's shingles are marked and counted in all sets of the other block at once."""
+    rows, begin = [*a, *b], len(a)
+    each = [np.frombuffer(r["_set"], np.uint64) for r in rows]
+    size = np.array([len(h) for h in each])
+    starts = np.concatenate([[0], np.cumsum(size)])
+    known, at = np.unique(np.concatenate(each), return_inverse=True)
+    node, weight = (np.array([r[c] for r in rows], np.int64) for c in ("_node", "_weight"))
+    n, group, mark = np.zeros(len(rows), np.int64), np.arange(len(rows)), np.zeros(len(known), bool)
+    for i in range(len(a)):
+        first = begin if b else i + 1
+        if first == len(rows):
+            break
+        mine = at[starts[i] : starts[i + 1]]
+        mark[mine] = True
+        both = np.add.reduceat(mark[at[starts[first] :]], starts[first:-1] - starts[first], dtype=np.int64)
+        mark[mine] = False
+        like = first + np.flatnonzero(OF * both >= ALIKE * (size[i] + size[first:] - both))
+        n[i] += weight[like].sum()
+        n[like] += weight[i]
+        for m in like[group[like] != group[i]].tolist():
+            if group[m] != group[i]:
+                yield int(node[i]), int(node[m]), 0
+                group[group == group[m]] = group[i]
+    yield from ((x, x, c) for x, c in zip(node.tolist(), n.tolist(), strict=True) if c)
+
+
+def _counted_pairs(blocks: DataFrame) -> DataFrame:
+    """_x, _y, _c as _counted gives them, of all blocks of a family whose sizes allow links."""
+    head = lambda to: blocks.select("_family", *[F.col(f"_{c}").alias(f"_{c}{to}") for c in ("block", "n", "least", "most")])
+    pairs = materialise(
+        head("x").join(head("y"), "_family").filter(
+            f"(_blockx < _blocky or _blockx = _blocky and _nx > 1) and _mostx * {OF} >= _leasty * {ALIKE} and _mosty * {OF} >= _leastx * {ALIKE}"
+        ).select("_family", "_blockx", "_blocky")
+    )
+    side = lambda to: blocks.select("_family", F.col("_block").alias(f"_block{to}"), F.col("_rows").alias(f"_r{to}"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                found = list(_counted(batch.column(0)[i].as_py(), batch.column(1)[i].as_py() or []))
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], names=["_x", "_y", "_c"])
+
+    other = F.when(F.col("_blockx") != F.col("_blocky"), F.col("_ry")).alias("_ry")
+    return pairs.join(side("x"), ["_family", "_blockx"]).join(side("y"), ["_family", "_blocky"]).select("_rx", other).mapInArrow(
+        run, "_x bigint, _y bigint, _c bigint"
+    )
+
+
+def links(documents: DataFrame) -> DataFrame:
+    """Per document: doc_id, n_shingles, component_id, n_links (how many other documents are similar to it).
+
+    Rows are as report() has them. Each pair of different sets that share a signature's family and fit in size is compared
+    once, in the task that holds their blocks, and counts for all documents of either set; no pair leaves its task. Sets are
+    compared by the 64-bit hashes of their shingles, as n_shingles counts them. A document is linked to all others with an
+    equal set. doc_id is taken to be unique here; a null one has no links and counts for none.
+    """
+    prints = materialise(_fingerprints(documents).drop("_sketch"))
+    some = prints.filter("n_shingles > 0 and _doc is not null").groupBy("_a", "_b", "n_shingles", "_doc").agg(F.lit(1).alias("_one"))
+    classes = materialise(
+        some.groupBy("_a", "_b", "n_shingles").agg(F.min("_doc").alias("_least"), F.count("*").alias("_weight"))
+    )
+    members = materialise(_signed(documents).join(classes.select("_a", F.col("n_shingles").alias("_size")), "_a").withColumnRenamed("_a", "_node"))
+    wanted = members.select("_node").distinct().join(classes.select(F.col("_a").alias("_node"), F.col("_least").alias("_id")), "_node")
+    held = documents.select(F.col("doc_id").cast("long").alias("_id"), "text").join(
+        small_enough(materialise(wanted.select("_id").distinct())), "_id", "left_semi"
+    )
+    sets = _sets_of(held).join(classes.select(F.col("_a").alias("_node"), "_weight"), "_node")
+    found = materialise(_counted_pairs(_blocks(members, sets)).groupBy("_x", "_y").agg(F.sum("_c").alias("_c")))
+    counts = found.filter("_x = _y").select(F.col("_x").alias("_a"), "_c")
+    name = lambda to: classes.select(F.col("_a").alias(f"_{to}"), F.col("_least").alias(f"_l{to}"))
+    ends_ = found.filter("_x != _y").join(name("x"), "_x").join(name("y"), "_y").select(F.col("_lx").alias("_x"), F.col("_ly").alias("_y"))
+    comps = materialise(components(ends_)).withColumnRenamed("_node", "_least")
+    unnamed = prints.filter("_doc is null").select("_a", "_b", "n_shingles").distinct().withColumn("_unnamed", F.lit(True))
+    told = classes.join(counts, "_a", "left").join(comps, "_least", "left").select(
+        "_a", "_b", "n_shingles", F.coalesce("_comp", "_least").alias("_comp"), (F.coalesce("_c", F.lit(0)) + F.col("_weight") - 1).alias("_n")
+    )
+    told = told.join(unnamed, ["_a", "_b", "n_shingles"], "left").filter("_n > 0 or _unnamed").drop("_unnamed")
+    told = small_enough(materialise(told))  # others are alone
+    out = prints.join(told, ["_a", "_b", "n_shingles"], "left")
+    return out.select(
+        F.col("_doc").alias("doc_id"), "n_shingles", F.coalesce("_comp", "_doc").alias("component_id"),
+        F.when(F.col("_doc").isNull(), 0).otherwise(F.coalesce("_n", F.lit(0))).cast("long").alias("n_links"),
+    )
+
+
 def keep_one(documents: DataFrame) -> DataFrame:
     """The documents without those that a document of lower doc_id is linked to; columns as they were."""
     gone, key = materialise(report(documents).filter("component_id < doc_id").select("doc_id").distinct()), fresh("_gone", documents.columns)

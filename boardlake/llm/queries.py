@@ -43,6 +43,10 @@ def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return partenum.report(table(spark, sf_dir, "documents"))
 
 
+def op6_ngram_jaccard_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return partenum.links(table(spark, sf_dir, "documents"))
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secrets(table(spark, sf_dir, "documents"))
 
@@ -67,7 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_byte_bpe, op2_decontamination, op3_quality_classifier, op4_quotation_linking, op5_quality_rules,
-        op6_ngram_jaccard_join, op7_secret_scan, op8_token_files, op9_line_dedup, op10_token_counts,
+        op6_ngram_jaccard_join, op6_ngram_jaccard_links, op7_secret_scan, op8_token_files, op9_line_dedup, op10_token_counts,
     )
 }
 
@@ -135,3 +139,8 @@ c AS (SELECT a, min(b) AS b FROM r GROUP BY a)
 SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, least(d.doc_id, coalesce(c.b, d.doc_id)) AS component_id
 FROM d LEFT JOIN n ON d.doc_id = n.doc_id LEFT JOIN c ON c.a = d.doc_id""",
 }
+
+#: The same join with the number of links of each document.
+ORACLE_SQL["op6_ngram_jaccard_links"] = ORACLE_SQL["op6_ngram_jaccard_join"].replace(
+    "AS component_id", "AS component_id, coalesce(l.n_links, 0)::BIGINT AS n_links"
+) + " LEFT JOIN (SELECT a, count(*) AS n_links FROM e GROUP BY a) AS l ON l.a = d.doc_id"
