@@ -4,34 +4,76 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of one or two longs that a broadcast may hold; beyond it the join shuffles instead.
-BROADCAST_ROWS = 1_000_000
+#: Bytes (as estimated by row_bytes) that a broadcast may hold; beyond it the join shuffles instead.
+BROADCAST_BYTES = 32 << 20
 
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir; a temporary one only where that is unset (tests)."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """A new folder below spark.checkpoint.dir; a temporary one only where that is unset on one machine (tests)."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not base:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="boardlake-")
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    """Write df once to the shared folder and read it back: cuts lineage and survives lost executors."""
-    path = shared_dir(df.sparkSession)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+@contextmanager
+def _dropping_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Spark deletes the shuffle files of what runs in here as soon as each job's result is complete."""
+    before = spark.conf.get(_CLEAN, "false")
+    spark.conf.set(_CLEAN, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_CLEAN, before)
 
 
-def small_enough(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df marked for broadcast if it has at most so many rows, else df as it is (a shuffled join)."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def materialise(df: DataFrame) -> DataFrame:
+    """Write df once to the shared folder and read it back: cuts lineage, survives lost executors and lets shuffle files go."""
+    spark, path = df.sparkSession, shared_dir(df.sparkSession)
+    with _dropping_shuffles(spark):
+        df.write.option("compression", "zstd").parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def drop(*written: DataFrame) -> None:
+    """Delete the folders of materialised frames that nothing reads any more."""
+    for df in written:
+        if path := getattr(df, "_written_to", None):
+            jvm = df.sparkSession._jvm
+            folder = jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
+
+
+def row_bytes(df: DataFrame) -> Column:
+    """Estimated bytes of a row in a broadcast relation."""
+    width = F.lit(16 + 8 * len(df.columns))
+    for name, kind in df.dtypes:
+        if kind in ("string", "binary"):
+            width = width + F.coalesce(F.octet_length(F.col(f"`{name}`")), F.lit(0))
+        elif kind.startswith("array"):
+            each = 80 if "struct" in kind else 32 if "string" in kind else 8
+            width = width + each * F.greatest(F.coalesce(F.size(F.col(f"`{name}`")), F.lit(0)), F.lit(0))
+    return width
+
+
+def small_enough(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """df marked for broadcast if its rows have at most so many bytes, else df as it is (a shuffled join)."""
+    total = df.agg(F.sum(row_bytes(df))).first()[0] or 0
+    return F.broadcast(df) if total <= most else df
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -4,11 +4,13 @@ Method: deletion-neighbourhood join. The edit unit is a word and the bound is on
 normalised lines within one substituted, inserted or deleted word share a variant with one
 word (or none) left out. All variants of a line are emitted as hashed keys, equal variants
 meet in one group that keeps only its earliest member, the edit distance to that member is
-verified on the words, and the later line goes.
+verified on the words, and the later line goes. A variant's key is the exclusive or of its
+words' hashes with their places, so running totals give all keys of a line in one pass.
 
-Before that, a lossless sieve: of two lines within one edit, the first or the second half
-(split by the longer line's length) is equal word by word. Lines that share no half with
-another line have no neighbour and emit nothing, so the variants stay far below the words.
+Lines of LONG words or more pass a lossless sieve first: of two lines within one edit, the
+first HEAD words or the last HEAD words are equal. A line that shares neither with another
+line has no neighbour and emits nothing, so the variants stay far below the words of the
+corpus. Shorter lines (and those of LONG words, which may meet them) emit theirs as they are.
 Exact copies need no variants and meet by their hash.
 
 Only groups' minima are kept, never pairs: a line that a third of all documents carry is one
@@ -17,18 +19,16 @@ row after partial aggregation.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from boardlake.llm.common import fresh, materialise, small_enough
+from boardlake.llm.common import drop, fresh, materialise, small_enough
 
-#: Shorter lines (in words) stay, and so do near copies of lines below NEAR_WORDS. Defaults, which the pipeline keeps.
-MIN_WORDS = 5
-NEAR_WORDS = 10
-#: The same for all lines that aren't empty: every copy goes, and near copies from so many words.
-ALL_WORDS = 1
-ALL_NEAR_WORDS = 5
-_FIRST = "struct<doc:bigint,at:int>"
+#: The bound: one edit for lines of so many words, none for shorter ones, of which an edit would be a large part.
+NEAR_WORDS = 5
+#: Words from which on the sieve decides, and how many at either end it compares. An edit leaves one end of HEAD words whole
+#: if both lines have LONG words or more, as 2 * HEAD <= LONG.
+LONG, HEAD = 12, 6
 
 
 def norm(line: Column) -> Column:
@@ -40,18 +40,8 @@ def _count(line: Column) -> Column:
     return F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) + 1
 
 
-def _front(line: Column, n: Column) -> Column:
-    """The first n words."""
-    return F.call_function("substring_index", line, F.lit(" "), n.cast("int"))
-
-
-def _back(line: Column, n: Column) -> Column:
-    """The last n words."""
-    return F.call_function("substring_index", line, F.lit(" "), -n.cast("int"))
-
-
-def _lines(documents: DataFrame, least: int) -> DataFrame:
-    """_doc, _text, _at, _line for each line of at least so many words; never for empty lines."""
+def _lines(documents: DataFrame) -> DataFrame:
+    """_doc, _text, _at, _line, _n (words) for each line that isn't empty."""
     text = F.coalesce(F.col("text"), F.lit(""))
     return (
         documents.select(
@@ -59,21 +49,15 @@ def _lines(documents: DataFrame, least: int) -> DataFrame:
             F.posexplode(F.split(text, "\n", -1)).alias("_at", "_raw"),
         )
         .select("_doc", "_text", "_at", norm(F.col("_raw")).alias("_line"))
-        .select("*", _count(F.col("_line")).alias("_n"))
-        .filter((F.col("_line") != "") & (F.col("_n") >= least))
+        .filter(F.col("_line") != "")
+        .withColumn("_n", _count(F.col("_line")))
     )
 
 
-def _halves(line: Column, n: Column) -> Column:
-    """Keys of the halves: for each length that the longer line of a pair may have (n, n + 1), its
-    first (length - 1) // 2 words and its last (length - 1) - (length - 1) // 2."""
-    keys = []
-    for extra in (0, 1):
-        longer = n + extra
-        left = F.expr(f"(_n + {extra} - 1) div 2")
-        right = longer - 1 - left
-        keys += [F.xxhash64(F.lit(0), longer, _front(line, left)), F.xxhash64(F.lit(1), longer, _back(line, right))]
-    return F.array(*keys)
+def _ends(line: Column) -> Column:
+    """Keys of the first and the last HEAD words."""
+    front, back = (F.call_function("substring_index", line, F.lit(" "), F.lit(n)) for n in (HEAD, -HEAD))
+    return F.array(F.xxhash64(F.lit(0), front), F.xxhash64(F.lit(1), back))
 
 
 def _first(c: str = "_first") -> Column:
@@ -81,66 +65,76 @@ def _first(c: str = "_first") -> Column:
     return F.min(F.struct(F.col("_doc").alias("doc"), F.col("_at").alias("at"))).alias(c)
 
 
-def later_lines(documents: DataFrame, least: int = MIN_WORDS, near_from: int = NEAR_WORDS) -> DataFrame:
-    """_doc, _text, _gone (array of line positions) of the documents that lose lines."""
-    lines = _lines(documents, least)
+def later_lines(documents: DataFrame, near_from: int = NEAR_WORDS) -> DataFrame:
+    """_doc, _text, _gone (sorted array of line positions) of the documents that lose lines."""
+    n = F.col("_n")
     table = materialise(
-        lines.select(
+        _lines(documents).select(
             "_doc", "_text", "_at", F.xxhash64("_line").alias("_h"),
-            F.when(F.col("_n") >= near_from, _halves(F.col("_line"), F.col("_n"))).alias("_keys"),
+            F.when((n >= LONG) & (n >= near_from), _ends(F.col("_line"))).alias("_ends"),
+            F.when((n <= LONG) & (n >= near_from), F.col("_line")).alias("_line"),
         )
     )
     first = materialise(
-        table.groupBy("_h").agg(_first(), F.count("*").alias("_copies"), F.first("_keys").alias("_keys"))
+        table.groupBy("_h").agg(_first(), F.count("*").alias("_copies"), F.first("_ends").alias("_ends"), F.first("_line").alias("_line"))
     )
     near = _near(documents, first, near_from)
     odd = first.filter(F.col("_copies") > 1).select("_h", "_first").join(
         near.withColumnRenamed("_h", "_g"), F.col("_h") == F.col("_g"), "full"
     ).select(F.coalesce("_h", "_g").alias("_o"), "_first", F.coalesce("_is_near", F.lit(False)).alias("_is_near"))
+    odd = materialise(odd)
+    drop(first, near)
     place = F.struct(F.col("_doc").alias("doc"), F.col("_at").alias("at"))
-    gone = table.join(small_enough(materialise(odd)), F.col("_h") == F.col("_o")).filter(
+    gone = table.select("_doc", "_text", "_at", "_h").join(small_enough(odd), F.col("_h") == F.col("_o")).filter(
         F.col("_is_near") | (place > F.col("_first"))
     )
-    return gone.groupBy("_doc", "_text").agg(F.collect_set("_at").alias("_gone"))  # of one document
-
-
-def _near(documents: DataFrame, first: DataFrame, near_from: int) -> DataFrame:
-    """_h, _is_near (true) of the lines that have an earlier line within one edit."""
-    halves = first.filter(F.col("_keys").isNotNull()).select("_h", F.explode("_keys").alias("_key"))
-    shared = halves.groupBy("_key").agg(F.min("_h").alias("a"), F.max("_h").alias("b")).filter(F.col("a") != F.col("b"))
-    able = materialise(halves.join(shared.select("_key"), "_key", "left_semi").select("_h").distinct())
-    # each line that passed the sieve is read once, at its earliest place
-    at = first.join(small_enough(able), "_h", "left_semi").groupBy(F.col("_first.doc").alias("_doc")).agg(
-        F.collect_set("_first.at").alias("_places")  # of one document
+    out = materialise(gone.groupBy("_doc", "_text").agg(F.sort_array(F.collect_set("_at")).alias("_gone")))  # of one document
+    drop(table, odd)
+    return out
+
+
+def _long_lines(documents: DataFrame, first: DataFrame, near_from: int) -> DataFrame:
+    """_h, _first, _line, _n of the lines of over LONG words that share an end with another line, each read once, at its earliest place."""
+    ends = first.filter(F.col("_ends").isNotNull()).select("_h", F.explode("_ends").alias("_key"))
+    shared = ends.groupBy("_key").agg(F.min("_h").alias("a"), F.max("_h").alias("b")).filter(F.col("a") != F.col("b"))
+    able = materialise(ends.join(shared.select("_key"), "_key", "left_semi").select("_h").distinct())
+    at = materialise(
+        first.filter(F.col("_line").isNull()).join(small_enough(able), "_h", "left_semi").groupBy(F.col("_first.doc").alias("_doc"))
+        .agg(F.collect_set("_first.at").alias("_places"))  # of one document
     )
     docs = documents.select(F.col("doc_id").cast("long").alias("_id"), F.split(F.coalesce(F.col("text"), F.lit("")), "\n", -1).alias("_all"))
-    read = docs.join(small_enough(materialise(at), 200_000), F.col("_id").eqNullSafe(F.col("_doc"))).select(
-        "_doc", "_all", F.explode("_places").alias("_at")
-    )
+    read = docs.join(small_enough(at), F.col("_id").eqNullSafe(F.col("_doc"))).select("_doc", "_all", F.explode("_places").alias("_at"))
     line = read.filter(F.col("_at") < F.size("_all")).select("_doc", "_at", norm(F.element_at("_all", F.col("_at") + 1)).alias("_line"))
-    unique = materialise(
-        line.withColumn("_h", F.xxhash64("_line")).withColumn("_n", _count(F.col("_line"))).filter(F.col("_n") >= near_from)
+    out = materialise(
+        line.withColumn("_h", F.xxhash64("_line")).withColumn("_n", _count(F.col("_line"))).filter((F.col("_n") > LONG) & (F.col("_n") >= near_from))
         .groupBy("_h").agg(_first(), F.first("_line").alias("_line"), F.first("_n").alias("_n"))
     )
-    text, n = F.col("_line"), F.col("_n")
-    whole = F.struct(F.lit(-1).alias("i"), F.xxhash64(text).alias("v"))
-    less = F.transform(
-        F.sequence(F.lit(0), n - 1),
-        lambda i: F.struct(
-            i.alias("i"),
-            F.xxhash64(
-                F.when(i == 0, _back(text, n - 1)).when(i == n - 1, _front(text, n - 1))
-                .otherwise(F.concat(_front(text, i), F.lit(" "), _back(text, n - 1 - i)))
-            ).alias("v"),
-        ),
-    )
-    variants = unique.select("_h", "_first", F.explode(F.concat(F.array(whole), less)).alias("k")).select(
-        "_h", "_first", F.col("k.i").alias("_i"), F.col("k.v").alias("_v")
+    drop(able, at)
+    return out
+
+
+def _variants(lines: DataFrame) -> DataFrame:
+    """_h, _first, _i, _v: the key of each line without word _i, and of the whole line with _i -1."""
+    places = lines.select("_h", "_first", F.posexplode(F.concat(F.split("_line", " "), F.array(F.lit(None)))).alias("_i", "_word")).select(
+        "_h", "_first", "_i", F.col("_word").isNull().alias("_whole"),
+        F.when(F.col("_word").isNull(), 0).otherwise(F.xxhash64("_word", "_i")).alias("_as_is"),
+        F.when(F.col("_word").isNull(), 0).otherwise(F.xxhash64("_word", F.col("_i") - 1)).alias("_moved"),
     )
-    variants = materialise(variants)
+    by = Window.partitionBy("_h")  # the words of one line
+    upto = by.orderBy("_i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    key = F.bit_xor("_as_is").over(upto).bitwiseXOR(F.col("_as_is")).bitwiseXOR(F.bit_xor("_moved").over(upto)).bitwiseXOR(F.bit_xor("_moved").over(by))
+    return places.select("_h", "_first", F.when(F.col("_whole"), -1).otherwise(F.col("_i")).alias("_i"), key.alias("_v"))
+
+
+def _near(documents: DataFrame, first: DataFrame, near_from: int) -> DataFrame:
+    """_h, _is_near (true) of the lines that have an earlier line within one edit."""
+    long = _long_lines(documents, first, near_from)
+    lines = first.filter(F.col("_line").isNotNull()).select("_h", "_first", "_line").unionByName(long.select("_h", "_first", "_line"))
+    every = materialise(_variants(lines))
     # variants that one line alone has meet nothing
-    met = variants.groupBy("_v").agg(F.min("_h").alias("a"), F.max("_h").alias("b")).filter(F.col("a") != F.col("b")).select("_v")
-    variants = materialise(variants.join(met, "_v", "left_semi"))
+    met = every.groupBy("_v").agg(F.min("_h").alias("a"), F.max("_h").alias("b")).filter(F.col("a") != F.col("b")).select("_v")
+    variants = materialise(every.join(met, "_v", "left_semi"))
+    drop(every)
     me = F.struct(F.col("_first").alias("f"), F.col("_h").alias("h"))
     least = variants.groupBy("_v", "_i").agg(F.min(me).alias("_e"))
     # substitution: the same word left out of both
@@ -151,14 +145,16 @@ def _near(documents: DataFrame, first: DataFrame, near_from: int) -> DataFrame:
     grown = variants.filter("_i >= 0").join(of_whole, "_v").filter(F.col("_w.f") < F.col("_first"))
     shrunk = variants.filter("_i = -1").join(of_less, "_v").filter(F.col("_w.f") < F.col("_first"))
     pairs = (
-        swapped.select("_h", "_i", F.col("_e.h").alias("_g"))
-        .unionByName(grown.select("_h", "_i", F.col("_w.h").alias("_g")))
-        .unionByName(shrunk.select("_h", F.lit(-1).alias("_i"), F.col("_w.h").alias("_g")))
-        .groupBy("_h", "_g").agg(F.max("_i").alias("_i"))
+        swapped.select("_h", F.col("_e.h").alias("_g"))
+        .unionByName(grown.select("_h", F.col("_w.h").alias("_g")))
+        .unionByName(shrunk.select("_h", F.col("_w.h").alias("_g")))
+        .distinct()
     )
-    texts = unique.select("_h", F.split("_line", " ").alias("x"))
+    texts = lines.select("_h", F.split("_line", " ").alias("x"))
     seen = pairs.join(texts, "_h").join(texts.select(F.col("_h").alias("_g"), F.col("x").alias("y")), "_g")
-    return seen.filter(one_edit(F.col("x"), F.col("y"))).select("_h").distinct().withColumn("_is_near", F.lit(True))
+    out = materialise(seen.filter(one_edit(F.col("x"), F.col("y"))).select("_h").distinct().withColumn("_is_near", F.lit(True)))
+    drop(long, variants)
+    return out
 
 
 def one_edit(x: Column, y: Column) -> Column:
@@ -173,29 +169,31 @@ def one_edit(x: Column, y: Column) -> Column:
     ).otherwise(rest(x, 0) == rest(y, 1))
 
 
-def dedup(documents: DataFrame, least: int = MIN_WORDS, near_from: int = NEAR_WORDS) -> DataFrame:
+def dedup(documents: DataFrame, near_from: int = NEAR_WORDS) -> DataFrame:
     """The documents with their columns, texts without lines that come again.
 
-    A line goes if an equal line, or one within one word of it, stands earlier (by doc_id,
-    then line). Lines under least words stay, near copies under near_from too. Null texts
-    stay null; empty texts stay; a document may keep no line and then has an empty text. Rows
-    with one doc_id and text count as one document and are treated alike. n_chars, if a
-    whole-number column, follows the text. Further columns pass as they are.
+    A line goes if an equal line stands earlier (by doc_id, then line), or one within one word
+    of it and both have near_from words or more. Empty lines stay. Null texts stay null; empty
+    texts stay; a document may keep no line and then has an empty text. Rows with one doc_id
+    and text count as one document and are treated alike; rows of one doc_id and other texts
+    stand at one place. Null doc_ids come first. n_chars, if a whole-number column, follows the
+    text. Further columns pass as they are, whatever their names. An empty table gives none.
     """
-    return _cut(documents, [], least, near_from)[0]
+    return _cut(documents, [], near_from)[0]
 
 
-def _cut(documents: DataFrame, more: list[str], least: int, near_from: int) -> tuple[DataFrame, str]:
-    gone = materialise(later_lines(documents, least, near_from))
+def _cut(documents: DataFrame, more: list[str], near_from: int) -> tuple[DataFrame, str]:
     d, t, g, k = (fresh(x, documents.columns) for x in ("_doc", "_text", "_gone", "_key"))
-    gone = gone.select(F.col("_doc").alias(d), F.col("_text").alias(t), F.col("_gone").alias(g))
+    gone = later_lines(documents, near_from).select(F.col("_doc").alias(d), F.col("_text").alias(t), F.col("_gone").alias(g))
     keyed = documents.withColumn(k, F.xxhash64("text"))
     joined = keyed.join(
-        small_enough(gone, 100_000), F.col("doc_id").cast("long").eqNullSafe(F.col(d)) & (F.col(k) == F.col(t)), "left"
-    )
-    left = F.array_join(
-        F.filter(F.split("text", "\n", -1), lambda line, i: ~F.array_contains(F.col(g), i)), "\n"
+        small_enough(gone), F.col("doc_id").cast("long").eqNullSafe(F.col(d)) & (F.col(k) == F.col(t)), "left"
     )
+    # a flag for each line up to the last that goes, built from the gaps between those, so long texts take no longer than their lines
+    gaps = F.transform(F.col(g), lambda at, i: at - F.when(i == 0, F.lit(-1)).otherwise(F.get(F.col(g), i - 1)) - 1)
+    flags = F.flatten(F.transform(gaps, lambda n: F.concat(F.array_repeat(F.lit(False), n), F.array(F.lit(True)))))
+    lines = F.zip_with(F.split("text", "\n", -1), flags, lambda line, gone: F.when(~F.coalesce(gone, F.lit(False)), line))
+    left = F.array_join(lines, "\n")
     out = joined.withColumn("text", F.when(F.col(g).isNull(), F.col("text")).otherwise(left))
     if dict(documents.dtypes).get("n_chars") in ("int", "bigint"):
         out = out.withColumn(
@@ -204,9 +202,13 @@ def _cut(documents: DataFrame, more: list[str], least: int, near_from: int) -> t
     return (out.select(*documents.columns, *([F.size(F.col(g)).alias(m) for m in more] if more else [])), g)
 
 
-def report(documents: DataFrame, least: int = MIN_WORDS, near_from: int = NEAR_WORDS) -> DataFrame:
-    """Per document: doc_id, n_removed, n_lines_kept, text_sha256 (of the text that is left)."""
-    out, _ = _cut(documents.select("doc_id", "text"), ["removed"], least, near_from)
+def report(documents: DataFrame, near_from: int = NEAR_WORDS) -> DataFrame:
+    """Per document: doc_id, n_removed, n_lines_kept, text_sha256 (of the text that is left).
+
+    Null texts count as empty; repeated rows are all returned, alike; an empty table gives
+    none; further columns are left out. Lines go as dedup() has it.
+    """
+    out, _ = _cut(documents.select("doc_id", "text"), ["removed"], near_from)
     return out.select(
         "doc_id",
         F.greatest(F.coalesce("removed", F.lit(0)), F.lit(0)).cast("long").alias("n_removed"),

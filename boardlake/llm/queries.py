@@ -58,7 +58,7 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return linededup.report(table(spark, sf_dir, "documents"), linededup.ALL_WORDS, linededup.ALL_NEAR_WORDS)
+    return linededup.report(table(spark, sf_dir, "documents"))
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -118,14 +118,20 @@ m AS (SELECT d.doc_id, lang, source, len(w)::BIGINT AS n_words, length(regexp_re
 e AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
              least(1000, 1000 * n_symbols // greatest(word_chars, 1)) AS v1, least(1000, 1000 * n_dup_lines // greatest(n_lines, 1)) AS v2,
              least(1000, 1000 * n_repeat_words // greatest(n_words, 1)) AS v3, least(1000, 1000 * n_upper // greatest(word_chars, 1)) AS v4 FROM m),
+q AS (SELECT lang, source, v1, v2, v3, v4, count(*) OVER (PARTITION BY lang, source) AS n,
+             count(*) OVER (PARTITION BY lang, source ORDER BY v1 RANGE UNBOUNDED PRECEDING) AS c1,
+             count(*) OVER (PARTITION BY lang, source ORDER BY v2 RANGE UNBOUNDED PRECEDING) AS c2,
+             count(*) OVER (PARTITION BY lang, source ORDER BY v3 RANGE UNBOUNDED PRECEDING) AS c3,
+             count(*) OVER (PARTITION BY lang, source ORDER BY v4 RANGE UNBOUNDED PRECEDING) AS c4
+      FROM e WHERE NOT base_failed),
 f AS (SELECT lang, source,
-             greatest(60, quantile_disc(v1, 0.75) + 3 * (quantile_disc(v1, 0.75) - quantile_disc(v1, 0.25))) AS f1,
-             greatest(500, quantile_disc(v2, 0.75) + 3 * (quantile_disc(v2, 0.75) - quantile_disc(v2, 0.25))) AS f2,
-             greatest(200, quantile_disc(v3, 0.75) + 3 * (quantile_disc(v3, 0.75) - quantile_disc(v3, 0.25))) AS f3,
-             greatest(400, quantile_disc(v4, 0.75) + 3 * (quantile_disc(v4, 0.75) - quantile_disc(v4, 0.25))) AS f4
-      FROM e WHERE NOT base_failed GROUP BY lang, source)
+             min(CASE WHEN 1000 * c1 >= 950 * n THEN v1 END) AS f1,
+             min(CASE WHEN 1000 * c2 >= 995 * n THEN v2 END) AS f2,
+             min(CASE WHEN 1000 * c3 >= 995 * n THEN v3 END) AS f3,
+             min(CASE WHEN 1000 * c4 >= 995 * n THEN v4 END) AS f4
+      FROM q GROUP BY lang, source)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       NOT base_failed AND v1 <= coalesce(f1, 60) AND v2 <= coalesce(f2, 500) AND v3 <= coalesce(f3, 200) AND v4 <= coalesce(f4, 400) AS kept
+       NOT base_failed AND coalesce(v1 <= f1 AND v2 <= f2 AND v3 <= f3 AND v4 <= f4, false) AS kept
 FROM e LEFT JOIN f ON e.lang IS NOT DISTINCT FROM f.lang AND e.source IS NOT DISTINCT FROM f.source""",
     "op6_ngram_jaccard_join": rf"""
 WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') AS w FROM documents),

@@ -36,6 +36,18 @@ def op2(docs, bench):
     return out
 
 
+def op2_left(text, bench):
+    """Words outside windows of the items."""
+    find = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lowered(t or ""))
+    w, hit = find(text), set()
+    for _, t in bench:
+        x = find(t)
+        for i in range(max(1, len(x) - 12) if x else 0):
+            y = x[i : i + 13]
+            hit.update(k for j in range(len(w)) if w[j : j + len(y)] == y for k in range(j, j + len(y)))
+    return " ".join(x for i, x in enumerate(w) if i not in hit)
+
+
 def op5(docs):
     out = {}
     for doc, t in docs:
@@ -102,20 +114,19 @@ def near_words(x: list, y: list) -> bool:
 
 
 def left_lines(docs):
-    """Lines that stay, by document."""
-    out, earlier = {}, []
+    """Lines that stay, by document: copies of any line that isn't empty go, near copies from 5 words."""
+    out, seen, earlier = {}, set(), defaultdict(list)
     for doc, t in sorted(docs):
-        kept = []
+        out[doc] = []
         for raw in (t or "").split("\n"):
-            w = raw.lower().strip(" \t\r").split(" ")
-            gone = len(w) >= 5 and any(
-                w == e or len(w) >= 10 and len(e) >= 10 and abs(len(w) - len(e)) <= 1 and near_words(w, e) for e in earlier
-            )
-            if not gone:
-                kept.append(raw)
-            if len(w) >= 5:
-                earlier.append(w)
-        out[doc] = kept
+            line = raw.lower().strip(" \t\r")
+            w = line.split(" ")
+            near = len(w) >= 5 and any(near_words(w, e) for n in (-1, 0, 1) if len(w) + n >= 5 for e in earlier[len(w) + n])
+            if not line or line not in seen and not near:
+                out[doc].append(raw)
+            if line and line not in seen:
+                seen.add(line)
+                earlier[len(w)].append(w)
     return out
 
 

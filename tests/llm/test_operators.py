@@ -82,7 +82,11 @@ def test_decontamination(spark, docs, none):
     assert decontaminate.remove(df, b).columns == df.columns
     assert decontaminate.report(none, b).count() == 0
     assert {x[1] for x in got(decontaminate.report(df, b.limit(0)), "n_words", "n_hit").values()} == {0}
-    assert len(got(decontaminate.strip(df, b), "text")) == len(rows)
+    assert got(decontaminate.strip(df, b), "text") == {i: (plain.op2_left(t, bench),) for i, t in rows}
+    assert decontaminate.strip(none, b).count() == 0 and decontaminate.remove(none, b).count() == 0
+    many = "A b c d\n" * 40_000
+    few = spark.createDataFrame([(1, None), (2, many), (2, many), (None, "A b"), (None, "")], "doc_id long, text string")
+    assert sorted((r.text for r in decontaminate.strip(few, b).collect()), key=len) == ["", "", "", *[" ".join(["d"] * 40_000)] * 2]
 
 
 def test_rules(docs, none):
@@ -97,6 +101,27 @@ def test_rules(docs, none):
     assert rules.quality(none).count() == 0 and rules.keep_good(none).count() == 0
 
 
+def test_limits_follow_their_group(spark):
+    """What is usual in one source is odd in another; the limit is the value at the metric's rank."""
+    word = lambda i: f"w{i}"
+    rows = []
+    for source, usual in (("a", 0), ("b", 6)):
+        for i in range(400):
+            signs = usual + (i % 10) * (source == "b") + 9 * (i < 8)
+            rows.append((len(rows), " ".join([*map(word, range(i, i + 60)), *["#"] * signs]), "en", source))
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(5)
+    measured, c = rules.measure(df)
+    most = {r["_source"]: r.asDict() for r in rules.limits(measured, c).collect()}
+    share = lambda t: 1000 * t.count("#") // len(t.replace(" ", ""))
+    for source in "ab":
+        values = sorted(share(t) for _, t, _, s in rows if s == source)
+        assert most[source]["_max_symbols"] == values[-(-950 * len(values) // 1000) - 1]
+    assert most["a"]["_max_symbols"] == 0 < most["b"]["_max_symbols"]
+    kept = {i for i, (k,) in got(rules.quality(df), "kept").items() if k}
+    gone = {i for i, t, _, s in rows if share(t) > most[s]["_max_symbols"]}
+    assert gone and not gone & kept and kept == {r.doc_id for r in rules.keep_good(df).collect()}
+
+
 def test_jaccard_join(docs, none):
     df, rows = docs
     want = plain.op6(rows)
@@ -136,10 +161,28 @@ def test_secrets(docs, none):
 
 
 def test_owners_separate_copied_keys(spark):
-    shared, own = "Abcdefghij1234567890", "Zyxwvutsrq0987654321"
+    shared, own, many = "Abcdefghij1234567890", "Zyxwvutsrq0987654321", "Qwertyuiop1234512345"
     rows = [(1, f"see {shared}", "en", "a"), (2, f"see {shared} é", "en", "b"), (3, f"é {own} and {own}", "en", "a"), (None, f"{own}", None, "a")]
-    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
-    assert got(secrets.secrets(df), "spans") == {1: ("",), 2: ("",), 3: ("owned:2:22,owned:27:47",), None: ("owned:0:20",)}
+    rows += [(10 + i, f"{many} in {i}", "en", "a") for i in range(30)]  # one owner, but pasted everywhere
+    rows += [(50, "token=onlyhere1", "en", "a"), (51, "token=sample99", "en", "a"), (52, "token=sample99", "en", "b")]
+    df = spark.createDataFrame([*rows, rows[2]], "doc_id long, text string, lang string, source string")
+    out = secrets.secrets(df)
+    assert out.count() == len(rows) + 1
+    assert got(out, "spans") == {
+        1: ("",), 2: ("",), 3: ("owned:2:22,owned:27:47",), None: ("owned:0:20",), **{10 + i: ("",) for i in range(30)},
+        50: ("assign:0:15",), 51: ("assign:0:14",), 52: ("assign:0:14",),
+    }
+    assert {d: x for d, x in got(out, "n_base_owned", "n_base_copied").items() if x != (0, 0)} == {50: (1, 0), 51: (0, 1), 52: (0, 1)}
+
+
+def test_secrets_of_long_texts(spark):
+    """Work grows with the matches: 100,000 of them in one text take seconds, not hours."""
+    line = "0123456789abcdef01234567 token=abcdef"
+    df = spark.createDataFrame([(1, "\n".join([line] * 100_000), "en", "a")], "doc_id long, text string, lang string, source string")
+    (row,) = secrets.secrets(df).collect()
+    assert (row.n_assign, row.n_access, row.n_hex) == (100_000, 0, 100_000)
+    last = (len(line) + 1) * 99_999
+    assert row.spans.endswith(f"hex:{last}:{last + 24},owned:{last}:{last + 24},assign:{last + 25}:{last + 37}")
 
 
 def test_line_dedup(docs, none):
@@ -152,6 +195,12 @@ def test_line_dedup(docs, none):
     assert linededup.dedup(none).count() == 0
 
 
+def test_line_dedup_of_long_texts(spark):
+    text = "\n".join(f"line number {i % 50_000} of this long text" for i in range(100_000)) + "\n" + "word " * 50_000
+    (row,) = linededup.dedup(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
+    assert row.text == "line number 0 of this long text\n" + "word " * 50_000
+
+
 def test_near_lines(spark):
     w = [f"w{i}" for i in range(12)]
     swap = lambda i: " ".join(w[:i] + ["odd"] + w[i + 1 :])
@@ -174,6 +223,12 @@ def test_token_files(spark, docs, none):
         want[i] = (start, len(ids), zlib.crc32(ids.tobytes()))
         start += len(ids)
     assert got(tokenfiles.digests(tokenfiles.read(spark, folder)), "start", "n_tokens", "ids_crc32") == want
+    odd = [(None, "b a"), (None, None), (-(2**63), "x"), (2**63 - 1, "y\0 z"), (7, "c"), (7, "c")]
+    folder = shared_dir(spark)
+    tokenfiles.write(spark.createDataFrame(odd, "doc_id long, text string"), P.path("byte_bpe_50k.json"), folder)
+    back = tokenfiles.read(spark, folder).orderBy("start").collect()
+    assert [r.doc_id for r in back] == [None, None, -(2**63), 7, 7, 2**63 - 1]
+    assert library.decode(np.frombuffer(bytes(back[-1].ids), "<u4").tolist()[:-1]) == "y\0 z"
     folder = shared_dir(spark)
     tokenfiles.write(none, P.path("byte_bpe_50k.json"), folder)
     assert tokenfiles.read(spark, folder).count() == 0
@@ -184,8 +239,9 @@ def test_elias_fano():
     for n, most in ((1, 1), (3, 0), (200, 5), (1000, 10**6), (500, 700)):
         values = np.sort(rng.integers(0, most + 1, n))
         ef = tokenfiles.EliasFano(*tokenfiles.EliasFano.pack(values), n)
-        assert ef.all().tolist() == values.tolist()
-        assert [ef.select(i) for i in range(n)] == values.tolist()
+        assert ef.every().tolist() == values.tolist() == [ef.select(i) for i in range(n)]
+    wide = np.array([0, 5, 1 << 40, (1 << 64) - 1], np.uint64)
+    assert tokenfiles.EliasFano(*tokenfiles.EliasFano.pack(wide), 4).every().tolist() == wide.tolist()
 
 
 def test_token_counts(docs, none):

@@ -6,22 +6,6 @@ from boardlake.llm import queries
 from tests.llm import plain
 
 
-def kept_lines(docs):
-    """Lines that stay, by document: copies of any line that isn't empty go, near copies from 5 words."""
-    out, earlier = {}, []
-    for doc, t in sorted(docs):
-        out[doc] = []
-        for raw in (t or "").split("\n"):
-            line = raw.lower().strip(" \t\r")
-            w = line.split(" ")
-            near = (e for e in earlier if len(w) >= 5 and len(e) >= 5 and plain.near_words(w, e))
-            if not line or w not in earlier and not any(near):
-                out[doc].append(raw)
-            if line:
-                earlier.append(w)
-    return out
-
-
 def test_line_dedup_takes_short_lines(spark, tmp_path):
     lines = [
         "Menu", "one two three four five", "one two three four", "one two three four five six", "one two odd four five", "a b", "", " ", "menu\t",
@@ -32,7 +16,7 @@ def test_line_dedup_takes_short_lines(spark, tmp_path):
     found = {r.doc_id: (r.n_removed, r.text_sha256) for r in queries.op9_line_dedup(spark, str(tmp_path)).collect()}
     texts = dict(rows)
     assert found == {
-        d: (len((texts[d] or "").split("\n")) - len(x), plain.hexed("\n".join(x).encode())) for d, x in kept_lines(rows).items()
+        d: (len((texts[d] or "").split("\n")) - len(x), plain.hexed("\n".join(x).encode())) for d, x in plain.left_lines(rows).items()
     }
 
 
