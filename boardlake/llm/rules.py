@@ -2,10 +2,11 @@
 
 Method: each metric is an integer per mille, so a count per value and (lang, source) is a
 mergeable quantile sketch of at most 1001 buckets with an error of one per mille: partial
-counts of tasks add up, in any order, to the same sketch. From it come the quartiles of each
-language and source, and a document fails a metric above its group's upper fence
-Q3 + SPREAD * (Q3 - Q1), but never below a floor under which no text is called odd. Metrics
-and fences are joined and the documents filtered.
+counts of tasks add up, in any order, to the same sketch. A document fails a metric above the
+quantile of its own language and source that the metric's rank names; there is no fixed
+cutoff. So at most the share beyond the rank fails in any group, groups of fewer documents
+than 1 / (1 - rank) lose none, and what is usual in one source may be odd in another. Metrics
+and limits are joined and the documents filtered.
 """
 
 from __future__ import annotations
@@ -23,14 +24,13 @@ from boardlake.llm.common import fresh, materialise, small_enough
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_upper", "n_lines")
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
-#: Metric -> (numerator, denominator, floor per mille).
+#: Metric -> (numerator, denominator, rank per mille of the highest value that passes).
 METRICS = {
-    "symbols": ("n_symbols", "word_chars", 60),
-    "dup_lines": ("n_dup_lines", "n_lines", 500),
-    "repeats": ("n_repeat_words", "n_words", 200),
-    "upper": ("n_upper", "word_chars", 400),
+    "symbols": ("n_symbols", "word_chars", 950),
+    "dup_lines": ("n_dup_lines", "n_lines", 995),
+    "repeats": ("n_repeat_words", "n_words", 995),
+    "upper": ("n_upper", "word_chars", 995),
 }
-SPREAD = 3
 _UPPER = bytes(range(65, 91))
 
 
@@ -92,9 +92,13 @@ def base_failed(c: str):
     return F.expr(f"{c}.n_words < 20 or 100 * {c}.n_repeat_words > 30 * {c}.n_words")
 
 
-def fences(measured: DataFrame, c: str) -> DataFrame:
-    """Per (lang, source): the highest value of each metric that passes. Documents that fail the
-    base rules are not counted. Null languages and sources are a group of their own."""
+def limits(measured: DataFrame, c: str) -> DataFrame:
+    """_lang, _source and per metric _max_<metric>: the highest value that passes in this language and source.
+
+    Documents that fail the base rules are not counted. Null languages and sources are a group
+    of their own. An empty table has no groups.
+    """
+    ranks = F.create_map(*[F.lit(x) for m, (_, _, rank) in METRICS.items() for x in (m, rank)])
     each = measured.filter(~base_failed(c)).select(
         F.col("lang").alias("_lang"),
         F.col("source").alias("_source"),
@@ -103,33 +107,24 @@ def fences(measured: DataFrame, c: str) -> DataFrame:
         ).alias("m"),
     )
     sketch = each.groupBy("_lang", "_source", "m.metric", "m.value").agg(F.count("*").alias("n"))
-    group = Window.partitionBy("_lang", "_source", "metric")
-    marked = sketch.withColumn("upto", F.sum("n").over(group.orderBy("value"))).withColumn(
-        "total", F.sum("n").over(group)
-    )
-    quartile = marked.groupBy("_lang", "_source", "metric").agg(
-        F.min(F.when(F.col("upto") * 4 >= F.col("total"), F.col("value"))).alias("q1"),
-        F.min(F.when(F.col("upto") * 4 >= F.col("total") * 3, F.col("value"))).alias("q3"),
-    )
-    fence = F.col("q3") + SPREAD * (F.col("q3") - F.col("q1"))
-    return quartile.groupBy("_lang", "_source").agg(
-        *[
-            F.max(F.when(F.col("metric") == m, F.greatest(F.lit(floor), fence))).alias(f"_max_{m}")
-            for m, (_, _, floor) in METRICS.items()
-        ]
+    group = Window.partitionBy("_lang", "_source", "metric")  # at most 1001 values
+    marked = sketch.withColumn("upto", F.sum("n").over(group.orderBy("value"))).withColumn("total", F.sum("n").over(group))
+    reached = F.when(F.col("upto") * 1000 >= F.col("total") * ranks[F.col("metric")], F.col("value"))
+    return marked.groupBy("_lang", "_source").agg(
+        *[F.min(F.when(F.col("metric") == m, reached)).alias(f"_max_{m}") for m in METRICS]
     )
 
 
-def judge(measured: DataFrame, limits: DataFrame, c: str, kept: str) -> DataFrame:
+def judge(measured: DataFrame, most: DataFrame, c: str, kept: str) -> DataFrame:
     """measured with boolean column kept."""
     joined = measured.join(
-        small_enough(limits, 100_000),
+        small_enough(most),
         F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source")),
         "left",
     )
     passed = ~base_failed(c)
     for m in METRICS:
-        passed = passed & (_metric(c, m) <= F.coalesce(F.col(f"_max_{m}"), F.lit(METRICS[m][2])))
+        passed = passed & (_metric(c, m) <= F.coalesce(F.col(f"_max_{m}"), F.lit(1000)))
     return joined.withColumn(kept, passed).select(*measured.columns, kept)
 
 
@@ -141,7 +136,7 @@ def quality(documents: DataFrame) -> DataFrame:
     """
     measured, c = measure(documents.select("doc_id", "lang", "source", "text"), drop_text=True)
     measured = materialise(measured)
-    return judge(measured, materialise(fences(measured, c)), c, "kept").select(
+    return judge(measured, materialise(limits(measured, c)), c, "kept").select(
         "doc_id", *[f"{c}.{x}" for x in COUNTS[:5]], base_failed(c).alias("base_failed"), "kept"
     )
 
@@ -149,11 +144,12 @@ def quality(documents: DataFrame) -> DataFrame:
 def keep_good(documents: DataFrame) -> DataFrame:
     """The documents that pass, with their columns as they were, clashing names and all.
 
+    Null and empty texts fail; of repeated rows all stay or all go; an empty table gives none.
     Thresholds come from one pass that keeps counts only; a second pass measures each row
     again beside its text, so no text is shuffled or written.
     """
     few, c = measure(documents.select("lang", "source", "text"), drop_text=True)
-    limits = materialise(fences(few, c))
+    most = materialise(limits(few, c))
     measured, c = measure(documents)
     kept = fresh("kept", measured.columns)
-    return judge(measured, limits, c, kept).filter(F.col(kept)).select(*documents.columns)
+    return judge(measured, most, c, kept).filter(F.col(kept)).select(*documents.columns)
