@@ -1,21 +1,23 @@
 """Secret scans with DataFrame operations alone.
 
 Base rules find assignments, access keys and long hex strings. Method: candidate values (base
-values and further key-like strings) are hashed, and for each hash the distinct repositories
-and owners are counted over the whole corpus. A value that one owner alone has looks like a
-live credential and its spans are added as kind "owned"; a value that several owners have is
-a copied example. Base spans stay whatever their frequency.
+values and further key-like strings) are hashed, and for each hash the documents, the distinct
+repositories and the distinct owners are counted over the whole corpus. A value of few
+documents, repositories and owners (MOST_DOCUMENTS, MOST_REPOSITORIES, MOST_OWNERS) looks like
+a live credential: key-like strings of that sort are added as spans of kind "owned", and base
+values of that sort count as owned. A value with more of any is a widely copied example. Base
+spans stay whatever their frequency.
 
 Positions come from splitting a text by the same pattern that extracts the matches: pieces
-and matches alternate, so running sums of their lengths are the offsets.
+and matches alternate, so running totals of their lengths over a text's matches are the offsets.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from boardlake.llm.common import materialise, small_enough
+from boardlake.llm.common import drop, materialise, small_enough
 
 ASSIGN = (
     r"([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]"
@@ -26,128 +28,103 @@ HEX = r"[0-9a-f]{24,}"
 #: Key-like strings: 20 characters or more of letters and digits, at least three of them digits.
 KEY_LIKE = r"(?<![A-Za-z0-9])[A-Za-z0-9]{20,}(?![A-Za-z0-9])"
 KINDS = ("assign", "access", "hex", "owned")
-#: A value with more owners than this is a copied example.
-MOST_OWNERS = 1
-_SPAN = "array<struct<start:int,end:int,rank:int,value:string>>"
+#: A value with more of these is a copied example.
+MOST_OWNERS, MOST_REPOSITORIES, MOST_DOCUMENTS = 1, 2, 20
+_MATCHES = "array<struct<rank:int,gap:int,size:int,value:string>>"
 
 
-def spans(text: Column, pattern: str, rank: int, value: Column | None = None) -> Column:
-    """Start, end (exclusive), rank of kind and value of each match. value: of the matches' values, if not whole."""
-    matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+def _matches(text: Column, pattern: str, rank: int, group: int = 0) -> Column:
+    """Of each match its kind, the length of the text before it (from the match before it on), its own, and a group's value."""
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.split(text, pattern, -1)
-    pairs = F.arrays_zip(
-        F.transform(F.slice(gaps, 1, F.size(matches)), F.length).alias("gap"),
-        F.transform(matches, F.length).alias("size"),
-        (matches if value is None else value).alias("value"),
-    )
-    summed = F.aggregate(
-        pairs,
-        F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("out")),
-        lambda acc, p: F.struct(
-            (acc["at"] + p["gap"] + p["size"]).alias("at"),
-            F.concat(
-                acc["out"],
-                F.array(
-                    F.struct(
-                        (acc["at"] + p["gap"]).alias("start"),
-                        (acc["at"] + p["gap"] + p["size"]).alias("end"),
-                        F.lit(rank).alias("rank"),
-                        p["value"].alias("value"),
-                    )
-                ),
-            ).alias("out"),
-        ),
-        lambda acc: acc["out"],
-    )
-    return F.when(text.rlike(pattern), summed).otherwise(F.array().cast(_SPAN))
-
-
-def base_spans(text: Column) -> Column:
-    """Spans of the three base kinds, by start and then kind."""
-    assign = F.filter(
-        spans(text, ASSIGN, 0, F.regexp_extract_all(text, F.lit(ASSIGN), F.lit(2))),
-        lambda s: F.length(s["value"]) >= 6,
-    )
-    return F.sort_array(F.concat(assign, spans(text, ACCESS, 1), spans(text, HEX, 2)))
-
-
-def listed(found: Column) -> Column:
-    """kind:start:end of sorted spans, comma-joined."""
-    kind = F.array(*[F.lit(k) for k in KINDS])
-    return F.concat_ws(
-        ",",
-        F.transform(
-            found,
-            lambda s: F.concat_ws(":", F.element_at(kind, s["rank"] + 1), s["start"].cast("string"), s["end"].cast("string")),
-        ),
+    value = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else found
+    parts = F.arrays_zip(
+        F.transform(F.slice(gaps, F.lit(1), F.size(found)), F.length).alias("gap"), F.transform(found, F.length).alias("size"), value.alias("value")
     )
+    rows = F.transform(parts, lambda p: F.struct(F.lit(rank).alias("rank"), p["gap"].alias("gap"), p["size"].alias("size"), p["value"].alias("value")))
+    return F.when(text.rlike(pattern), rows.cast(_MATCHES)).otherwise(F.array().cast(_MATCHES))
 
 
 def scan(documents: DataFrame) -> DataFrame:
-    """_doc, _text (hash), _owner, _repo, _base (spans), _more (key-like spans) of documents with any."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    docs = documents.filter(
-        F.col("text").rlike(f"(?:{ASSIGN})|{ACCESS}|{HEX}|{KEY_LIKE}")
-    )
-    more = F.filter(
-        spans(text, KEY_LIKE, 3),
-        lambda s: (F.length(F.regexp_replace(s["value"], "[^0-9]", "")) >= 3)
-        & (F.length(F.regexp_replace(s["value"], "[^A-Za-z]", "")) >= 3),
-    )
-    return docs.select(
+    """_doc, _text (hash), _owner, _repo, _rank, _start, _end (exclusive), _value of every base and key-like span.
+
+    Rows with the same doc_id, text, source and language count once."""
+    text = F.coalesce(F.col("_all"), F.lit(""))
+    docs = documents.filter(F.col("text").rlike(f"(?:{ASSIGN})|{ACCESS}|{HEX}|{KEY_LIKE}")).select(
         F.col("doc_id").alias("_doc"),
         F.xxhash64("text").alias("_text"),
         F.coalesce(F.col("source"), F.lit("")).alias("_owner"),
         F.concat_ws("/", F.coalesce(F.col("source"), F.lit("")), F.coalesce(F.col("lang"), F.lit(""))).alias("_repo"),
-        base_spans(text).alias("_base"),
-        more.alias("_more"),
-    ).distinct()
+        F.col("text").alias("_all"),
+    )
+    every = F.concat(_matches(text, ASSIGN, 0, 2), _matches(text, ACCESS, 1), _matches(text, HEX, 2), _matches(text, KEY_LIKE, 3))
+    rows = docs.select("_doc", "_text", "_owner", "_repo", F.posexplode(every).alias("_at", "m")).distinct()
+    by = Window.partitionBy("_doc", "_text", "_owner", "_repo", "m.rank").orderBy("_at")  # the matches of one text
+    end = F.sum(F.col("m.gap") + F.col("m.size")).over(by.rowsBetween(Window.unboundedPreceding, Window.currentRow)).cast("int")
+    value = F.col("_value")
+    lengths = lambda pattern: F.length(F.regexp_replace(value, pattern, ""))
+    key = (lengths("[^0-9]") >= 3) & (lengths("[^A-Za-z]") >= 3)
+    return rows.select(
+        "_doc", "_text", "_owner", "_repo", F.col("m.rank").alias("_rank"), (end - F.col("m.size")).alias("_start"), end.alias("_end"), F.col("m.value").alias("_value")
+    ).filter(F.when(F.col("_rank") == 0, F.length(value) >= 6).when(F.col("_rank") == 3, key).otherwise(True))
 
 
 def frequency(found: DataFrame) -> DataFrame:
-    """_hash, n_repos, n_owners of every candidate value; the copies of a value add up before the shuffle."""
-    each = found.select(
-        "_owner", "_repo", F.explode(F.concat("_base", "_more")).alias("s")
-    ).select("_owner", "_repo", F.sha2(F.col("s.value"), 256).alias("_hash"))
-    repos = each.groupBy("_hash", "_owner", "_repo").agg(F.count("*").alias("n"))
-    owners = repos.groupBy("_hash", "_owner").agg(F.count("*").alias("repos"))
-    return owners.groupBy("_hash").agg(F.sum("repos").alias("n_repos"), F.count("*").alias("n_owners"))
+    """_hash, n_documents, n_repos, n_owners of every candidate value; the copies of a value add up before the shuffle."""
+    each = found.select("_owner", "_repo", "_doc", "_text", F.sha2("_value", 256).alias("_hash"))
+    docs = each.groupBy("_hash", "_owner", "_repo", "_doc", "_text").agg(F.lit(1).alias("one"))
+    repos = docs.groupBy("_hash", "_owner", "_repo").agg(F.count("*").alias("documents"))
+    owners = repos.groupBy("_hash", "_owner").agg(F.sum("documents").alias("documents"), F.count("*").alias("repos"))
+    return owners.groupBy("_hash").agg(F.sum("documents").alias("n_documents"), F.sum("repos").alias("n_repos"), F.count("*").alias("n_owners"))
 
 
 def secrets(documents: DataFrame) -> DataFrame:
-    """Per document: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_owned.
+    """Per document: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_owned, n_base_owned, n_base_copied.
 
-    Null texts are empty and have no spans. Repeated rows are all returned and count once in
-    the frequencies. Null sources are one owner. An empty table gives none; further columns
-    are left out. The source is the owner, source and language the repository.
+    n_owned are the added spans; n_base_owned and n_base_copied tell the base spans by the
+    verdict on their values. Null texts are empty and have no spans. Repeated rows are all
+    returned and count once in the frequencies. Null sources are one owner. An empty table
+    gives none; further columns are left out. The source is the owner, source and language the
+    repository. Work is linear in a text's matches.
     """
     found = materialise(scan(documents))
-    rare = frequency(found).filter(F.col("n_owners") <= MOST_OWNERS).select("_hash")
-    more = found.select("_doc", "_text", F.explode("_more").alias("s"))
-    owned = (
-        more.withColumn("_hash", F.sha2(F.col("s.value"), 256))
-        .join(rare, "_hash", "left_semi")
-        .groupBy(F.col("_doc").alias("_d"), F.col("_text").alias("_t"))
-        .agg(F.collect_set("s").alias("_owned"))  # the spans of one document
-    )
-    none = F.array().cast(_SPAN)
-    base = found.select("_doc", "_text", "_base").distinct()
-    both = materialise(
-        base.join(owned, F.col("_doc").eqNullSafe(F.col("_d")) & (F.col("_text") == F.col("_t")), "left").select(
-            "_doc", "_text", "_base", F.coalesce("_owned", none).alias("_owned")
+    few = (F.col("n_owners") <= MOST_OWNERS) & (F.col("n_repos") <= MOST_REPOSITORIES) & (F.col("n_documents") <= MOST_DOCUMENTS)
+    verdict = materialise(frequency(found).select(F.col("_hash").alias("_of"), few.alias("_owned")))
+    told = found.join(small_enough(verdict), F.sha2("_value", 256) == F.col("_of")).filter((F.col("_rank") < 3) | F.col("_owned"))
+    span = F.struct(F.col("_start").alias("start"), F.col("_rank").alias("rank"), F.col("_end").alias("end"))
+    of_text = materialise(
+        told.groupBy("_doc", "_text").agg(  # the spans of one document
+            F.sort_array(F.collect_set(span)).alias("_spans"),
+            F.count_distinct(F.when((F.col("_rank") < 3) & F.col("_owned"), span)).alias("_base_owned"),
         )
     )
+    drop(found, verdict)
     docs = documents.select("doc_id", F.xxhash64("text").alias("_key"))
-    joined = docs.join(
-        small_enough(both, 200_000), F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_key") == F.col("_text")), "left"
-    ).select("doc_id", F.coalesce("_base", none).alias("b"), F.coalesce("_owned", none).alias("o"))
-    count = lambda r: F.size(F.filter("b", lambda s: s["rank"] == r)).cast("long")
+    joined = docs.join(small_enough(of_text), F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_key") == F.col("_text")), "left").select(
+        "doc_id", F.coalesce("_spans", F.array().cast("array<struct<start:int,rank:int,end:int>>")).alias("s"), F.coalesce("_base_owned", F.lit(0)).cast("long").alias("o")
+    )
+    count = lambda r: F.size(F.filter("s", lambda x: x["rank"] == r)).cast("long")
+    base = F.filter("s", lambda x: x["rank"] < 3)
     return joined.select(
         "doc_id",
         count(0).alias("n_assign"),
         count(1).alias("n_access"),
         count(2).alias("n_hex"),
-        F.sha2(listed(F.col("b")), 256).alias("base_sha256"),
-        listed(F.sort_array(F.concat("b", "o"))).alias("spans"),
-        F.size("o").cast("long").alias("n_owned"),
+        F.sha2(listed(base), 256).alias("base_sha256"),
+        listed(F.col("s")).alias("spans"),
+        count(3).alias("n_owned"),
+        F.col("o").alias("n_base_owned"),
+        (F.size(base) - F.col("o")).cast("long").alias("n_base_copied"),
+    )
+
+
+def listed(found: Column) -> Column:
+    """kind:start:end of sorted spans, comma-joined."""
+    kind = F.array(*[F.lit(k) for k in KINDS])
+    return F.concat_ws(
+        ",",
+        F.transform(
+            found,
+            lambda s: F.concat_ws(":", F.element_at(kind, s["rank"] + 1), s["start"].cast("string"), s["end"].cast("string")),
+        ),
     )
