@@ -19,10 +19,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from boardlake.llm.chunks import Encoded, groups
+from boardlake.llm.chunks import Encoded, groups, spread
 from boardlake.llm.common import fresh
 
 _NONE = 1 << 40
+#: Ids that are decoded at once.
+STEP = 1_000_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -102,7 +104,11 @@ class Codec:
         import regex
 
         self.ranks = load_ranks(path)
-        self.parts = {v: k for k, v in self.ranks.items()}
+        parts = [b""] * (max(self.ranks.values()) + 1)
+        for part, rank in self.ranks.items():
+            parts[rank] = part
+        self.size = np.array([len(x) for x in parts])
+        self.parts, self.start = np.frombuffer(b"".join(parts), np.uint8), np.cumsum(self.size) - self.size
         self.find = regex.compile(pattern).findall
         self.pieces = Encoded(lambda pieces: [packed(merge(p.encode(), self.ranks)) for p in pieces])
         self.store = Encoded(self._encode)
@@ -115,15 +121,23 @@ class Codec:
 
     def _encode(self, chunks: list[str]) -> list[bytes]:
         found = [self.find(c) for c in chunks]
-        get = self.pieces.fill(set().union(*found)).__getitem__
+        pieces = list(set().union(*found))
+        get = dict(zip(pieces, self.pieces.values(pieces), strict=True)).__getitem__
         return [b"".join(map(get, x)) for x in found]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        return [b"".join(x) for x in self.store.of(texts)]
+        ids, ends = self.store.flat(texts, "<u4")
+        return [x.tobytes() for x in np.split(ids, ends[:-1])]
 
-    def decode(self, ids: bytes) -> bytes:
-        return b"".join(map(self.parts.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+    def decode(self, ids: list[bytes]) -> list[bytes]:
+        """The bytes that each of these stands for, STEP ids at a time."""
+        every, out = np.frombuffer(b"".join(ids), "<u4"), []
+        for i in range(0, len(every), STEP):
+            out.append(spread(self.parts, self.start, self.size, every[i : i + STEP])[0])
+        whole, ends = np.concatenate([*out, self.parts[:0]]), np.cumsum(self.size[every])
+        upto = np.concatenate([[0], ends])[np.cumsum([len(x) // 4 for x in ids])]
+        return [x.tobytes() for x in np.split(whole, upto[:-1])]
 
 
 def _mapped(df: DataFrame, column: str, new: list[str], work) -> DataFrame:
@@ -160,8 +174,7 @@ def decode(df: DataFrame, ranks_path: str, pattern: str, ids: str = "ids", decod
     """df with the bytes that the ids of each row stand for; null ids give empty bytes."""
 
     def work(values: list) -> list[list[bytes]]:
-        codec = Codec.get(ranks_path, pattern)
-        return [[codec.decode(v or b"") for v in values]]
+        return [Codec.get(ranks_path, pattern).decode([v or b"" for v in values])]
 
     return _mapped(df, ids, [fresh(decoded, df.columns)], work)
 
@@ -172,13 +185,17 @@ def round_trip(df: DataFrame, ranks_path: str, pattern: str, text: str = "text")
     def work(texts: list) -> list[list[bytes]]:
         codec = Codec.get(ranks_path, pattern)
         ids = codec.encode([t or "" for t in texts])
-        return [ids, [codec.decode(x) for x in ids]]
+        return [ids, codec.decode(ids)]
 
     return _mapped(df, text, [fresh("ids", df.columns), fresh("decoded", df.columns)], work)
 
 
 def digests(documents: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
-    """Per document: doc_id, n_tokens, ids_sha256, decoded_sha256."""
+    """Per document: doc_id, n_tokens, ids_sha256, decoded_sha256.
+
+    Null and empty texts have no tokens and the hashes of empty bytes; repeated rows are all
+    returned; an empty table gives none; further columns are left out.
+    """
     made = round_trip(documents.select("doc_id", "text"), ranks_path, pattern)
     return made.select(
         "doc_id",

@@ -16,12 +16,13 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from boardlake.llm.bpe import load_ranks
-from boardlake.llm.chunks import Encoded, groups
+from boardlake.llm.chunks import Encoded, chunked, groups
 
 RANK_SHIFT = 2.0
 UNKNOWN = -30.0
@@ -101,8 +102,11 @@ def token_counts(documents: DataFrame, ranks_path: str, pattern: str) -> DataFra
             texts = [t or "" for t in batch.column(1).to_pylist()]
             made = []
             for a, b in groups(texts):
-                for t, found in zip(texts[a:b], _counter(ranks_path, pattern).of(texts[a:b]), strict=True):
-                    made.append((len(t.encode()), sum(x for x, _ in found), sum(y for _, y in found)))
+                store = _counter(ranks_path, pattern)
+                chunks, which, ends = chunked(texts[a:b])
+                found = np.array(store.values(chunks), np.int64)[which]
+                sums = np.add.reduceat(found, np.concatenate([[0], ends[:-1]]))  # a text has one chunk at least
+                made += [(len(t.encode()), x, y) for t, (x, y) in zip(texts[a:b], sums.tolist(), strict=True)]
             columns = [pa.array([m[i] for m in made], pa.int64()) for i in range(3)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["doc_id", *names])
 

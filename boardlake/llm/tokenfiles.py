@@ -7,10 +7,11 @@ place noted, so the end of any document is found by a select inside a few bytes,
 offset table is written.
 
 Format. A dataset is a folder of Parquet files of blocks, partitioned by nothing; a block is
-(shard, block, n_docs, n_ids, width, ids, low_bits, low, high, marks, keys): ids in width
-bytes each, little-endian; keys the documents' doc_ids. Blocks hold whole documents and about
-BLOCK_IDS ids, so no block and no task grows with the input, and a longer document is a block
-of its own. Rows are range-partitioned by doc_id: shards ascend, and so do blocks in a shard.
+(shard, block, n_docs, n_ids, width, ids, the ends' low_bits, low, high and marks, n_null,
+first_key, and the keys' low_bits, low, high and marks): ids in width bytes each,
+little-endian; keys the documents' doc_ids less the first one, ascending and so an Elias-Fano
+sequence too, behind n_null null ones. Blocks hold whole documents and about BLOCK_IDS ids, so
+no block and no task grows with the input, and a longer document is a block of its own. Rows are range-partitioned by doc_id: shards ascend, and so do blocks in a shard.
 Only one count per block comes together, in running sums by shard.
 """
 
@@ -32,8 +33,9 @@ BLOCK_IDS = 262_144
 SELECT = 64
 _BLOCKS = (
     "shard int, block long, n_docs long, n_ids long, width int, ids binary, low_bits int, low binary, high binary,"
-    " marks binary, keys array<long>"
+    " marks binary, n_null long, first_key long, key_bits int, key_low binary, key_high binary, key_marks binary"
 )
+_KINDS = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
 _OPEN: dict[str, Encoded] = {}
 
 
@@ -107,12 +109,9 @@ class EliasFano:
         place = base + (bits & -bits).bit_length() - 1
         return (place - i) << self.low_bits | self._low(i)
 
-    def all(self) -> np.ndarray:
-        """Every value at once."""
-        high = np.flatnonzero(np.unpackbits(self.high, bitorder="little")).astype(np.int64)[: self.n] - np.arange(self.n)
-        bits = np.unpackbits(np.frombuffer(self.low, np.uint8), bitorder="little", count=self.n * self.low_bits)
-        low = bits.reshape(self.n, self.low_bits).astype(np.int64) @ (1 << np.arange(self.low_bits, dtype=np.int64))
-        return high << self.low_bits | low
+    def every(self) -> np.ndarray:
+        """All values, one select each, modulo 2 ** 64."""
+        return np.array([self.select(i) & 0xFFFFFFFFFFFFFFFF for i in range(self.n)], np.uint64)
 
 
 def write(documents: DataFrame, tokenizer_path: str, folder: str) -> None:
@@ -131,33 +130,37 @@ def write(documents: DataFrame, tokenizer_path: str, folder: str) -> None:
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        end = np.array([END_ID], "<u4").tobytes()
         keys, parts, n, block = [], [], 0, 0
+        names, kinds = zip(*(x.split() for x in _BLOCKS.split(", ")), strict=True)
 
         def flush(shard: int) -> pa.RecordBatch:
             nonlocal keys, parts, n, block
-            ids = np.frombuffer(b"".join(parts), "<u4")
+            ids = np.concatenate(parts)
             width = 2 if ids.max(initial=0) < 1 << 16 else 4
-            ends = np.cumsum([len(p) // 4 for p in parts])
-            bits, low, high, marks = EliasFano.pack(ends)
-            row = (shard, block, len(keys), len(ids), width, ids.astype(f"<u{width}").tobytes(), bits, low, high, marks, keys)
-            names = [x.split()[0] for x in _BLOCKS.split(", ")]
-            kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.int64())]
+            known = np.array([k for k in keys if k is not None], np.int64)
+            first = int(known[0]) if len(known) else 0
+            with np.errstate(over="ignore"):
+                above = known.view(np.uint64) - np.array([first], np.int64).view(np.uint64)
+            row = (
+                shard, block, len(keys), len(ids), width, ids.astype(f"<u{width}").tobytes(), *EliasFano.pack(np.cumsum([len(p) for p in parts])),
+                len(keys) - len(known), first, *EliasFano.pack(above),
+            )
             keys, parts, n, block = [], [], 0, block + 1
-            return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], names=names)
+            return pa.RecordBatch.from_arrays([pa.array([v], _KINDS[k]) for v, k in zip(row, kinds, strict=True)], names=list(names))
 
         shard = 0
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
-            shard = batch.column(2)[0].as_py() if len(ids) else shard
+            docs, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
+            shard = batch.column(2)[0].as_py() if len(docs) else shard
             for a, b in groups(texts):
-                for key, made in zip(ids[a:b], _ids(tokenizer_path).of(texts[a:b]), strict=True):
-                    made = b"".join(made) + end
-                    if n and n + len(made) // 4 > BLOCK_IDS:
+                ids, ends = _ids(tokenizer_path).flat(texts[a:b], "<u4")
+                ids = np.insert(ids, ends, END_ID)  # after each document
+                for key, made in zip(docs[a:b], np.split(ids, ends[:-1] + np.arange(1, len(ends))), strict=True):
+                    if n and n + len(made) > BLOCK_IDS:
                         yield flush(shard)
                     keys.append(key)
                     parts.append(made)
-                    n += len(made) // 4
+                    n += len(made)
         if keys:
             yield flush(shard)
 
@@ -165,7 +168,11 @@ def write(documents: DataFrame, tokenizer_path: str, folder: str) -> None:
 
 
 def read(spark: SparkSession, folder: str) -> DataFrame:
-    """doc_id, start (ids before the document), n_tokens, ids (binary, unsigned 32-bit) from the files."""
+    """doc_id, start (ids before the document), n_tokens, ids (binary, unsigned 32-bit) from the files.
+
+    One row for each row that was written, null doc_ids and repeated rows among them; none from
+    an empty dataset. Each end and key is selected from its Elias-Fano sequence.
+    """
     blocks = spark.read.schema(_BLOCKS).parquet(folder)
     sizes = blocks.select("shard", "block", "n_ids")
     shards = sizes.groupBy("shard").agg(F.sum("n_ids").alias("total"))
@@ -179,12 +186,15 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                ends = EliasFano(row["low_bits"], row["low"], row["high"], row["marks"], row["n_docs"]).all()
+                ends = EliasFano(row["low_bits"], row["low"], row["high"], row["marks"], row["n_docs"]).every().astype(np.int64)
+                above = EliasFano(row["key_bits"], row["key_low"], row["key_high"], row["key_marks"], row["n_docs"] - row["n_null"]).every()
+                with np.errstate(over="ignore"):
+                    keys = (above + np.array([row["first_key"]], np.int64).view(np.uint64)).view(np.int64).tolist()
                 ids = np.frombuffer(row["ids"], f"<u{row['width']}").astype("<u4")
                 starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(row["keys"], pa.int64()),
+                        pa.array([None] * row["n_null"] + keys, pa.int64()),
                         pa.array(starts + row["_start"], pa.int64()),
                         pa.array(ends - starts, pa.int64()),
                         pa.array([ids[a:b].tobytes() for a, b in zip(starts, ends, strict=True)], pa.binary()),
@@ -192,7 +202,7 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
                     names=["doc_id", "start", "n_tokens", "ids"],
                 )
 
-    columns = ["n_docs", "width", "ids", "low_bits", "low", "high", "marks", "keys", "_start"]
+    columns = [c for c in blocks.columns if c not in ("shard", "block", "n_ids")] + ["_start"]
     # a few numbers for each block; while they are few enough, the ids needn't be shuffled to meet them
     return blocks.join(small_enough(materialise(at)), ["shard", "block"]).select(*columns).mapInArrow(
         run, "doc_id bigint, start bigint, n_tokens bigint, ids binary"
@@ -200,5 +210,5 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def digests(read_back: DataFrame) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 of what read() gives."""
+    """doc_id, start, n_tokens, ids_crc32 of what read() gives, row by row (nulls and repeated rows too)."""
     return read_back.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
