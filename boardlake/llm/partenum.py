@@ -3,14 +3,16 @@
 Method. A document is the set of its 5-word shingles. Sets fall into size bands whose ends
 grow by 1 / 0.75; two sets of Jaccard 0.75 or more lie in one band or in neighbouring ones,
 and each set takes part in its own band and the next. In a band of largest size r such sets
-differ in at most k = (1 - 0.75) / (1 + 0.75) * 2r shingles. The shingle domain is cut into n =
-SPARE * (k + 1) partitions; a set has one token for each: the fingerprint of its shingles
-there. Sets that differ in d shingles have at least n - d equal tokens. Enumerating which of
-them to sign with: tokens are ordered from rare to frequent and every set leaves out its most
-frequent, fewer than n - d for the largest d it may have; the rarest of the common tokens can't
-be left out by either set, so they still share a signature. That keeps passages that many documents share (and partitions
-without any shingle, the most frequent tokens of all) out of the signatures without losing a
-pair.
+differ in at most k = (1 - 0.75) / (1 + 0.75) * 2r shingles. The shingle domain is partitioned
+on two levels: into groups, and each group into PARTS = 3 parts. If the sets differ in at most
+one shingle of a group, two of its three parts are equal. So each set enumerates for each
+group the subsets of PARTS - 1 parts, and a subset with the shingles in it is a signature; sets
+that differ in d shingles share a signature in all groups but d // 2 of them. A band has some
+groups more than k // 2 + 1, so that similar sets share several signatures and some may be
+left out: signatures are put in one order for all sets, those of no shingle at all first, then
+from frequent to rare, and each set leaves out as many from the front as it can spare. The
+last of the common ones in that order can't be left out by either set. That keeps passages
+that many documents share out of the signatures without losing a pair.
 
 Equal sets are one class from the start. In a signature's group nobody is paired with
 everybody: each class is held against the group's pivot, verified links merge classes into
@@ -34,23 +36,25 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from boardlake.llm.chunks import groups
-from boardlake.llm.common import fresh, materialise, small_enough
+from boardlake.llm.common import drop, fresh, materialise, small_enough
 
 SHINGLE = 5
 #: Least similarity as a fraction.
 ALIKE, OF = 75, 100
 #: Rounds in which open members meet one pivot of their group before the last round.
-ROUNDS = 2
-#: Members of a block in the last round.
+ROUNDS = 1
+#: Sets of a block, about, where what is still open is compared.
 BLOCK = 256
-#: Sets of a block where links are counted.
+#: The same where links are counted.
 LINK_BLOCK = 128
-#: A row's tag is its band and, in so many low bits, how many tokens its set leaves out.
-LEAVE_BITS = 40
-#: Partitions for each shingle in which sets of a band may differ; what exceeds 1 can be left out.
-SPARE = 1.3
-#: Bits of a token that are shuffled; two tokens that fall together cost a comparison, no more.
-TOKEN_BITS = 48
+#: Parts of a group; a signature is a subset of all but one of them.
+PARTS = 3
+#: Groups beyond those in which similar sets may differ twice, as a share of them, and at least.
+SPARE, LEAST_SPARE = 0.05, 1
+#: A row's tag is how many signatures its set may still leave out and, in so many low bits, its band.
+BAND_BITS = 8
+#: Bits of a signature that are shuffled; two that fall together cost a comparison, no more.
+SIGNATURE_BITS = 48
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 _PLACES = 64
 
@@ -125,43 +129,58 @@ def ends() -> list[int]:
 _ENDS = np.array(ends())
 
 
-def bands(size: int) -> tuple[int, int]:
-    """The bands in which a set of this size takes part: its own, in which it may be the larger
-    one, and the next. A partner larger than size is at most size / 0.75."""
-    own = int(np.searchsorted(_ENDS, size))
-    return own, own + 1
-
-
 def differ(a: int, b: int) -> int:
     """In how many shingles similar sets of these sizes differ at most."""
     return (a + b) * (OF - ALIKE) // (OF + ALIKE)
 
 
-def parts(band: int) -> int:
-    """Number of partitions in a band."""
-    k = differ(int(_ENDS[band]), int(_ENDS[band]))
-    return math.ceil(SPARE * (k + 1)) if k else 1
+def _group_counts() -> np.ndarray:
+    """Number of groups in each band."""
+    half = (2 * np.array(ends(), dtype=np.int64) * (OF - ALIKE) // (OF + ALIKE)) // 2
+    return half + 1 + np.maximum(LEAST_SPARE, np.ceil(SPARE * half).astype(np.int64))
+
 
+_GROUPS = _group_counts()
 
-def tokens(hashes: np.ndarray) -> Iterator[tuple[int, np.ndarray, int]]:
-    """For each band: its number, a set's tokens, and how many of the most frequent it leaves out.
 
-    A set may leave out all but 1 + the most in which it differs from a similar set of the band:
-    of the n tokens of both, at least n less that number are equal. Tokens of partitions without
-    a shingle are the most frequent of all, by partition; what doesn't fit is kept from the front.
+def signatures(sets: list[np.ndarray], above: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Signatures of all sets in their own band (above 0) or the next (1), the number of the set of each, and its tag.
+
+    Of the band's groups g, similar sets have a signature in common in all but d // 2, if they differ in d shingles; so a set
+    may leave out g - 1 - d // 2 with the largest d it may have. Signatures without a shingle are left out here, by their
+    place; the tag has how many more may go. Sets that only equal ones are similar to have no signatures.
     """
-    own, above = bands(len(hashes))
-    for band in (own, above):
-        n, size = parts(band), len(hashes)
-        leave = n - 1 - differ(size, min(int(_ENDS[band]), size * OF // ALIKE))
-        at = (_mix(hashes ^ np.uint64(0x5851F42D4C957F2D + band)) % np.uint64(n)).astype(np.int64)
-        sums = np.zeros(n, np.uint64)
-        np.add.at(sums, at, _mix(hashes + np.uint64(0x2545F4914F6CDD1D)))
-        full = np.bincount(at, minlength=n) > 0
-        empty, use = np.flatnonzero(~full), np.flatnonzero(full)
-        use = np.concatenate([use, empty[: max(0, len(empty) - leave)]])
-        made = _mix(sums[use] ^ _mix(np.uint64(band) * np.uint64(1 << 40) + use.astype(np.uint64)))
-        yield band, (made >> np.uint64(64 - TOKEN_BITS)).view(np.int64), max(0, leave - len(empty))
+    size = np.array([len(h) for h in sets], np.int64)
+    band = np.searchsorted(_ENDS, size) + above
+    most = (size + np.minimum(_ENDS[band], size * OF // ALIKE)) * (OF - ALIKE) // (OF + ALIKE)
+    use = np.flatnonzero((size > 0) & (most > 0))
+    if not len(use):
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
+    size, band, most, g = size[use], band[use], most[use], _GROUPS[band[use]]
+    hashes, of = np.concatenate([sets[i] for i in use]), np.repeat(np.arange(len(use)), size)
+    first = np.cumsum(g) - g
+    part = (_mix(hashes ^ (np.uint64(0x5851F42D4C957F2D) + band.astype(np.uint64))[of]) % (PARTS * g).astype(np.uint64)[of]).astype(np.int64)
+    part += PARTS * first[of]
+    sums = np.zeros(PARTS * int(g.sum()), np.uint64)
+    np.add.at(sums, part, _mix(hashes + np.uint64(0x2545F4914F6CDD1D)))
+    sums, count = sums.reshape(-1, PARTS), np.bincount(part, minlength=len(sums)).reshape(-1, PARTS)
+    owner = np.repeat(np.arange(len(use)), g)
+    place = np.arange(len(owner)) - first[owner]
+    # of each group the subsets that lack one part: in each column what the other parts hold
+    held = count.sum(1, keepdims=True) - count
+    value = (sums * _ODD[:PARTS]).sum(1, keepdims=True, dtype=np.uint64) - sums * _ODD[:PARTS]
+    salt = _mix((band[owner, None].astype(np.uint64) << np.uint64(40)) + (place[:, None] * PARTS + np.arange(PARTS)).astype(np.uint64))
+    made = (_mix(value ^ salt) >> np.uint64(64 - SIGNATURE_BITS)).view(np.int64)
+    leave, empty = g - 1 - most // 2, held == 0
+    n_empty = np.bincount(owner, weights=empty.sum(1), minlength=len(use)).astype(np.int64)
+    kept = ~empty
+    for i in np.flatnonzero(n_empty > leave):  # more than may go: the rest by their place
+        rows = slice(first[i], first[i] + g[i])
+        flat = np.flatnonzero(empty[rows].ravel())[leave[i] :]
+        kept[rows].ravel()[flat] = True  # a view
+    tag = (np.maximum(0, leave - n_empty) << BAND_BITS) + band
+    each = np.broadcast_to(owner[:, None], kept.shape)[kept]
+    return made[kept], use[each], tag[each]
 
 
 def sketch(hashes: np.ndarray) -> bytes:
@@ -188,18 +207,16 @@ def _sets(texts: list[str | None]) -> Iterator[np.ndarray]:
 
 
 def _fingerprints(df: DataFrame) -> DataFrame:
-    """_doc, n_shingles, _a, _b (two fingerprints of the set), _sketch."""
-    names = ["_doc", "n_shingles", "_a", "_b", "_sketch"]
+    """_doc, n_shingles, _a, _b (two fingerprints of the set)."""
+    names = ["_doc", "n_shingles", "_a", "_b"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(len(h), *_prints(h), sketch(h)) for h in _sets(batch.column(1).to_pylist())]
-            made = [pa.array([r[i] for r in rows], k) for i, k in enumerate([pa.int64()] * 3 + [pa.binary()])]
+            rows = [(len(h), *_prints(h)) for h in _sets(batch.column(1).to_pylist())]
+            made = [pa.array([r[i] for r in rows], pa.int64()) for i in range(3)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *made], names=names)
 
-    return df.select(F.col("doc_id").cast("long").alias("_doc"), "text").mapInArrow(
-        run, "_doc bigint, n_shingles bigint, _a bigint, _b bigint, _sketch binary"
-    )
+    return df.select(F.col("doc_id").cast("long").alias("_doc"), "text").mapInArrow(run, "_doc bigint, n_shingles bigint, _a bigint, _b bigint")
 
 
 def _prints(h: np.ndarray) -> tuple[int, int]:
@@ -209,36 +226,35 @@ def _prints(h: np.ndarray) -> tuple[int, int]:
 
 
 def _signatures(df: DataFrame) -> DataFrame:
-    """_sig, _a (fingerprint of the set), _tag (band and how many to leave out); a task signs a
+    """_sig, _a (fingerprint of the set), _tag (how many may still be left out, and the band); a task signs a
     set once, however many copies it meets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done: set[int] = set()
         for batch in batches:
             texts = batch.column(0).to_pylist()
-            for start, end in groups([t or "" for t in texts], 1_000_000):
-                sig, who, tag = [], [], []
+            for start, end in groups([t or "" for t in texts], 500_000):
+                new = []
                 for h in _sets(texts[start:end]):
                     a = _prints(h)[0]
-                    if not len(h) or a in done:
-                        continue
-                    if len(done) < 200_000:
-                        done.add(a)
-                    for band, made, leave in tokens(h):
-                        sig.append(made)
-                        who.append(np.full(len(made), a, np.int64))
-                        tag.append(np.full(len(made), (band << LEAVE_BITS) + leave, np.int64))
-                if sig:
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.concatenate(x)) for x in (sig, who, tag)], names=["_sig", "_a", "_tag"]
-                    )
+                    if len(h) and a not in done:
+                        new.append((a, h))
+                        if len(done) < 200_000:
+                            done.add(a)
+                if not new:
+                    continue
+                who = np.array([a for a, _ in new], np.int64)
+                for above in (0, 1):
+                    sig, of, tag = signatures([h for _, h in new], above)
+                    if len(sig):
+                        yield pa.RecordBatch.from_arrays([pa.array(sig), pa.array(who[of]), pa.array(tag)], names=["_sig", "_a", "_tag"])
 
     return df.select("text").mapInArrow(run, "_sig bigint, _a bigint, _tag bigint")
 
 
 def _signed(documents: DataFrame) -> DataFrame:
     """_sig, _a: signatures of sets that share one with another set, after each set has left out
-    its most frequent tokens. Tokens that one set alone has are its rarest and need no row."""
+    its most frequent ones. Signatures that one set alone has are its rarest and need no row."""
     by = Window.partitionBy("_sig")
     shared = (
         _signatures(documents)
@@ -248,8 +264,8 @@ def _signed(documents: DataFrame) -> DataFrame:
         .filter(F.col("_least") != F.col("_most"))
     )
     once = shared.groupBy("_a", "_tag", "_sig").agg(F.first("_n").alias("_n"))  # two tasks may have signed one set
-    rank = F.row_number().over(Window.partitionBy("_a", "_tag").orderBy(F.desc("_n"), F.desc("_sig")))
-    kept = once.withColumn("_rank", rank).filter(F.col("_rank") > F.col("_tag") % (1 << LEAVE_BITS))
+    rank = F.row_number().over(Window.partitionBy("_a", "_tag").orderBy(F.desc("_n"), F.desc("_sig")))  # the signatures of one set
+    kept = once.withColumn("_rank", rank).filter(F.col("_rank") > F.shiftright("_tag", BAND_BITS))
     return materialise(kept.select("_sig", "_a"))
 
 
@@ -261,21 +277,28 @@ def components(edges: DataFrame) -> DataFrame:
     edges = materialise(edges.filter("_x != _y").select(F.greatest("_x", "_y").alias("_x"), F.least("_x", "_y").alias("_y")).distinct())
     state = None
     while True:
-        both = edges.unionByName(edges.select(F.col("_y").alias("_x"), F.col("_x").alias("_y")))
-        least = both.groupBy("_x").agg(F.least(F.col("_x"), F.min("_y")).alias("_m"))
-        large = both.join(least, "_x").filter("_y > _x").select(F.col("_y").alias("_x"), F.col("_m").alias("_y")).distinct()
-        least = large.groupBy("_x").agg(F.min("_y").alias("_m"))
-        small = (
-            large.join(least, "_x").select(F.col("_y").alias("_x"), F.col("_m").alias("_y"))
-            .unionByName(least.select("_x", F.col("_m").alias("_y"))).filter("_x != _y").distinct()
-        )
-        edges = materialise(small)
+        before, edges = edges, materialise(_stars(_stars(edges)))
+        drop(before)
         now = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("_x", "_y"))).first()
         if now == state:
             break
         state = now
     nodes = edges.groupBy(F.col("_x").alias("_node")).agg(F.min("_y").alias("_comp"))
-    return nodes.unionByName(edges.select(F.col("_y").alias("_node"), F.col("_y").alias("_comp")).distinct())
+    out = materialise(nodes.unionByName(edges.select(F.col("_y").alias("_node"), F.col("_y").alias("_comp")).distinct()))
+    drop(edges)
+    return out
+
+
+def _stars(edges: DataFrame) -> DataFrame:
+    """One large and one small star step."""
+    both = edges.unionByName(edges.select(F.col("_y").alias("_x"), F.col("_x").alias("_y")))
+    least = both.groupBy("_x").agg(F.least(F.col("_x"), F.min("_y")).alias("_m"))
+    large = both.join(least, "_x").filter("_y > _x").select(F.col("_y").alias("_x"), F.col("_m").alias("_y")).distinct()
+    least = large.groupBy("_x").agg(F.min("_y").alias("_m"))
+    return (
+        large.join(least, "_x").select(F.col("_y").alias("_x"), F.col("_m").alias("_y"))
+        .unionByName(least.select("_x", F.col("_m").alias("_y"))).filter("_x != _y").distinct()
+    )
 
 
 def _possible(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
@@ -305,22 +328,37 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return pairs.select("_x", "_y").join(t, "_x").join(u, "_y").select("_x", "_y", "_tx", "_ty").mapInArrow(run, "_x bigint, _y bigint")
 
 
+def _texts(documents: DataFrame, wanted: DataFrame) -> DataFrame:
+    """_id, text, _size, _sketch of the documents that wanted (_id) names, one row each."""
+    some = documents.select(F.col("doc_id").cast("long").alias("_id"), "text").join(small_enough(wanted), "_id", "left_semi")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(len(h), sketch(h)) for h in _sets(batch.column(1).to_pylist())]
+            made = [pa.array([r[i] for r in rows], k) for i, k in enumerate([pa.int64(), pa.binary()])]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *made], names=["_id", "text", "_size", "_sketch"])
+
+    return some.mapInArrow(run, "_id bigint, text string, _size bigint, _sketch binary")
+
+
 def linked(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Sets and groups: (_doc, n_shingles, _a, _b of every row; _a, _b, n_shingles, _comp of every class)."""
     prints = materialise(_fingerprints(documents))
     classes = materialise(
-        prints.filter("n_shingles > 0").groupBy("_a", "_b", "n_shingles").agg(F.min("_doc").alias("_node"), F.first("_sketch").alias("_sketch"))
+        prints.filter("n_shingles > 0").groupBy("_a", "_b", "n_shingles").agg(F.min("_doc").alias("_node"))
         .filter(F.col("_node").isNotNull())
     )
     nodes = classes.select("_a", "_node", F.col("n_shingles").alias("_size"))
-    members = materialise(_signed(documents).join(nodes, "_a").select("_sig", "_node", "_size"))
-    sketches = classes.select("_node", F.col("n_shingles").alias("_size"), "_sketch").dropDuplicates(["_node"])
-    wanted = members.select(F.col("_node").alias("_id")).distinct()
-    texts = materialise(
-        documents.select(F.col("doc_id").cast("long").alias("_id"), "text").join(small_enough(materialise(wanted)), "_id", "left_semi")
-    )
-    open_, links = members.withColumn("_comp", F.col("_node")), None
-    tried = None
+    signed = _signed(documents)
+    members = materialise(signed.join(nodes, "_a").select("_sig", "_node", "_size"))
+    drop(signed)
+    wanted = materialise(members.select(F.col("_node").alias("_id")).distinct())
+    texts = materialise(_texts(documents, wanted))
+    sketches = texts.select(F.col("_id").alias("_node"), "_size", "_sketch").join(
+        classes.select("_node", F.col("n_shingles").alias("_size")).distinct(), ["_node", "_size"], "left_semi"
+    ).dropDuplicates(["_node"])
+    drop(wanted)
+    open_, links, tried, comps = members.withColumn("_comp", F.col("_node")), None, None, None
     for turn in range(ROUNDS + 1):
         if turn < ROUNDS:
             pairs = _to_pivot(open_, turn).filter(f"least(_sx, _sy) * {OF} >= greatest(_sx, _sy) * {ALIKE}")
@@ -329,10 +367,6 @@ def linked(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
             pairs = _between(open_, sketches)
         if tried is not None:
             pairs = pairs.join(tried, ["_x", "_y"], "left_anti")
-        if turn == 0:
-            # first against the pivot with which a member shares most
-            best = Window.partitionBy("_y").orderBy(F.desc("_n"), "_x")
-            pairs = pairs.withColumn("_rank", F.row_number().over(best)).filter("_rank = 1")
         pairs = pairs.select("_x", "_y")
         pairs = materialise(_possible(pairs, sketches) if turn < ROUNDS else pairs)
         if pairs.isEmpty():
@@ -340,16 +374,17 @@ def linked(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
         tried = pairs if tried is None else tried.unionByName(pairs)
         found = materialise(_verified(pairs, texts))
         links = found if links is None else links.unionByName(found)
-        comps = materialise(components(links))
+        comps = components(links)
         open_ = members.join(comps, "_node", "left").withColumn("_comp", F.coalesce("_comp", "_node"))
         if turn < ROUNDS:
             active = open_.groupBy("_sig").agg(F.min("_comp").alias("l"), F.max("_comp").alias("m")).filter("l != m")
             open_ = materialise(open_.join(active.select("_sig"), "_sig", "left_semi"))
     groups_ = classes.select("_a", "_b", "n_shingles", "_node")
-    if links is None:
+    if comps is None:
         return prints, groups_.withColumnRenamed("_node", "_comp")
-    named = groups_.join(comps, "_node", "left")
-    return prints, named.select("_a", "_b", "n_shingles", F.coalesce("_comp", "_node").alias("_comp"))
+    named = materialise(groups_.join(comps, "_node", "left").select("_a", "_b", "n_shingles", F.coalesce("_comp", "_node").alias("_comp")))
+    drop(classes, members, texts, comps, *([tried] if ROUNDS == 0 else []))
+    return prints, named
 
 
 def _to_pivot(members: DataFrame, turn: int) -> DataFrame:
@@ -361,31 +396,45 @@ def _to_pivot(members: DataFrame, turn: int) -> DataFrame:
     )
 
 
+def _families(members: DataFrame) -> DataFrame:
+    """_node, _family: members that signatures connect, directly or through others, are a family."""
+    pivots = members.groupBy("_sig").agg(F.min("_node").alias("_y"))
+    return components(members.join(pivots, "_sig").select(F.col("_node").alias("_x"), "_y")).withColumnRenamed("_comp", "_family")
+
+
+def _in_blocks(rows: DataFrame, most: int) -> DataFrame:
+    """rows (_node, _family, _size and more) with _block, so that a block has about most rows of like size.
+
+    Blocks are dealt by hash from counts of each family and size, so no family is ordered in one task."""
+    like = rows.withColumn("_like", F.floor(F.log(F.col("_size")) / math.log(OF / ALIKE)))
+    many = like.groupBy("_family", "_like").agg(F.ceil(F.count("*") / most).alias("_many"))
+    block = F.col("_like") * (1 << 40) + F.pmod(F.xxhash64("_node"), F.col("_many"))
+    return like.join(many, ["_family", "_like"]).withColumn("_block", block).drop("_like", "_many")
+
+
 def _between(members: DataFrame, sketches: DataFrame) -> DataFrame:
     """Pairs _x, _y of open members of different components that their sketches let pass.
 
-    Members that signatures connect, directly or through others, are a family. Families are cut
-    into blocks of BLOCK members by size, and blocks of fitting sizes are held against each
-    other in one step that returns only what passes; a task holds two blocks, however large a
-    family is.
+    Families are cut into blocks of about BLOCK members of like size, and blocks of fitting
+    sizes are held against each other in one step that returns only what passes; a task holds
+    two blocks, however large a family is.
     """
-    pivots = members.groupBy("_sig").agg(F.min("_node").alias("_y"))
-    families = components(members.join(pivots, "_sig").select(F.col("_node").alias("_x"), "_y")).withColumnRenamed("_comp", "_family")
-    place = F.row_number().over(Window.partitionBy("_family").orderBy("_size", "_node")) - 1
-    rows = (
-        members.select("_node", "_comp").distinct().join(families, "_node").join(sketches, "_node")
-        .withColumn("_block", F.floor(place / BLOCK))
-    )
+    named = materialise(members.select("_node", "_comp", "_size").distinct().join(_families(members), "_node"))
     blocks = materialise(
-        rows.groupBy("_family", "_block").agg(  # BLOCK rows at most
+        _in_blocks(named, BLOCK).join(sketches.drop("_size"), "_node").groupBy("_family", "_block").agg(  # about BLOCK rows
             F.min("_size").alias("_least"), F.max("_size").alias("_most"), F.min("_comp").alias("_c"), F.max("_comp").alias("_d"),
             F.collect_list(F.struct("_node", "_comp", "_size", "_sketch")).alias("_rows"),
         )
     )
-    x, y = blocks.alias("x"), blocks.alias("y")
-    both = x.join(y, "_family").filter(
-        f"x._block <= y._block and x._most * {OF} >= y._least * {ALIKE} and not (x._c = x._d and y._c = y._d and x._c = y._c)"
-    ).select(F.col("x._rows").alias("_rx"), F.col("y._rows").alias("_ry"))
+    head = lambda to: blocks.select("_family", *[F.col(f"_{c}").alias(f"_{c}{to}") for c in ("block", "least", "most", "c", "d")])
+    pairs = materialise(
+        head("x").join(head("y"), "_family").filter(
+            f"_blockx <= _blocky and _mostx * {OF} >= _leasty * {ALIKE} and _mosty * {OF} >= _leastx * {ALIKE}"
+            " and not (_cx = _dx and _cy = _dy and _cx = _cy)"
+        ).select("_family", "_blockx", "_blocky")
+    )
+    side = lambda to: blocks.select("_family", F.col("_block").alias(f"_block{to}"), F.col("_rows").alias(f"_r{to}"))
+    both = pairs.join(side("x"), ["_family", "_blockx"]).join(side("y"), ["_family", "_blocky"]).select("_rx", "_ry")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -437,17 +486,9 @@ def _sets_of(documents: DataFrame) -> DataFrame:
 
 def _blocks(members: DataFrame, sets: DataFrame) -> DataFrame:
     """_family, _block, _n, _least, _most (sizes), _rows (_node, _set, _weight): sets that signatures connect, directly
-    or through others, in blocks of about LINK_BLOCK sets of like size.
-
-    Blocks are dealt by hash from counts of each family and size, so no family is ordered in one task."""
-    pivots = members.groupBy("_sig").agg(F.min("_node").alias("_y"))
-    families = components(members.join(pivots, "_sig").select(F.col("_node").alias("_x"), "_y")).withColumnRenamed("_comp", "_family")
-    placed = materialise(
-        families.join(members.select("_node", "_size").distinct(), "_node").withColumn("_like", F.floor(F.log(F.col("_size")) / math.log(OF / ALIKE)))
-    )
-    many = placed.groupBy("_family", "_like").agg(F.ceil(F.count("*") / LINK_BLOCK).alias("_many"))
-    block = F.col("_like") * (1 << 40) + F.pmod(F.xxhash64("_node"), F.col("_many"))
-    rows = placed.join(many, ["_family", "_like"]).select("_node", "_size", "_family", block.alias("_block"))
+    or through others, in blocks of about LINK_BLOCK sets of like size."""
+    placed = materialise(_families(members).join(members.select("_node", "_size").distinct(), "_node"))
+    rows = _in_blocks(placed, LINK_BLOCK)
     return materialise(
         rows.join(sets, "_node").groupBy("_family", "_block").agg(
             F.count("*").alias("_n"), F.min("_size").alias("_least"), F.max("_size").alias("_most"),
@@ -517,7 +558,7 @@ def links(documents: DataFrame) -> DataFrame:
     compared by the 64-bit hashes of their shingles, as n_shingles counts them. A document is linked to all others with an
     equal set. doc_id is taken to be unique here; a null one has no links and counts for none.
     """
-    prints = materialise(_fingerprints(documents).drop("_sketch"))
+    prints = materialise(_fingerprints(documents))
     some = prints.filter("n_shingles > 0 and _doc is not null").groupBy("_a", "_b", "n_shingles", "_doc").agg(F.lit(1).alias("_one"))
     classes = materialise(
         some.groupBy("_a", "_b", "n_shingles").agg(F.min("_doc").alias("_least"), F.count("*").alias("_weight"))
@@ -532,7 +573,7 @@ def links(documents: DataFrame) -> DataFrame:
     counts = found.filter("_x = _y").select(F.col("_x").alias("_a"), "_c")
     name = lambda to: classes.select(F.col("_a").alias(f"_{to}"), F.col("_least").alias(f"_l{to}"))
     ends_ = found.filter("_x != _y").join(name("x"), "_x").join(name("y"), "_y").select(F.col("_lx").alias("_x"), F.col("_ly").alias("_y"))
-    comps = materialise(components(ends_)).withColumnRenamed("_node", "_least")
+    comps = components(ends_).withColumnRenamed("_node", "_least")
     unnamed = prints.filter("_doc is null").select("_a", "_b", "n_shingles").distinct().withColumn("_unnamed", F.lit(True))
     told = classes.join(counts, "_a", "left").join(comps, "_least", "left").select(
         "_a", "_b", "n_shingles", F.coalesce("_comp", "_least").alias("_comp"), (F.coalesce("_c", F.lit(0)) + F.col("_weight") - 1).alias("_n")
@@ -547,10 +588,21 @@ def links(documents: DataFrame) -> DataFrame:
 
 
 def keep_one(documents: DataFrame) -> DataFrame:
-    """The documents without those that a document of lower doc_id is linked to; columns as they were."""
-    gone, key = materialise(report(documents).filter("component_id < doc_id").select("doc_id").distinct()), fresh("_gone", documents.columns)
-    gone = small_enough(gone.withColumnRenamed("doc_id", key))
-    return documents.join(gone, documents["doc_id"].cast("long") == gone[key], "left_anti")
+    """The documents without those from which a document of lower doc_id can be reached by links; columns as they were.
+
+    Null texts and texts without words are alone and stay. Of rows with the same doc_id and
+    text one stays; rows with the same doc_id and other texts are one document and stay or go
+    together. Rows with a null doc_id stay. An empty table gives none.
+    """
+    found = materialise(report(documents).groupBy("doc_id").agg(F.min("component_id").alias("_least"), F.count("*").alias("_rows")))
+    key = fresh("_gone", documents.columns)
+    gone = found.filter("_least < doc_id").select(F.col("doc_id").alias(key))
+    left = documents.join(small_enough(gone), documents["doc_id"].cast("long") == F.col(key), "left_anti")
+    again = found.filter("_rows > 1 and doc_id is not null and _least >= doc_id").select(F.col("doc_id").alias(key))
+    if again.isEmpty():
+        return left
+    of = left["doc_id"].cast("long") == F.col(key)
+    return left.join(small_enough(again), of, "left_anti").unionByName(left.join(small_enough(again), of, "left_semi").dropDuplicates(["doc_id", "text"]))
 
 
 def shingle_set(text: str | None) -> set[tuple[bytes, ...]]:
