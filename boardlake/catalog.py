@@ -1,13 +1,13 @@
 """All registered queries of the postings engine; importing the modules registers them."""
 
-from boardlake.functions import dates, enrich, fields, geo, hiring, industry, text
+from boardlake.functions import dates, enrich, fields, geo, hiring, industry, sources, text
 from boardlake.operators import aggregates, filters, history, joins, lifecycle, matching, relevance, similar
 from boardlake.registry import ORACLE_SQL, QUERIES
 from boardlake.sources import pages, payloads
 from boardlake.streaming import streams
 
 MODULES = (
-    aggregates, dates, enrich, fields, filters, geo, hiring, history, industry, joins, lifecycle, matching, pages, payloads, relevance, similar, streams, text,
+    aggregates, dates, enrich, fields, filters, geo, hiring, history, industry, joins, lifecycle, matching, pages, payloads, relevance, similar, sources, streams, text,
 )
 FLAGSHIP = "q_listing"
 

@@ -5,8 +5,19 @@ WINDOW_H, WINDOW_MIN_H, WINDOW_MAX_H = 24, 24, 168
 DAY = 86_400
 #: Hidden postings are kept for so many days.
 RETENTION_DAYS = 30
-#: BM25 parameters and field weights.
+#: BM25 parameters and the weights of a posting's fields.
 K1, B = 1.2, 0.75
+FIELD_WEIGHTS = {"position_name": 3.0, "company_name": 0.5, "job_description": 1.0}
+#: Words that nearly every posting has and that say nothing in a search.
+CORPUS_STOPWORDS = """
+the and for with you your our are will that this have has from not but all can who was were been their them they its it's into out
+about over under more most other such than then there these those some any each how what when where which while would should could
+may might must job jobs role roles position positions work working years year experience ability able including include includes
+required require requirements preferred responsibilities qualifications skills candidate candidates applicant applicants apply
+application employer employment company companies team teams new high strong well also one two three per via etc inc llc
+opportunity equal benefits salary full time part day days week month please resume email phone name address city state www http
+https com org net
+""".split()
 #: Codes and names of states, used for locations of the form "City, ST".
 STATES = {
     "AL": "Alabama", "AK": "Alaska", "AZ": "Arizona", "AR": "Arkansas", "CA": "California", "CO": "Colorado", "CT": "Connecticut",

@@ -18,49 +18,126 @@ def window_seconds(hours: int = WINDOW_H) -> int:
     return min(max(hours, WINDOW_MIN_H), WINDOW_MAX_H) * 3600
 
 
+#: Seconds of the units of a relative date.
+UNITS = {"minute": 60, "hour": 3600, "day": DAY, "week": 7 * DAY, "month": 30 * DAY, "year": 365 * DAY}
+#: Shapes of written dates and how they are read; a text is only parsed in the form that it has.
+_FORMATS = {
+    r"^\d{4}-\d{2}-\d{2}$": "yyyy-MM-dd",
+    r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}$": "yyyy-MM-dd HH:mm:ss",
+    r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}Z$": "yyyy-MM-dd'T'HH:mm:ss'Z'",
+    r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}\.\d{3}Z$": "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'",
+    r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}[+-]\d{2}:\d{2}$": "yyyy-MM-dd'T'HH:mm:ssXXX",
+    r"^[A-Za-z]{4,9} \d{1,2},? \d{4}$": "MMMM d yyyy",
+    r"^[A-Za-z]{3} \d{1,2},? \d{4}$": "MMM d yyyy",
+    r"^\d{1,2} [A-Za-z]{4,9} \d{4}$": "d MMMM yyyy",
+    r"^\d{1,2} [A-Za-z]{3} \d{4}$": "d MMM yyyy",
+    r"^\d{1,2}/\d{1,2}/\d{4}$": "M/d/yyyy",
+}
+
+
+def _written(text: Column) -> Column:
+    """Epoch seconds of a written date. May is both a short and a whole name."""
+    bare = F.replace(text, F.lit(","), F.lit(""))
+    return F.coalesce(*[F.when(text.rlike(shape), F.unix_timestamp(F.try_to_timestamp(bare, F.lit(form)))) for shape, form in _FORMATS.items()])
+
+
 def posting_epoch(raw: Column, now: int) -> Column:
-    """Epoch seconds of a posting date text; null if it can't be read. All times are UTC."""
-    text = F.trim(F.regexp_replace(F.lower(raw), "^posted ", ""))
-    back = lambda pattern, unit: F.when(text.rlike(pattern), now - F.regexp_extract(text, r"(\d+)", 1).try_cast("bigint") * unit)
-    number = F.when(text.rlike(r"^\d{10,13}$"), F.substring(text, 1, 10).try_cast("bigint"))
-    formats = ("yyyy-MM-dd", "yyyy-MM-dd HH:mm:ss", "MMMM d, yyyy", "MMM d, yyyy", "MM/dd/yyyy")
-    written = [F.unix_timestamp(F.try_to_timestamp(F.initcap(text), F.lit(f))) for f in formats]
+    """Epoch seconds of a posting date text; null if it can't be read. All times are UTC.
+
+    Read in this order: words for now, today and yesterday; "3 days ago", "3d", "3 hours ago",
+    "3h"; "about 3 months" (almost and over are a fifth of a unit less and more); epochs of 10
+    to 13 digits, of which 13 are milliseconds; written dates, with "posted" or ordinals; a
+    month and day without a year, which is this year's unless it is over a day ahead.
+    """
+    text = F.lower(F.trim(raw))
+    ago = lambda pattern, unit: F.when(text.rlike(pattern), now - F.regexp_extract(text, r"(\d+)", 1).try_cast("bigint") * unit)
+    relative = r"^(?:(about|over|almost)\s+)?(\d+)\s+(minute|hour|day|week|month|year)s?$"
+    unit = F.create_map(*[F.lit(x) for kv in UNITS.items() for x in kv])[F.regexp_extract(text, relative, 3)]
+    fifths = F.regexp_extract(text, relative, 2).try_cast("bigint") * 5 + F.when(F.regexp_extract(text, relative, 1) == "almost", -1).when(
+        F.regexp_extract(text, relative, 1) == "over", 1
+    ).otherwise(0)
+    spoken = F.when(text.rlike(relative), now - F.floor(F.greatest(fifths, F.lit(0)) * unit / 5))
+    plain = F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(F.trim(raw), r"(?i)^posted\s+", ""), r"(?i)\b(\d{1,2})(st|nd|rd|th)\b", "$1"), r"\s+", " "))
+    digits = F.when(plain.rlike(r"^\d{13}$"), F.substring(plain, 1, 10)).when(plain.rlike(r"^\d{10,12}$"), plain).try_cast("bigint")
+    # month names in any case; the letters of a time stamp are capitals
+    named = F.when(plain.rlike("^[0-9]{4}-"), F.upper(plain)).otherwise(F.initcap(plain))
+    this_year = F.year(F.timestamp_seconds(F.lit(now)))
+    in_year = lambda y: _written(F.concat_ws(" ", named, y.cast("string")))
+    nearest = lambda this: F.when(this > now + DAY, F.coalesce(in_year(this_year - 1), this)).otherwise(this)
+    undated = F.when(named.rlike(r"^[A-Za-z]{3,9} \d{1,2}$"), F.get(F.transform(F.array(in_year(this_year)), nearest), F.lit(0)))
     return F.coalesce(
-        F.when(text.isin("today", "just now"), F.lit(now)),
-        F.when(text == "yesterday", F.lit(now - DAY)),
-        back(r"^\d+\+? days? ago$|^\d+d$", DAY),
-        back(r"^\d+ hours? ago$|^\d+h$", 3600),
-        back(r"^\d+ weeks? ago$", 7 * DAY),
-        back(r"^\d+ months? ago$", 30 * DAY),
-        number,
-        *written,
+        F.when(text.isin("new", "now", "just now", "today", "posted today"), F.lit(now)),
+        F.when(text.isin("yesterday", "posted yesterday"), F.lit(now - DAY)),
+        ago(r"^\d+\s+days?\s+ago$|^\d+\s*d$", DAY),
+        ago(r"^\d+\s+hours?\s+ago$|^\d+\s*h$", 3600),
+        spoken,
+        F.when(digits > 0, digits),
+        _written(named),
+        undated,
     )
 
 
-def within_window(raw: Column, now: int, hours: int) -> Column:
-    """Blank dates pass, unreadable ones don't."""
-    return F.when(F.trim(F.coalesce(raw, F.lit(""))) == "", True).otherwise(
+def within_window(raw: Column, now: int, hours: int, strict: bool = False) -> Column:
+    """Blank dates pass, unreadable ones don't; in the strict form blank ones don't either."""
+    return F.when(F.trim(F.coalesce(raw, F.lit(""))) == "", not strict).otherwise(
         F.coalesce(posting_epoch(raw, now) >= now - window_seconds(hours), F.lit(False))
     )
 
 
-def freshness(now: int, hours: int) -> Column:
-    """delisted, confirmed_recent, stale_live, newly_discovered or unknown_date, in that precedence."""
-    date, cutoff = posting_epoch(F.col("posting_date"), now), now - window_seconds(hours)
-    known = date.isNotNull() & (date <= now + DAY)
-    return (
-        F.when((F.col("status") == "dead") | F.coalesce(F.col("hidden_reason") == "delisted", F.lit(False)), "delisted")
-        .when(known & (date >= cutoff), "confirmed_recent")
-        .when(known, "stale_live")
-        .when(F.col("first_seen_epoch") >= cutoff, "newly_discovered")
-        .otherwise("unknown_date")
+def trusted_date(raw: Column, now: int) -> Column:
+    """Struct of epoch and confidence: missing, uncertain (unreadable, or over a day ahead) or confirmed."""
+    text, epoch = F.lower(F.coalesce(F.trim(raw), F.lit(""))), posting_epoch(raw, now)
+    missing = (text == "") | text.contains("source date unavailable") | text.contains("synced to database")
+    read = F.transform(F.array(epoch), lambda e: F.struct(F.when(e <= now + DAY, e).alias("epoch"), F.when(e <= now + DAY, "confirmed").otherwise("uncertain").alias("confidence")))
+    nothing = F.struct(F.lit(None).cast("bigint").alias("epoch"), F.lit("missing").alias("confidence"))
+    return F.when(missing, nothing).otherwise(F.get(read, F.lit(0)))  # the text is read once
+
+
+def day_label(epoch: Column) -> Column:
+    """ISO day of an epoch; empty if there is none."""
+    return F.when(epoch > 0, F.date_format(F.timestamp_seconds(epoch), "yyyy-MM-dd")).otherwise("")
+
+
+def date_label(raw: Column, first_seen: Column, last_seen: Column, prefix: Column | None = None) -> Column:
+    """What a listing shows as date: the source's own, or when the posting was stored; with a prefix both."""
+    day, text = day_label(F.coalesce(F.when(first_seen > 0, first_seen), last_seen)), F.trim(F.coalesce(raw, F.lit("")))
+    stored = F.when(day == "", "Source date unavailable (synced to database)").otherwise(
+        F.concat(F.lit("Source date unavailable (synced to database on "), day, F.lit(")"))
     )
+    both = F.when((day != "") & (text != "") & prefix.isNotNull(), F.concat(F.lit("Synced to database on "), day, F.lit(" - "), prefix, F.lit(": "), text)) if prefix is not None else F.lit(None).cast("string")
+    return F.coalesce(both, F.when(text != "", text), stored)
+
+
+def _delisted() -> Column:
+    return (F.lower(F.trim(F.coalesce("status", F.lit("unverified")))) == "dead") | F.coalesce(F.lower(F.trim("hidden_reason")) == "delisted", F.lit(False))
+
+
+def classified(df: DataFrame, now: int, hours: int) -> DataFrame:
+    """df with freshness and how sure each of five things about a posting is (sure_date, sure_description, ...).
+
+    freshness is delisted, confirmed_recent, stale_live, newly_discovered or unknown_date, in that precedence.
+    """
+    blank = lambda c: F.trim(F.coalesce(F.col(c), F.lit(""))) == ""
+    paid = (F.coalesce("pay_min", F.lit(0.0)) > 0) | (F.coalesce("pay_max", F.lit(0.0)) > 0)
+    there = lambda yes: F.when(yes, "available").otherwise("missing")
+    date, cutoff = F.col("_date")["epoch"], now - window_seconds(hours)
+    fresh = (
+        F.when(_delisted(), "delisted").when(date >= cutoff, "confirmed_recent").when(date.isNotNull(), "stale_live")
+        .when(F.col("first_seen_epoch").between(cutoff, now + 60), "newly_discovered").otherwise("unknown_date")
+    )
+    return df.withColumn("_date", trusted_date(F.col("posting_date"), now)).withColumns(
+        {
+            "freshness": fresh, "sure_date": F.col("_date")["confidence"], "sure_description": there(~blank("job_description")), "sure_location": there(~blank("location")),
+            "sure_compensation": there(paid),
+            "sure_liveness": F.when(_delisted(), "delisted").when(F.col("status") == "active", "confirmed_live").otherwise("listed_unverified"),
+        }
+    ).drop("_date")
 
 
 _EPOCH = """CASE WHEN t IN ('today', 'just now') THEN 1706659200 WHEN t = 'yesterday' THEN 1706659200 - 86400
 WHEN regexp_matches(t, '^[0-9]+ days? ago$|^[0-9]+d$') THEN 1706659200 - regexp_extract(t, '([0-9]+)', 1)::BIGINT * 86400
 ELSE epoch(try_strptime(t, '%Y-%m-%d'))::BIGINT END"""
-_DATED = f"dated AS (SELECT *, {_EPOCH} AS date_epoch FROM (SELECT *, trim(regexp_replace(lower(posting_date), '^posted ', '')) AS t FROM postings))"
+_DATED = f"dated AS (SELECT *, {_EPOCH} AS date_epoch FROM (SELECT *, lower(trim(posting_date)) AS t FROM postings))"
 
 
 @query(f"WITH {POSTINGS}, {_DATED} SELECT posting_id, date_epoch, trim(posting_date) = '' OR coalesce(date_epoch >= 1706659200 - 604800, false) AS in_window FROM dated")
@@ -75,4 +152,61 @@ WHEN date_epoch >= 1706659200 - 604800 AND date_epoch <= 1706659200 + 86400 THEN
 WHEN first_seen_epoch >= 1706659200 - 604800 THEN 'newly_discovered' ELSE 'unknown_date' END AS freshness, count(*) AS n FROM dated GROUP BY 1"""
 )
 def dt_freshness(spark, sf_dir) -> DataFrame:
-    return postings(spark, sf_dir).select(freshness(NOW, 168).alias("freshness")).groupBy("freshness").agg(F.count("*").alias("n"))
+    return classified(postings(spark, sf_dir), NOW, 168).groupBy("freshness").agg(F.count("*").alias("n"))
+
+
+_SHAPES = """CASE doc_id % 18 WHEN 0 THEN n || ' days ago' WHEN 1 THEN n || 'd' WHEN 2 THEN n || ' hours ago' WHEN 3 THEN n || 'h' WHEN 4 THEN 'about ' || n || ' months'
+WHEN 5 THEN 'over ' || n || ' weeks' WHEN 6 THEN 'almost ' || n || ' years' WHEN 7 THEN n || ' minutes' WHEN 8 THEN CAST(1600000000 + doc_id * 86413 AS {text}) WHEN 9 THEN CAST((1600000000 + doc_id * 86413) * 1000 AS {text})
+WHEN 10 THEN 'Posted ' || {day} WHEN 11 THEN {long} WHEN 12 THEN {ordinal} WHEN 13 THEN {bare} WHEN 14 THEN 'Posted today' WHEN 15 THEN '' WHEN 16 THEN 'Source date unavailable' ELSE 'soon ' || n END"""
+_DAY = "date_add(DATE'2023-03-01', CAST(doc_id * 7 % 500 AS INT))"
+_DUCK_DAY = "(DATE '2023-03-01' + CAST(doc_id * 7 % 500 AS INT))"
+_READ = """CASE k WHEN 0 THEN now - n * 86400 WHEN 1 THEN now - n * 86400 WHEN 2 THEN now - n * 3600 WHEN 3 THEN now - n * 3600 WHEN 4 THEN now - n * 2592000
+WHEN 5 THEN now - (n * 604800 + 120960) WHEN 6 THEN now - greatest(n * 31536000 - 6307200, 0) WHEN 7 THEN now - n * 60 WHEN 8 THEN 1600000000 + doc_id * 86413 WHEN 9 THEN 1600000000 + doc_id * 86413
+WHEN 10 THEN at_ WHEN 11 THEN at_ WHEN 12 THEN at_ WHEN 13 THEN CASE WHEN this > now + 86400 THEN before ELSE this END WHEN 14 THEN now END"""
+
+
+@query(
+    f"""WITH d AS (SELECT doc_id, doc_id % 18 AS k, doc_id // 18 % 60 AS n, 1706659200 AS now, {_DUCK_DAY} AS day FROM documents),
+e AS (SELECT *, epoch(day)::BIGINT AS at_, epoch(try_strptime('2024 ' || strftime(day, '%B %d'), '%Y %B %d'))::BIGINT AS this,
+epoch(try_strptime('2023 ' || strftime(day, '%B %d'), '%Y %B %d'))::BIGINT AS before FROM d),
+r AS (SELECT *, ({_READ})::BIGINT AS read FROM e)
+SELECT doc_id, read AS date_epoch, CASE WHEN k = 15 THEN true ELSE coalesce(read >= now - 604800, false) END AS in_window, CASE WHEN k = 15 THEN false ELSE coalesce(read >= now - 604800, false) END AS strictly,
+CASE WHEN k IN (15, 16) THEN 'missing' WHEN read <= now + 86400 THEN 'confirmed' ELSE 'uncertain' END AS confidence FROM r"""
+)
+def dt_forms(spark, sf_dir) -> DataFrame:
+    """Dates of every document in eighteen spellings."""
+    shapes = _SHAPES.format(
+        text="STRING", day="date_format(day, 'yyyy-MM-dd')", long="date_format(day, 'MMMM d, yyyy')", bare="date_format(day, 'MMMM d')",
+        ordinal="concat(date_format(day, 'MMM d'), CASE WHEN day(day) IN (1, 21, 31) THEN 'st' WHEN day(day) IN (2, 22) THEN 'nd' WHEN day(day) IN (3, 23) THEN 'rd' ELSE 'th' END, date_format(day, ', yyyy'))",
+    )
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").selectExpr("doc_id", "CAST(doc_id div 18 % 60 AS STRING) AS n", f"{_DAY} AS day").selectExpr("doc_id", f"{shapes} AS raw")
+    raw = F.col("raw")
+    return rows.select(
+        "doc_id", posting_epoch(raw, NOW).alias("date_epoch"), within_window(raw, NOW, 168).alias("in_window"), within_window(raw, NOW, 168, strict=True).alias("strictly"), trusted_date(raw, NOW)["confidence"].alias("confidence")
+    )
+
+
+@query(
+    f"""WITH {POSTINGS}, s AS (SELECT *, 'Source date unavailable (synced to database on ' || strftime(make_timestamp(first_seen_epoch * 1000000), '%Y-%m-%d') || ')' AS stored FROM postings)
+SELECT posting_id, CASE WHEN trim(posting_date) <> '' THEN trim(posting_date) ELSE stored END AS label,
+CASE WHEN trim(posting_date) <> '' THEN 'Synced to database on ' || strftime(make_timestamp(first_seen_epoch * 1000000), '%Y-%m-%d') || ' - Closing date: ' || trim(posting_date) ELSE stored END AS closing FROM s"""
+)
+def dt_labels(spark, sf_dir) -> DataFrame:
+    seen = F.col("posting_date"), F.col("first_seen_epoch"), F.col("last_seen_epoch")
+    return postings(spark, sf_dir).select("posting_id", date_label(*seen).alias("label"), date_label(*seen, F.lit("Closing date")).alias("closing"))
+
+
+@query(
+    f"""WITH {POSTINGS}, {_DATED}, c AS (SELECT CASE WHEN status = 'dead' OR coalesce(hidden_reason = 'delisted', false) THEN 'delisted'
+WHEN date_epoch >= 1706659200 - 604800 AND date_epoch <= 1706659200 + 86400 THEN 'confirmed_recent' WHEN date_epoch <= 1706659200 + 86400 THEN 'stale_live'
+WHEN first_seen_epoch BETWEEN 1706659200 - 604800 AND 1706659200 + 60 THEN 'newly_discovered' ELSE 'unknown_date' END AS freshness,
+CASE WHEN trim(posting_date) = '' THEN 'missing' WHEN date_epoch <= 1706659200 + 86400 THEN 'confirmed' ELSE 'uncertain' END AS date,
+CASE WHEN trim(coalesce(job_description, '')) = '' THEN 'missing' ELSE 'available' END AS description, CASE WHEN trim(coalesce(location, '')) = '' THEN 'missing' ELSE 'available' END AS location,
+CASE WHEN coalesce(pay_min, 0) > 0 OR coalesce(pay_max, 0) > 0 THEN 'available' ELSE 'missing' END AS compensation,
+CASE WHEN status = 'dead' OR coalesce(hidden_reason = 'delisted', false) THEN 'delisted' ELSE 'listed_unverified' END AS liveness FROM dated)
+SELECT freshness, date, description, location, compensation, liveness, count(*) AS n FROM c GROUP BY ALL"""
+)
+def q_classify(spark, sf_dir) -> DataFrame:
+    names = ("date", "description", "location", "compensation", "liveness")
+    told = classified(postings(spark, sf_dir), NOW, 168).select("freshness", *[F.col(f"sure_{n}").alias(n) for n in names])
+    return told.groupBy("freshness", *names).agg(F.count("*").alias("n"))

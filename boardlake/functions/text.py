@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from boardlake.constants import CORPUS_STOPWORDS
 from boardlake.registry import query
 from boardlake.sources.postings import POSTINGS, postings
 
@@ -40,11 +41,15 @@ def title_words(c: Column) -> Column:
     )
 
 
+def raw_tokens(c: Column) -> Column:
+    """Lower case, letters and digits with +#- inside, 3 to 30 long, no number."""
+    words = F.regexp_extract_all(F.lower(c), F.lit("[a-z0-9](?:[a-z0-9+#-]*[a-z0-9])?"), F.lit(0))
+    return F.filter(words, lambda w: F.length(w).between(3, 30) & (F.translate(w, "0123456789", "") != ""))
+
+
 def tokens(c: Column) -> Column:
-    """Search tokens: lower case, letters, digits and +#-, 3 to 30 long, not a number."""
-    words = F.split(F.regexp_replace(F.lower(c), "[^a-z0-9+#-]+", " "), " ")
-    bare = F.transform(words, lambda w: F.btrim(w, F.lit("+#-")))
-    return F.filter(bare, lambda w: F.length(w).between(3, 30) & ~w.rlike("^[0-9]+$"))
+    """Search tokens: those without words that every posting has."""
+    return F.filter(raw_tokens(c), lambda w: ~w.isin(*CORPUS_STOPWORDS))
 
 
 def host(c: Column) -> Column:
@@ -99,13 +104,31 @@ def sc_title_words(spark, sf_dir) -> DataFrame:
     return postings(spark, sf_dir).select(F.explode(title_words(F.col("position_name"))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
 
 
-@query(
-    r"""SELECT page_id, regexp_matches(html, '(?i)<script|captcha') AS has_script,
-regexp_matches(lower(left(html, 8000)), 'no longer available|position has been filled|page not found|job has expired') AS soft_not_found FROM pages"""
+#: What a page says whose posting is gone; searched without case in the first 8,000 characters of the page's text.
+GONE = (
+    "job (?:posting |opening )?(?:was |is )?not found",
+    "(?:position|job|posting|opening|role) (?:is |has been |was )?(?:no longer|not) (?:available|active|open|accepting)",
+    "no longer accepting applications",
+    "this (?:job|position|posting|listing) (?:has been )?(?:closed|filled|removed|expired)",
+    "position has been filled",
+    "page (?:you(?:'| a)re looking for )?(?:could not be found|doesn'?t exist|cannot be found|was not found)",
+    "sorry.{0,40}(?:job|page|posting).{0,40}(?:not found|no longer exists|doesn'?t exist)",
 )
-def tx_page_signals(spark, sf_dir) -> DataFrame:
-    html = F.col("html")
-    gone = "no longer available|position has been filled|page not found|job has expired"
-    return spark.read.parquet(f"{sf_dir}/pages.parquet").select(
-        "page_id", html.rlike("(?i)<script|captcha").alias("has_script"), F.lower(F.substring(html, 1, 8000)).rlike(gone).alias("soft_not_found")
-    )
+#: What a page says that wants an account.
+ACCOUNT = (
+    "h-?captcha|re-?captcha|turnstile",
+    "(?:sign|log) ?in to (?:apply|continue|your account)",
+    "create (?:an? )?(?:candidate )?account(?: to apply)?",
+    "(?:candidate|applicant) (?:login|sign ?in|home|portal|dashboard)",
+)
+
+
+def soft_not_found(text: Column) -> Column:
+    """Whether a page's text says that the posting is gone."""
+    return F.substring(F.coalesce(text, F.lit("")), 1, 8000).rlike("(?i)" + "|".join(GONE))
+
+
+def requires_account(html: Column, text: Column) -> Column:
+    """Whether a page wants an account, by its markup or its text."""
+    merged = F.concat(F.substring(F.coalesce(html, F.lit("")), 1, 200_000), F.lit("\n"), F.substring(F.coalesce(text, F.lit("")), 1, 8000))
+    return merged.rlike("(?i)" + "|".join(ACCOUNT))

@@ -53,26 +53,27 @@ def merge_by_key(target: DataFrame, source: DataFrame, key: list[str], first_id:
 
 @query(
     """WITH a AS (SELECT o_orderkey AS id, o_custkey AS company, date_trunc('day', o_orderdate) AS day, o_orderstatus AS status FROM orders),
-t AS (SELECT * FROM a WHERE id % 3 <> 0), s AS (SELECT * FROM a WHERE id % 2 = 0), k AS (SELECT company, day, status, min(id) AS target FROM t GROUP BY 1, 2, 3)
+s AS (SELECT id, company, day, CASE WHEN id % 2 = 0 THEN status ELSE 'new' END AS status FROM a), k AS (SELECT company, day, status, min(id) AS target FROM a GROUP BY 1, 2, 3)
 SELECT s.id AS source_id, coalesce(target, 1000000000 + s.id) AS target_id, target IS NULL AS inserted FROM s LEFT JOIN k ON k.company = s.company AND k.day = s.day AND k.status = s.status"""
 )
 def m_merge_applications(spark, sf_dir) -> DataFrame:
     rows = _table(spark, sf_dir, "orders").select(
         F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("company"), F.date_trunc("day", "o_orderdate").alias("day"), F.col("o_orderstatus").alias("status")
     )
-    return merge_by_key(rows.filter("id % 3 <> 0"), rows.filter("id % 2 = 0"), ["company", "day", "status"], F.lit(1_000_000_000))[1]
+    other = rows.withColumn("status", F.when(F.col("id") % 2 == 0, F.col("status")).otherwise("new"))  # half of them differ from what is there
+    return merge_by_key(rows, other, ["company", "day", "status"], F.lit(1_000_000_000))[1]
 
 
 @query(
     """WITH o AS (SELECT *, lag(o_orderkey) OVER (PARTITION BY o_custkey, o_orderstatus ORDER BY o_orderdate, o_orderkey) AS earlier,
 lead(o_orderkey) OVER (PARTITION BY o_custkey, o_orderstatus ORDER BY o_orderdate, o_orderkey) AS later FROM orders)
-SELECT o_orderkey AS deleted, earlier AS points_to FROM o WHERE later IS NULL AND o_orderkey % 2 = 0"""
+SELECT o_orderkey AS deleted, earlier AS points_to FROM o WHERE later IS NULL"""
 )
 def m_delete_application(spark, sf_dir) -> DataFrame:
     """Where the newest application of a company and status goes, its postings point to the next newest, or to none."""
     of = Window.partitionBy("o_custkey", "o_orderstatus").orderBy(F.desc("o_orderdate"), F.desc("o_orderkey"))
     ranked = _table(spark, sf_dir, "orders").select("o_orderkey", F.row_number().over(of).alias("_r"), F.lead("o_orderkey").over(of).alias("points_to"))
-    return ranked.filter("_r = 1 and o_orderkey % 2 = 0").select(F.col("o_orderkey").alias("deleted"), "points_to")
+    return ranked.filter("_r = 1").select(F.col("o_orderkey").alias("deleted"), "points_to")
 
 
 @query(
@@ -115,7 +116,7 @@ WHEN regexp_matches(t, '^[0-9]+ days? ago$|^[0-9]+d$') THEN 1706659200 - regexp_
 
 
 @query(
-    f"""WITH {POSTINGS}, d AS (SELECT *, {_EPOCH} AS e FROM (SELECT *, trim(regexp_replace(lower(posting_date), '^posted ', '')) AS t FROM postings))
+    f"""WITH {POSTINGS}, d AS (SELECT *, {_EPOCH} AS e FROM (SELECT *, lower(trim(posting_date)) AS t FROM postings))
 SELECT posting_id, hidden OR o AS hidden, CASE WHEN o THEN 'outside_date_window' ELSE hidden_reason END AS hidden_reason FROM
 (SELECT *, NOT hidden AND t <> '' AND NOT coalesce(e >= 1706659200 - 604800, false) AS o FROM d)"""
 )
@@ -141,14 +142,15 @@ def io_error_log(spark, sf_dir) -> DataFrame:
 
 
 @query(
-    """WITH c AS (SELECT 'https://c' || c_custkey AS url, c_name AS name FROM customer WHERE c_custkey % 3 <> 0), n AS (SELECT 'https://c' || c_custkey AS url, 'New ' || c_name AS name FROM customer WHERE c_custkey % 2 = 0)
+    """WITH c AS (SELECT 'https://c' || c_custkey AS url, c_name AS name FROM customer), n AS (SELECT CASE WHEN c_custkey % 2 = 0 THEN 'https://c' ELSE 'https://n' END || c_custkey AS url, 'New ' || c_name AS name FROM customer)
 SELECT coalesce(n.url, c.url) AS url, coalesce(n.name, c.name) AS name, CASE WHEN n.url IS NULL THEN 'kept' WHEN c.url IS NULL THEN 'inserted' ELSE 'updated' END AS action FROM c FULL JOIN n ON c.url = n.url"""
 )
 def io_seed_upsert(spark, sf_dir) -> DataFrame:
     """Companies by URL, and whether each was inserted, updated or kept."""
     rows = _table(spark, sf_dir, "customer").select("c_custkey", F.concat(F.lit("https://c"), F.col("c_custkey").cast("string")).alias("url"), F.col("c_name").alias("name"))
-    have = rows.filter("c_custkey % 3 <> 0").select("url", F.col("name").alias("old"), F.lit(True).alias("had"))
-    new = rows.filter("c_custkey % 2 = 0").select("url", F.concat(F.lit("New "), "name").alias("new"), F.lit(True).alias("came"))
+    have = rows.select("url", F.col("name").alias("old"), F.lit(True).alias("had"))
+    other = F.when(F.col("c_custkey") % 2 == 0, F.col("url")).otherwise(F.regexp_replace("url", "//c", "//n"))
+    new = rows.select(other.alias("url"), F.concat(F.lit("New "), "name").alias("new"), F.lit(True).alias("came"))
     action = F.when(F.col("came").isNull(), "kept").when(F.col("had").isNull(), "inserted").otherwise("updated")
     return have.join(new, "url", "full").select("url", F.coalesce("new", "old").alias("name"), action.alias("action"))
 
@@ -258,14 +260,17 @@ def jn_application_company(spark, sf_dir) -> DataFrame:
 
 
 @query(
-    """WITH p AS (SELECT page_id, url, regexp_replace(url, '^http:', 'https:') AS new_url FROM pages WHERE page_id % 2 = 0), e AS (SELECT regexp_replace(url, '^http:', 'https:') AS url FROM pages WHERE page_id % 6 = 1)
-SELECT page_id, new_url AS url FROM p WHERE new_url NOT IN (SELECT url FROM e)"""
+    r"""WITH p AS (SELECT page_id, url, regexp_replace(regexp_replace(url, '[?#].*$', ''), '^http:', 'https:') AS new_url FROM pages), m AS (SELECT new_url, min(page_id) AS first_ FROM p WHERE url <> new_url GROUP BY 1),
+e AS (SELECT url FROM p WHERE url = new_url)
+SELECT page_id, new_url AS url, url <> new_url AS moved FROM p LEFT JOIN m USING (new_url) WHERE url = new_url OR (new_url NOT IN (SELECT url FROM e) AND page_id = first_)"""
 )
 def jn_url_rewrite(spark, sf_dir) -> DataFrame:
-    """Rows under their new URL, but for those whose new URL is taken."""
-    pages = _table(spark, sf_dir, "pages").select("page_id", F.regexp_replace("url", "^http:", "https:").alias("url"))
-    taken = pages.filter("page_id % 6 = 1").select("url")
-    return pages.filter("page_id % 2 = 0").join(taken, "url", "left_anti").select("page_id", "url")
+    """Every page under its new URL, without those whose new URL another page has already or, of several that move there, a lower one."""
+    new = F.regexp_replace(F.regexp_replace("url", "[?#].*$", ""), "^http:", "https:")
+    pages = _table(spark, sf_dir, "pages").select("page_id", new.alias("new_url"), (F.col("url") != new).alias("moved"))
+    there = pages.filter("not moved").select("new_url")
+    moving = pages.filter("moved").join(there, "new_url", "left_anti").groupBy("new_url").agg(F.min("page_id").alias("page_id")).withColumn("moved", F.lit(True))
+    return pages.filter("not moved").unionByName(moving).select("page_id", F.col("new_url").alias("url"), "moved")
 
 
 @query(

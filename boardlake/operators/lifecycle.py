@@ -53,9 +53,9 @@ def delete_expired(current: DataFrame, now: int, days: int = RETENTION_DAYS) ->
     return current.filter(~(F.col("hidden") & (F.coalesce("hidden_at_epoch", F.lit(now)) < now - days * DAY)))
 
 
-_CURRENT = "cur AS (SELECT * FROM postings WHERE posting_id % 3 <> 0)"
-_INCOMING = """inc AS (SELECT * FROM (SELECT job_posting_url, position_name || ' II' AS position_name, CASE WHEN posting_id % 4 <> 0 THEN location END AS location,
-CASE WHEN posting_id % 5 <> 0 THEN job_description END AS job_description, pay_min + 1 AS pay_min, pay_max + 1 AS pay_max FROM postings WHERE posting_id % 2 = 0))"""
+_CURRENT = "cur AS (SELECT * FROM postings)"
+_INCOMING = """inc AS (SELECT * FROM (SELECT job_posting_url || CASE WHEN posting_id % 2 = 0 THEN '' ELSE '/again' END AS job_posting_url, position_name || ' II' AS position_name, CASE WHEN posting_id % 4 <> 0 THEN location END AS location,
+CASE WHEN posting_id % 5 <> 0 THEN job_description END AS job_description, pay_min + 1 AS pay_min, pay_max + 1 AS pay_max FROM postings))"""
 _MERGED = """nxt AS (SELECT coalesce(i.job_posting_url, c.job_posting_url) AS job_posting_url, coalesce(i.position_name, c.position_name) AS position_name,
 coalesce(i.location, c.location) AS location, coalesce(i.job_description, c.job_description) AS job_description,
 CASE WHEN i.job_posting_url IS NOT NULL AND (i.job_description IS NOT NULL OR c.job_posting_url IS NULL) THEN i.pay_min ELSE c.pay_min END AS pay_min,
@@ -67,13 +67,14 @@ CASE WHEN i.job_posting_url IS NULL THEN c.hidden_at_epoch END AS hidden_at_epoc
 
 def _next(spark, sf_dir) -> DataFrame:
     all_ = postings(spark, sf_dir)
-    one = all_.filter("posting_id % 2 = 0").select(
-        KEY, F.concat("position_name", F.lit(" II")).alias("position_name"), F.when(F.col("posting_id") % 4 != 0, F.col("location")).alias("location"),
+    url = F.concat(KEY, F.when(F.col("posting_id") % 2 == 0, "").otherwise("/again"))  # half of the incoming ones are new
+    one = all_.select(
+        url.alias(KEY), F.concat("position_name", F.lit(" II")).alias("position_name"), F.when(F.col("posting_id") % 4 != 0, F.col("location")).alias("location"),
         F.when(F.col("posting_id") % 5 != 0, F.col("job_description")).alias("job_description"), (F.col("pay_min") + 1).alias("pay_min"),
         (F.col("pay_max") + 1).alias("pay_max"), F.lit(2).alias("batch_order"),
     )
     earlier = one.withColumns({"position_name": F.lit("overtaken"), "batch_order": F.lit(1)})
-    return upsert(all_.filter("posting_id % 3 <> 0"), one.unionByName(earlier), NOW)
+    return upsert(all_, one.unionByName(earlier), NOW)
 
 
 @query(f"WITH {POSTINGS}, {_CURRENT}, {_INCOMING}, {_MERGED} SELECT job_posting_url, position_name, location, md5(job_description) AS description_md5, pay_min, pay_max, first_seen_epoch, last_seen_epoch::BIGINT AS last_seen_epoch, hidden, hidden_reason, hidden_at_epoch FROM nxt")

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from boardlake.constants import CORPUS_STOPWORDS
 from boardlake.functions.enrich import DEMANDS, sections, with_line
-from boardlake.functions.text import tokens
+from boardlake.functions.text import raw_tokens, tokens
 from boardlake.registry import query
 from boardlake.sources.postings import POSTINGS, postings
 
@@ -25,7 +26,7 @@ SOFT = (
 
 def words(text: Column) -> Column:
     """Tokens but for function words."""
-    return F.filter(tokens(text), lambda w: ~w.isin(FUNCTION_WORDS))
+    return F.filter(raw_tokens(text), lambda w: ~w.isin(FUNCTION_WORDS))
 
 
 def stems(text: Column) -> Column:
@@ -95,8 +96,9 @@ def jn_score_map(spark, sf_dir) -> DataFrame:
     )
 
 
-_WORDS = """list_filter(list_transform(string_split(regexp_replace(lower(text), '[^a-z0-9+#-]+', ' ', 'g'), ' '), lambda w: regexp_replace(w, '^[+#-]+|[+#-]+$', '', 'g')),
-lambda w: length(w) BETWEEN 3 AND 30 AND NOT regexp_matches(w, '^[0-9]+$'))"""
+_STOP = "(" + ", ".join("'" + w.replace("'", "''") + "'" for w in CORPUS_STOPWORDS) + ")"
+_WORDS = f"""list_filter(list_transform(string_split(regexp_replace(lower(text), '[^a-z0-9+#-]+', ' ', 'g'), ' '), lambda w: regexp_replace(w, '^[+#-]+|[+#-]+$', '', 'g')),
+lambda w: length(w) BETWEEN 3 AND 30 AND NOT regexp_matches(w, '^[0-9]+$') AND w NOT IN {_STOP})"""
 
 
 @query(
