@@ -44,10 +44,8 @@ def _lines(documents: DataFrame) -> DataFrame:
     """_doc, _text, _at, _line, _n (words) for each line that isn't empty."""
     text = F.coalesce(F.col("text"), F.lit(""))
     return (
-        documents.select(
-            F.col("doc_id").cast("long").alias("_doc"), F.xxhash64("text").alias("_text"),
-            F.posexplode(F.split(text, "\n", -1)).alias("_at", "_raw"),
-        )
+        documents.select(F.col("doc_id").cast("long").alias("_doc"), F.xxhash64("text").alias("_text"), F.split(text, "\n", -1).alias("_all"))
+        .select("_doc", "_text", F.posexplode("_all").alias("_at", "_raw"))  # what a select computes beside it, it computes for each line
         .select("_doc", "_text", "_at", norm(F.col("_raw")).alias("_line"))
         .filter(F.col("_line") != "")
         .withColumn("_n", _count(F.col("_line")))
@@ -93,6 +91,13 @@ def later_lines(documents: DataFrame, near_from: int = NEAR_WORDS) -> DataFrame:
     return out
 
 
+def _flags(places: Column) -> Column:
+    """An array that is true at the places (sorted, from 0) and false before and between them. It is built from the gaps, so what goes
+    along with it takes no longer than the lines of a text."""
+    gaps = F.transform(places, lambda at, i: at - F.when(i == 0, F.lit(-1)).otherwise(F.get(places, i - 1)) - 1)
+    return F.flatten(F.transform(gaps, lambda n: F.concat(F.array_repeat(F.lit(False), n), F.array(F.lit(True)))))
+
+
 def _long_lines(documents: DataFrame, first: DataFrame, near_from: int) -> DataFrame:
     """_h, _first, _line, _n of the lines of over LONG words that share an end with another line, each read once, at its earliest place."""
     ends = first.filter(F.col("_ends").isNotNull()).select("_h", F.explode("_ends").alias("_key"))
@@ -100,11 +105,13 @@ def _long_lines(documents: DataFrame, first: DataFrame, near_from: int) -> DataF
     able = materialise(ends.join(shared.select("_key"), "_key", "left_semi").select("_h").distinct())
     at = materialise(
         first.filter(F.col("_line").isNull()).join(small_enough(able), "_h", "left_semi").groupBy(F.col("_first.doc").alias("_doc"))
-        .agg(F.collect_set("_first.at").alias("_places"))  # of one document
+        .agg(F.sort_array(F.collect_set("_first.at")).alias("_places"))  # of one document
     )
     docs = documents.select(F.col("doc_id").cast("long").alias("_id"), F.split(F.coalesce(F.col("text"), F.lit("")), "\n", -1).alias("_all"))
-    read = docs.join(small_enough(at), F.col("_id").eqNullSafe(F.col("_doc"))).select("_doc", "_all", F.explode("_places").alias("_at"))
-    line = read.filter(F.col("_at") < F.size("_all")).select("_doc", "_at", norm(F.element_at("_all", F.col("_at") + 1)).alias("_line"))
+    numbered = F.transform("_all", lambda line, i: F.struct(i.alias("at"), line.alias("line")))
+    wanted = F.array_compact(F.zip_with(numbered, _flags(F.col("_places")), lambda x, told: F.when(told, x)))
+    read = docs.join(small_enough(at), F.col("_id").eqNullSafe(F.col("_doc"))).select("_doc", F.explode(wanted).alias("_x"))
+    line = read.filter("_x.line is not null").select("_doc", F.col("_x.at").alias("_at"), norm(F.col("_x.line")).alias("_line"))
     out = materialise(
         line.withColumn("_h", F.xxhash64("_line")).withColumn("_n", _count(F.col("_line"))).filter((F.col("_n") > LONG) & (F.col("_n") >= near_from))
         .groupBy("_h").agg(_first(), F.first("_line").alias("_line"), F.first("_n").alias("_n"))
@@ -189,10 +196,7 @@ def _cut(documents: DataFrame, more: list[str], near_from: int) -> tuple[DataFra
     joined = keyed.join(
         small_enough(gone), F.col("doc_id").cast("long").eqNullSafe(F.col(d)) & (F.col(k) == F.col(t)), "left"
     )
-    # a flag for each line up to the last that goes, built from the gaps between those, so long texts take no longer than their lines
-    gaps = F.transform(F.col(g), lambda at, i: at - F.when(i == 0, F.lit(-1)).otherwise(F.get(F.col(g), i - 1)) - 1)
-    flags = F.flatten(F.transform(gaps, lambda n: F.concat(F.array_repeat(F.lit(False), n), F.array(F.lit(True)))))
-    lines = F.zip_with(F.split("text", "\n", -1), flags, lambda line, gone: F.when(~F.coalesce(gone, F.lit(False)), line))
+    lines = F.zip_with(F.split("text", "\n", -1), _flags(F.col(g)), lambda line, gone: F.when(~F.coalesce(gone, F.lit(False)), line))
     left = F.array_join(lines, "\n")
     out = joined.withColumn("text", F.when(F.col(g).isNull(), F.col("text")).otherwise(left))
     if dict(documents.dtypes).get("n_chars") in ("int", "bigint"):
