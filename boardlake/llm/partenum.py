@@ -272,35 +272,34 @@ def _signed(documents: DataFrame) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """_node, _comp (least node that can be reached) of every node of the links _x, _y.
 
-    Large and small stars in turn: each joins a node's neighbours to the least of them, until
-    nothing changes. Only minima are gathered."""
-    edges = materialise(edges.filter("_x != _y").select(F.greatest("_x", "_y").alias("_x"), F.least("_x", "_y").alias("_y")).distinct())
-    state = None
-    while True:
-        before, edges = edges, materialise(_stars(_stars(edges)))
+    Each round every node gives way to the one of least hash among itself and its neighbours, and
+    links are carried over to those, until none is left; hashes make the rounds few for chains too.
+    Then the rounds' names are followed and the least node of each name is told. Only minima are
+    gathered, and a node of very many links is added up before the shuffle.
+    """
+    pair = lambda x, y: (F.greatest(x, y).alias("_x"), F.least(x, y).alias("_y"))
+    edges = materialise(edges.filter("_x != _y").select(*pair("_x", "_y")).distinct())
+    rounds = []
+    while not rounds or not edges.isEmpty():
+        both = edges.unionByName(edges.select(F.col("_y").alias("_x"), F.col("_x").alias("_y")))
+        least = F.least(F.struct(F.xxhash64("_x").alias("h"), F.col("_x").alias("n")), F.min(F.struct(F.xxhash64("_y").alias("h"), F.col("_y").alias("n"))))
+        up = materialise(both.groupBy("_x").agg(least["n"].alias("_up")).withColumnRenamed("_x", "_from"))
+        rounds.append(up)
+        to = lambda name, new: small_enough(up.withColumnRenamed("_from", f"_f{name}").withColumnRenamed("_up", new))  # noqa: B023, E731
+        moved = edges.join(to("x", "_a"), F.col("_x") == F.col("_fx")).join(to("y", "_b"), F.col("_y") == F.col("_fy"))
+        before, edges = edges, materialise(moved.filter("_a != _b").select(*pair("_a", "_b")).distinct())
         drop(before)
-        now = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("_x", "_y"))).first()
-        if now == state:
-            break
-        state = now
-    nodes = edges.groupBy(F.col("_x").alias("_node")).agg(F.min("_y").alias("_comp"))
-    out = materialise(nodes.unionByName(edges.select(F.col("_y").alias("_node"), F.col("_y").alias("_comp")).distinct()))
-    drop(edges)
+    names = rounds[0].select(F.col("_from").alias("_node"), F.col("_up").alias("_name"))
+    for up in rounds[1:]:
+        names = names.join(small_enough(up), F.col("_name") == F.col("_from"), "left").select("_node", F.coalesce("_up", "_name").alias("_name"))
+    names = materialise(names)
+    drop(edges, *rounds)
+    least = materialise(names.groupBy("_name").agg(F.min("_node").alias("_comp")).withColumnRenamed("_name", "_of"))
+    out = materialise(names.join(small_enough(least), F.col("_name") == F.col("_of")).select("_node", "_comp"))
+    drop(names, least)
     return out
 
 
-def _stars(edges: DataFrame) -> DataFrame:
-    """One large and one small star step."""
-    both = edges.unionByName(edges.select(F.col("_y").alias("_x"), F.col("_x").alias("_y")))
-    least = both.groupBy("_x").agg(F.least(F.col("_x"), F.min("_y")).alias("_m"))
-    large = both.join(least, "_x").filter("_y > _x").select(F.col("_y").alias("_x"), F.col("_m").alias("_y")).distinct()
-    least = large.groupBy("_x").agg(F.min("_y").alias("_m"))
-    return (
-        large.join(least, "_x").select(F.col("_y").alias("_x"), F.col("_m").alias("_y"))
-        .unionByName(least.select("_x", F.col("_m").alias("_y"))).filter("_x != _y").distinct()
-    )
-
-
 def _possible(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
     """The pairs without those whose sketches differ too much."""
     one = lambda to: sketches.select(F.col("_node").alias(f"_{to}"), F.col("_size").alias(f"_s{to}"), F.col("_sketch").alias(f"_k{to}"))
