@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from boardlake.constants import DAY
+from boardlake.functions.dates import posting_epoch, window_seconds
+from boardlake.functions.geo import _ANSWERS, located
+from boardlake.functions.sources import infer_source
 from boardlake.functions.text import title_words
 from boardlake.operators import filters
 from boardlake.registry import query
@@ -22,18 +26,44 @@ def ag_query_totals(spark, sf_dir) -> DataFrame:
     )
 
 
+#: Values of a facet that are shown.
+FACET_CAP = 20_000
+
+
+def facets(df: DataFrame, cap: int = FACET_CAP) -> DataFrame:
+    """facet, value, n: states, cities ("City|ST"), companies, words of titles and sources, the cap most frequent of each by n and
+    then by value; and as facet total the numbers of all, visible, hidden and paid postings.
+
+    df has the entries of its locations. A row's values are exploded side by side and counted together.
+    """
+    pair = lambda name, c: F.struct(F.lit(name).alias("facet"), c.alias("value"))
+    one = lambda name, c: F.array(pair(name, c))
+    states = F.array_distinct(F.transform(F.filter("entries", lambda e: (e["country"] == "US") & e["state"].isNotNull()), lambda e: e["state"]))
+    cities = F.transform(F.filter("entries", lambda e: e["city"].isNotNull() & e["state"].isNotNull()), lambda e: F.concat_ws("|", e["city"], e["state"]))
+    paid = F.coalesce("pay_max", "pay_min", F.lit(0.0)) > 0
+    totals = F.array_compact(F.array(pair("total", F.lit("all")), pair("total", F.when(F.col("hidden"), "hidden").otherwise("visible")), F.when(paid, pair("total", F.lit("with_pay")))))
+    values = F.concat(
+        F.transform(states, lambda x: pair("state", x)), F.transform(cities, lambda x: pair("city", x)), one("company", F.nullif(F.trim("company_name"), F.lit(""))),
+        F.transform(title_words(F.col("position_name")), lambda w: pair("title", w)), one("source", F.coalesce(infer_source(F.col("job_posting_url")), F.lit("unknown"))), totals,
+    )
+    counts = df.select(F.explode(values).alias("v")).filter("v.value is not null").groupBy("v.facet", "v.value").agg(F.count("*").alias("n"))
+    # the distinct values of a facet, not its rows, are put in order
+    rank = F.row_number().over(Window.partitionBy("facet").orderBy(F.desc("n"), "value"))
+    return counts.withColumn("_r", rank).filter(F.col("_r") <= cap).drop("_r")
+
+
 @query(
-    f"""WITH {POSTINGS}, v AS (SELECT 'company' AS facet, company_name AS value FROM postings UNION ALL SELECT 'source', source FROM postings
+    f"""WITH {POSTINGS}, {_ANSWERS}, v AS (SELECT 'company' AS facet, company_name AS value FROM postings UNION ALL SELECT 'source', 'unknown' FROM postings
+UNION ALL SELECT 'total', 'all' FROM postings UNION ALL SELECT 'total', CASE WHEN hidden THEN 'hidden' ELSE 'visible' END FROM postings UNION ALL SELECT 'total', 'with_pay' FROM postings WHERE coalesce(pay_max, pay_min, 0) > 0
+UNION ALL SELECT 'state', state FROM (SELECT DISTINCT posting_id, state FROM postings JOIN answers USING (location) WHERE country = 'US' AND state IS NOT NULL)
+UNION ALL SELECT 'city', city || '|' || state FROM postings JOIN answers USING (location) WHERE state IS NOT NULL
 UNION ALL SELECT 'title', unnest(list_distinct(list_filter(regexp_split_to_array(regexp_replace(lower(position_name), '[^a-z0-9&/ -]', ' ', 'g'), '[ /-]+'),
-lambda x: length(x) > 2 AND x NOT IN ('and', 'for', 'the', 'with') AND NOT regexp_matches(x, '^[0-9]+$')))) FROM postings)
-SELECT facet, value, count(*) AS n FROM v GROUP BY 1, 2 HAVING value IS NOT NULL"""
+lambda x: length(x) > 2 AND x NOT IN ('and', 'for', 'the', 'with') AND NOT regexp_matches(x, '^[0-9]+$')))) FROM postings),
+c AS (SELECT facet, value, count(*) AS n FROM v GROUP BY 1, 2)
+SELECT facet, value, n FROM (SELECT *, row_number() OVER (PARTITION BY facet ORDER BY n DESC, value) AS r FROM c) WHERE r <= 20000"""
 )
 def ag_facets(spark, sf_dir) -> DataFrame:
-    """Every facet in one pass: a row's values are exploded side by side and counted together."""
-    one = lambda name, c: F.array(F.struct(F.lit(name).alias("facet"), c.alias("value")))
-    words = F.transform(title_words(F.col("position_name")), lambda w: F.struct(F.lit("title").alias("facet"), w.alias("value")))
-    values = F.concat(one("company", F.col("company_name")), one("source", F.col("source")), words)
-    return postings(spark, sf_dir).select(F.explode(values).alias("v")).filter("v.value is not null").groupBy("v.facet", "v.value").agg(F.count("*").alias("n"))
+    return facets(located(spark, sf_dir))
 
 
 @query(
@@ -109,13 +139,41 @@ def ag_failed_by_source(spark, sf_dir) -> DataFrame:
     )
 
 
+def export(df: DataFrame, now: int, hours: int = 168, chunk: int = 300, most: int | None = None, budget: int | None = None) -> DataFrame:
+    """Publishable rows of each source with their chunk (from 0): visible, with a readable date in the window; newest date first,
+    then last seen, then id; at most so many of a source, and while the bytes of their descriptions fit the budget.
+
+    Rows are dealt by source and day, and a source's days are added up from their counts, so no task orders a whole source.
+    """
+    kept = df.filter(~F.col("hidden")).withColumn("_e", posting_epoch(F.col("posting_date"), now)).filter(F.col("_e") >= now - window_seconds(hours))
+    kept = kept.withColumns({"bytes": F.octet_length(F.coalesce("job_description", F.lit(""))).cast("long"), "_day": F.floor(F.col("_e") / DAY)})
+    days = kept.groupBy("source", "_day").agg(F.count("*").alias("_n"), F.sum("bytes").alias("_b"))
+    later = Window.partitionBy("source").orderBy(F.desc("_day")).rowsBetween(Window.unboundedPreceding, -1)  # one row a day
+    before = days.select(F.col("source").alias("_s"), F.col("_day").alias("_d"), F.coalesce(F.sum("_n").over(later), F.lit(0)).alias("_n0"), F.coalesce(F.sum("_b").over(later), F.lit(0)).alias("_b0"))
+    within = Window.partitionBy("source", "_day").orderBy(F.desc("_e"), F.desc("last_seen_epoch"), "posting_id")
+    upto = within.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = kept.withColumns({"_r": F.row_number().over(within), "_u": F.sum("bytes").over(upto)}).join(before, (F.col("source") == F.col("_s")) & (F.col("_day") == F.col("_d")))
+    rows = rows.withColumns({"place": F.col("_n0") + F.col("_r") - 1, "_used": F.col("_b0") + F.col("_u")})
+    if most is not None:
+        rows = rows.filter(F.col("place") < most)
+    if budget is not None:
+        rows = rows.filter(F.col("_used") <= budget)
+    return rows.withColumn("chunk", F.floor(F.col("place") / chunk)).drop("_e", "_day", "_s", "_d", "_n0", "_b0", "_r", "_u", "_used")
+
+
+def write_chunks(rows: DataFrame, folder: str) -> None:
+    """One folder of JSON lines for each source and chunk."""
+    rows.write.partitionBy("source", "chunk").json(folder)
+
+
 @query(
-    f"""WITH {POSTINGS}, o AS (SELECT source, posting_id, octet_length(encode(job_description)) AS bytes, row_number() OVER (PARTITION BY source ORDER BY last_seen_epoch DESC, posting_id) - 1 AS r FROM postings WHERE NOT hidden)
-SELECT source, r // 300 AS chunk, count(*) AS items, sum(bytes)::BIGINT AS bytes FROM o GROUP BY 1, 2"""
+    f"""WITH {POSTINGS}, d AS (SELECT *, CASE WHEN t = 'yesterday' THEN 1706659200 - 86400 WHEN regexp_matches(t, '^[0-9]+ days ago$') THEN 1706659200 - regexp_extract(t, '([0-9]+)', 1)::BIGINT * 86400 ELSE epoch(try_strptime(t, '%Y-%m-%d'))::BIGINT END AS e
+FROM (SELECT *, lower(trim(posting_date)) AS t FROM postings)),
+o AS (SELECT source, posting_id, octet_length(encode(job_description)) AS bytes, row_number() OVER w - 1 AS r, sum(octet_length(encode(job_description))) OVER (w ROWS UNBOUNDED PRECEDING) AS used
+FROM d WHERE NOT hidden AND e >= 1706659200 - 604800 WINDOW w AS (PARTITION BY source ORDER BY e DESC, last_seen_epoch DESC, posting_id))
+SELECT source, r // 5 AS chunk, count(*) AS items, sum(bytes)::BIGINT AS bytes FROM o WHERE r < 400 AND used <= 200000 GROUP BY 1, 2"""
 )
 def io_export_chunks(spark, sf_dir) -> DataFrame:
-    """Manifest of the extract: chunks of 300 postings of a source, newest first, with their bytes."""
-    place = F.row_number().over(Window.partitionBy("source").orderBy(F.desc("last_seen_epoch"), "posting_id")) - 1
-    return postings(spark, sf_dir).filter("not hidden").select(
-        "source", F.octet_length("job_description").alias("bytes"), F.floor(place / 300).alias("chunk")
-    ).groupBy("source", "chunk").agg(F.count("*").alias("items"), F.sum("bytes").cast("long").alias("bytes"))
+    """Manifest of the extract: chunks of five postings of a source, at most 400 and 200,000 bytes of each."""
+    rows = export(postings(spark, sf_dir), NOW, chunk=5, most=400, budget=200_000)
+    return rows.groupBy("source", "chunk").agg(F.count("*").alias("items"), F.sum("bytes").alias("bytes"))

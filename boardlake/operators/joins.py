@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,9 +26,6 @@ def _blocked(spark) -> DataFrame:
     return spark.createDataFrame([(x,) for x in BLOCKED], "company_name string")
 
 
-SORTS: dict[str, list[Column]] = {}
-
-
 def order(name: str) -> list[Column]:
     """Total orders of a listing."""
     c = F.col
@@ -38,9 +37,27 @@ def order(name: str) -> list[Column]:
     }[name]
 
 
-def after(last_seen: int, posting_id: int) -> Column:
-    """Rows after a cursor in the order recent."""
-    return (F.col("last_seen_epoch") < last_seen) | ((F.col("last_seen_epoch") == last_seen) & (F.col("posting_id") < posting_id))
+#: The columns by which a result may be ordered.
+TOP_COLUMNS = ("last_seen_epoch", "first_seen_epoch", "posting_date", "company_name", "position_name", "pay_max", "pay_min")
+
+
+def top_k(column: str, descending: bool = True) -> list[Column]:
+    """Order by one of the columns that may be asked for, newest id first among equals."""
+    if column not in TOP_COLUMNS:
+        raise ValueError(f"column must be one of: {', '.join(TOP_COLUMNS)}")
+    return [F.desc_nulls_last(column) if descending else F.asc_nulls_first(column), F.desc("posting_id")]
+
+
+def after(last_seen: int, posting_id: int, sort: str = "recent") -> Column:
+    """Rows after a cursor in the order recent or first_seen."""
+    column = {"recent": "last_seen_epoch", "first_seen": "first_seen_epoch"}[sort]
+    return (F.col(column) < last_seen) | ((F.col(column) == last_seen) & (F.col("posting_id") < posting_id))
+
+
+def after_company(company: str, posting_id: int) -> Column:
+    """Rows after a cursor in the order company_asc."""
+    name = F.lower("company_name")
+    return (name > company.lower()) | ((name == company.lower()) & (F.col("posting_id") > posting_id)) | name.isNull()
 
 
 @query(
@@ -95,17 +112,28 @@ def jn_unscored(spark, sf_dir) -> DataFrame:
     return postings(spark, sf_dir).select("posting_id").join(done, "posting_id", "left_anti")
 
 
-@query(f"WITH {POSTINGS} SELECT posting_id, pay_max FROM postings ORDER BY pay_max DESC NULLS LAST, posting_id DESC LIMIT 200")
+@query(
+    f"""WITH {POSTINGS} {" UNION ALL ".join(f"SELECT '{c} {d}' AS by, posting_id FROM (SELECT posting_id FROM postings ORDER BY {c} {d} NULLS {'LAST' if d == 'DESC' else 'FIRST'}, posting_id DESC LIMIT 20)" for c in TOP_COLUMNS for d in ("ASC", "DESC"))}"""
+)
 def or_top_k(spark, sf_dir) -> DataFrame:
-    return postings(spark, sf_dir).orderBy(F.desc_nulls_last("pay_max"), F.desc("posting_id")).limit(200).select("posting_id", "pay_max")
+    """The first twenty postings by each column, up and down."""
+    df, parts = postings(spark, sf_dir), []
+    for c in TOP_COLUMNS:
+        for d in ("ASC", "DESC"):
+            parts.append(df.orderBy(*top_k(c, d == "DESC")).limit(20).select(F.lit(f"{c} {d}").alias("by"), "posting_id"))
+    return reduce(DataFrame.unionByName, parts)
 
 
 @query(
-    f"""WITH {POSTINGS} SELECT posting_id, last_seen_epoch FROM postings WHERE (last_seen_epoch, posting_id) < (1706659200 - 36000, 500)
-ORDER BY last_seen_epoch DESC, posting_id DESC LIMIT 50"""
+    f"""WITH {POSTINGS} (SELECT 'recent' AS sort, posting_id FROM postings WHERE (last_seen_epoch, posting_id) < (1706659200 - 36000, 500) ORDER BY last_seen_epoch DESC, posting_id DESC LIMIT 50)
+UNION ALL (SELECT 'first_seen', posting_id FROM postings WHERE (first_seen_epoch, posting_id) < (1706659200 - 36000, 500) ORDER BY first_seen_epoch DESC, posting_id DESC LIMIT 50)
+UNION ALL (SELECT 'company_asc', posting_id FROM postings WHERE lower(company_name) > 'company src4' OR (lower(company_name) = 'company src4' AND posting_id > 100) ORDER BY lower(company_name), posting_id LIMIT 50)"""
 )
 def or_keyset_page(spark, sf_dir) -> DataFrame:
-    return postings(spark, sf_dir).filter(after(NOW - 36_000, 500)).orderBy(*order("recent")).limit(50).select("posting_id", "last_seen_epoch")
+    """The page after a cursor in three orders."""
+    df = postings(spark, sf_dir)
+    pages = {"recent": after(NOW - 36_000, 500), "first_seen": after(NOW - 36_000, 500, "first_seen"), "company_asc": after_company("Company src4", 100)}
+    return reduce(DataFrame.unionByName, [df.filter(c).orderBy(*order(k)).limit(50).select(F.lit(k).alias("sort"), "posting_id") for k, c in pages.items()])
 
 
 @query(f"WITH {POSTINGS} SELECT posting_id, company_name FROM postings ORDER BY lower(company_name), posting_id LIMIT 30 OFFSET 60")
