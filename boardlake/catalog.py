@@ -1,13 +1,13 @@
 """All registered queries of the postings engine; importing the modules registers them."""
 
-from boardlake.functions import dates, enrich, fields, geo, hiring, industry, sources, text
-from boardlake.operators import aggregates, filters, history, joins, lifecycle, listing, matching, relevance, similar
+from boardlake.functions import dates, enrich, fields, geo, hiring, industry, places, sources, text
+from boardlake.operators import aggregates, filters, history, joins, lifecycle, listing, matching, relevance, similar, upkeep
 from boardlake.registry import ORACLE_SQL, QUERIES
 from boardlake.sources import inspection, pages, payloads
 from boardlake.streaming import streams
 
 MODULES = (
-    aggregates, dates, enrich, fields, filters, geo, hiring, history, industry, inspection, joins, lifecycle, listing, matching, pages, payloads, relevance, similar, sources, streams, text,
+    aggregates, dates, enrich, fields, filters, geo, hiring, history, industry, inspection, joins, lifecycle, listing, matching, pages, payloads, places, relevance, similar, sources, streams, text, upkeep,
 )
 FLAGSHIP = "q_listing"
 

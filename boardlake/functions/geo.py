@@ -28,7 +28,7 @@ def entries(c: Column) -> Column:
     """Array of (city, state, country) of a location text; at most 40."""
     states, names = _map({k.lower(): k for k in STATES}), _map({v.lower(): k for k, v in STATES.items()})
     countries = _map(COUNTRIES)
-    text = F.regexp_replace(F.coalesce(c, F.lit("")), r"(?i)\b(hybrid|remote|on-?site)\b\s*-?|\bor\s*$|\bor(?=\s+remote)", " ")
+    text = F.regexp_replace(F.coalesce(c, F.lit("")), r"(?i)\b(hybrid|remote|on-?site)\b\s*-?|(?-i:\bor\s*$|\bor(?=\s+[Rr]emote))", " ")
     groups = F.slice(F.split(text, r"[;/|]"), 1, 40)
 
     def parse(g: Column) -> Column:

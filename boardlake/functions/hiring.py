@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from boardlake.constants import COUNTRIES, STATES
+from boardlake.constants import COUNTRIES, COUNTRY_REGIONS, STATES
 from boardlake.functions.enrich import with_line
 from boardlake.functions.geo import entries, located, per_distinct
 from boardlake.functions.text import geo_text
@@ -26,11 +26,6 @@ REGION_HINTS = {
     "EMEA": ("emea", "europe", "middle east", "africa"),
     "APAC": ("apac", "asia pacific", "asia", "oceania"),
 }
-REGIONS = {
-    "AMER": ("CA", "MX", "US"), "EMEA": ("DE", "EG", "ES", "FR", "GB", "IE", "ZA"), "APAC": ("AU", "IN", "JP"),
-}
-
-
 def hiring_places(text: Column) -> Column:
     """Distinct (city, state, country) of all clauses. A state's name alone is the whole state."""
     names = F.create_map(*[F.lit(x) for k, v in STATES.items() for x in (v.lower(), k)])
@@ -60,14 +55,19 @@ def region(text: Column, country: Column) -> Column:
     """Region that the text names as words, else the country's."""
     words = F.concat(F.lit(" "), geo_text(F.coalesce(text, F.lit(""))), F.lit(" "))
     named = [F.when(words.rlike(f" ({'|'.join(hints)}) "), name) for name, hints in REGION_HINTS.items()]
-    return F.coalesce(*named, *[F.when(country.isin(*codes), name) for name, codes in REGIONS.items()])
+    return F.coalesce(*named, F.create_map(*[F.lit(x) for kv in COUNTRY_REGIONS.items() for x in kv])[country])
 
 
 def infer_geo(text: Column) -> Column:
     """Struct of country and region: the last segment that is a country, else the US where a state stands."""
     parts = F.reverse(F.transform(F.split(F.coalesce(text, F.lit("")), r"[,/|;]|-\s"), lambda p: geo_text(p)))
     names = F.create_map(*[F.lit(x) for pair in COUNTRIES.items() for x in pair])
-    told = F.try_element_at(F.filter(F.transform(parts, lambda p: names[p]), lambda c: c.isNotNull()), F.lit(1))
+    def code(part: Column) -> Column:
+        """The segment, or else its last four, three, two words or word, as a country."""
+        words = F.split(part, " ")
+        return F.coalesce(names[part], *[names[F.array_join(F.slice(words, F.greatest(F.size(words) - n + 1, F.lit(1)), n), " ")] for n in (4, 3, 2, 1)])
+
+    told = F.try_element_at(F.filter(F.transform(parts, code), lambda c: c.isNotNull()), F.lit(1))
     state = F.exists(entries(text), lambda e: e["country"] == "US")
     country = F.coalesce(told, F.when(state, "US"))
     return F.struct(country.alias("country"), region(text, country).alias("region"))
