@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from boardlake.functions.dates import posting_epoch
+from boardlake.functions.sources import URLS
 from boardlake.registry import query
 from boardlake.sources.postings import POSTINGS, postings
 
@@ -122,6 +123,7 @@ SQL_FUNCTIONS = {
     ),
     "csv_list": ("x STRING", "ARRAY<STRING>", "filter(transform(split(coalesce(x, ''), ','), w -> trim(w)), w -> w <> '')"),
     "stem6": ("x STRING", "STRING", "substring(x, 1, 6)"),
+    "infer_source": ("x STRING", "STRING", "CASE " + " ".join(f"WHEN lower(trim(x)) rlike r'{pattern}' THEN '{key}'" for key, pattern in URLS) + " END"),
 }
 
 

@@ -6,7 +6,7 @@ expressions, join back.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from boardlake.constants import COUNTRIES, STATES
@@ -25,7 +25,7 @@ def _map(d: dict[str, str]) -> Column:
 
 
 def entries(c: Column) -> Column:
-    """Array of (city, state, country) of a location text; at most 40."""
+    """Array of (city, state, country) of a location text; of groups between ; / and | the first 40 are read, as a limit of the format."""
     states, names = _map({k.lower(): k for k in STATES}), _map({v.lower(): k for k, v in STATES.items()})
     countries = _map(COUNTRIES)
     text = F.regexp_replace(F.coalesce(c, F.lit("")), r"(?i)\b(hybrid|remote|on-?site)\b\s*-?|(?-i:\bor\s*$|\bor(?=\s+[Rr]emote))", " ")
@@ -58,6 +58,15 @@ def entries(c: Column) -> Column:
     )
 
 
+def parse_location(c: Column) -> Column:
+    """Struct of primary (the first entry with a city), is_remote and locations of a text, of which 4,000 characters are read."""
+    text = F.substring(F.coalesce(c, F.lit("")), 1, 4000)
+    found = entries(text)
+    return F.struct(
+        F.try_element_at(F.filter(found, lambda e: e["city"].isNotNull()), F.lit(1)).alias("primary"), text.rlike(_REMOTE).alias("is_remote"), found.alias("locations")
+    )
+
+
 def per_distinct(df: DataFrame, column: str, name: str, make) -> DataFrame:
     """df with make(column) as name, computed once for each distinct value; the join stays a shuffle
     unless Spark finds the distinct values small."""
@@ -107,25 +116,37 @@ def ge_work_mode(spark, sf_dir) -> DataFrame:
 SELECT state, city, n, rank FROM (SELECT *, row_number() OVER (PARTITION BY state ORDER BY n DESC, city) AS rank FROM c) WHERE rank <= 60"""
 )
 def wn_top_cities(spark, sf_dir) -> DataFrame:
-    from pyspark.sql import Window
-
+    """The sixty towns of each state with most postings. Postings are counted by their location text before it is parsed."""
     counts = (
-        located(spark, sf_dir).select(F.explode("entries").alias("e")).filter("e.state is not null")
-        .groupBy("e.state", "e.city").agg(F.count("*").alias("n"))
+        by_location(postings(spark, sf_dir)).select("n", F.explode("entries").alias("e")).filter("e.state is not null")
+        .groupBy("e.state", "e.city").agg(F.sum("n").alias("n"))
     )
     rank = F.row_number().over(Window.partitionBy("state").orderBy(F.desc("n"), "city")).cast("long")
     return counts.withColumn("rank", rank).filter("rank <= 60")
 
 
+def by_location(df: DataFrame) -> DataFrame:
+    """location, n (postings), entries: one row for each location text, however many postings have it."""
+    return df.groupBy("location").agg(F.count("*").alias("n")).withColumn("entries", entries(F.col("location")))
+
+
 @query(
     f"""WITH {POSTINGS}, {_ANSWERS}, p AS (SELECT DISTINCT posting_id, state FROM postings JOIN answers USING (location) WHERE state IS NOT NULL)
 SELECT s.state, coalesce(n, 0) AS n FROM (SELECT unnest({list(STATES)}) AS state) s LEFT JOIN (SELECT state, count(*) AS n FROM p GROUP BY state) c USING (state)"""
 )
 def ag_state_counts(spark, sf_dir) -> DataFrame:
     """Postings for each of the 51 codes, zero included."""
-    found = (
-        located(spark, sf_dir).select("posting_id", F.explode("entries").alias("e")).select("posting_id", "e.state")
-        .filter("state is not null").distinct().groupBy("state").agg(F.count("*").alias("n"))
-    )
+    states = F.array_distinct(F.transform(F.filter("entries", lambda e: e["state"].isNotNull()), lambda e: e["state"]))
+    found = by_location(postings(spark, sf_dir)).select("n", F.explode(states).alias("state")).groupBy("state").agg(F.sum("n").alias("n"))
     codes = spark.createDataFrame([(s,) for s in STATES], "state string")
     return codes.join(found, "state", "left").select("state", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+@query(
+    f"""WITH {POSTINGS}, {_ANSWERS}, f AS (SELECT location, min_by(city, k) AS city, min_by(state, k) AS state FROM (SELECT *, row_number() OVER () AS k FROM answers) WHERE city IS NOT NULL GROUP BY 1)
+SELECT posting_id, city, state, coalesce(regexp_matches(location, '(?i)\\bremote\\b|work from home|\\bwfh\\b'), false) AS is_remote FROM postings LEFT JOIN f USING (location)"""
+)
+def ge_primary(spark, sf_dir) -> DataFrame:
+    """First town of every posting's location, and whether it can be remote."""
+    found = per_distinct(postings(spark, sf_dir), "location", "p", parse_location)
+    return found.select("posting_id", "p.primary.city", "p.primary.state", "p.is_remote")

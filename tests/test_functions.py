@@ -16,8 +16,20 @@ def values(spark, column, inputs):
 
 
 def test_dates(spark):
-    got = values(spark, lambda c: dates.posting_epoch(c, NOW), ["yesterday", "Posted 3 days ago", "30d", "5 hours ago", "2024-01-02", "January 2, 2024", "1700000000000", "n/a", "", None, "Just now"])
-    assert got == [NOW - 86400, NOW - 3 * 86400, NOW - 30 * 86400, NOW - 18000, 1704153600, 1704153600, 1700000000, None, None, None, NOW]
+    given = {
+        "yesterday": NOW - 86400, "3 days ago": NOW - 3 * 86400, "30d": NOW - 30 * 86400, "5 hours ago": NOW - 18000, "about 3 months": NOW - 90 * 86400, "almost 2 years": NOW - 18 * 365 * 8640,
+        "over 1 week": NOW - 725_760, "19 minutes": NOW - 1140, "2024-01-02": 1704153600, "Posted January 2nd, 2024": 1704153600, "Jan 2 2024": 1704153600, "2 January 2024": 1704153600,
+        "1/2/2024": 1704153600, "2024-01-02T00:00:00.000Z": 1704153600, "2024-01-02T02:00:00+02:00": 1704153600, "1700000000": 1700000000, "1700000000123": 1700000000, "Just now": NOW, "posted today": NOW,
+        "January 2": 1704153600, "Dec 31": 1703980800, "Feb 1": NOW + 86400, "n/a": None, "": None, "May 5, 2023": 1683244800,
+    }
+    assert dict(zip(given, values(spark, lambda c: dates.posting_epoch(c, NOW), list(given)), strict=True)) == given
+    assert values(spark, lambda c: dates.posting_epoch(c, NOW), [None]) == [None]
+
+
+def test_dates_are_trusted_by_what_they_say(spark):
+    got = values(spark, lambda c: dates.trusted_date(c, NOW), ["", None, "Source date unavailable", "soon", "2024-03-01", "2024-01-31"])
+    assert [tuple(g) for g in got] == [(None, "missing")] * 3 + [(None, "uncertain")] * 2 + [(NOW, "confirmed")]
+    assert values(spark, lambda c: dates.within_window(c, NOW, 24, strict=True), ["", None, "today"]) == [False, False, True]
 
 
 def test_window_keeps_blank_and_drops_unreadable(spark):
@@ -125,9 +137,89 @@ def test_country_and_region(spark):
     assert [tuple(g) for g in got] == [("FR", "EMEA"), ("US", "AMER"), (None, "EMEA"), (None, None), (None, None)]
 
 
+def test_sources(spark):
+    from boardlake.functions import sources
+
+    urls = {
+        "https://acme.wd5.myworkdayjobs.com/x/job/y": "workday", "https://JOBS.lever.co/acme/1": "lever", "https://acme.applytojob.com": "applytojob", "https://acme.example.com/careers/jobdetail/x": "avature",
+        "https://www.policeapp.com/x/123/": "policeapp", "https://www.policeapp.com/about": None, "https://jobs.example.com": None, "": None, "https://x.recruitee.com/o/a": "recruitee",
+    }
+    assert dict(zip(urls, values(spark, sources.infer_source, list(urls)), strict=True)) == urls
+    assert values(spark, sources.source_key, ["AshbyHQ", "lever.co", "greenhouse.io", "taleo.net", "hire.trakstar.com", "occupop-careers.com", "Odd Board", None]) == [
+        "ashby", "lever", "greenhouse", "taleo", "trakstar", "occupop", "odd board", None
+    ]
+
+
+def test_filters_on_places_are_read():
+    from boardlake.functions import places
+
+    assert places.state_filters(["wa", "Washington State", "Bavaria", "new york"]) == ["WA", "NY"]
+    assert places.country_filters(["us", "RAW:nederland", "Atlantis", "raw:x", "Japan", "JP"]) == ["US", "NL", "RAW:atlantis", "JP"]
+    assert places.region_filters(["emea", "EMEA", "north"]) == ["EMEA"]
+    assert places.county_filters(["WA|King County", "Orleans Parish", "|", " "]) == [("WA", "king"), ("", "orleans")]
+    assert places.city_filters(["Kent, WA", "Kent|WA", "Kent", "Paris, France", "São Paulo", ""]) == [
+        places.Town("kent", "WA"), places.Town("kent"), places.Town("paris", "", "FR"), places.Town("sao paulo")
+    ]
+
+
+def test_blank_places_fail_any_filter(spark):
+    from boardlake.functions import places
+
+    df = spark.createDataFrame([("Kent, WA",), ("Kent, England",), ("",), (None,)], "x string")
+    x = F.col("x")
+    got = df.select(
+        places.in_place(x, geo.entries(x), hiring.infer_geo(x), states=["WA"]).alias("a"), places.in_place(x, geo.entries(x), hiring.infer_geo(x), countries=["GB"]).alias("b"),
+        places.in_place(x, geo.entries(x), hiring.infer_geo(x)).alias("c"), places.in_town(geo.entries(x), places.city_filters(["Kent, WA"])).alias("d"),
+    ).collect()
+    assert [tuple(r) for r in got] == [(True, False, True, True), (False, True, True, False), (False, False, True, False), (False, False, True, False)]
+
+
+def test_pages_tell_what_became_of_a_posting(spark):
+    from boardlake.sources import inspection
+
+    long = "word " * 60
+    rows = [
+        (1, 404, None), (2, 503, "x"), (3, None, None), (4, 200, f"<body><nav>menu</nav><p>{long}</p>The position is no longer available</body>"), (5, 200, "<body>x</body>"),
+        (6, 200, f'<main>{long} sign in to apply</main><footer>position has been filled</footer>'), (7, 200, ""),
+    ]
+    found = {r.posting_id: r for r in inspection.inspect_pages(spark.createDataFrame(rows, "posting_id int, http_status int, html string")).collect()}
+    assert [(found[i].ok, found[i].dead, found[i].unverified) for i in range(1, 8)] == [
+        (True, True, False), (False, False, False), (False, False, False), (True, True, False), (True, False, True), (True, False, False), (True, False, True)
+    ]
+    assert found[6].requires_account and "footer" not in found[6].description and found[4].description is None
+    assert values(spark, lambda c: inspection.signals(c)["compensation_type"], ["$20 / hr", "annual pay", "hourly or yearly", "", None]) == ["hourly", "salary", "both", "unknown", "unknown"]
+
+
+def test_brief_agrees_with_its_parts(spark):
+    from boardlake.operators import matching, upkeep
+
+    body = "Requirements\n- Forklift license and steady hands at work\n- Deep knowledge of tax law in Norway\n"
+    resume = "Forklift license holder with steady hands and years in the yard\nshort"
+    rows = {r.posting_id: r for r in upkeep.brief(spark.createDataFrame([(1, body), (2, ""), (3, None)], "posting_id int, job_description string"), resume).collect()}
+    assert [rows[i].available for i in (1, 2, 3)] == [True, False, False]
+    assert rows[1].unmatched_requirements == ["Deep knowledge of tax law in Norway"] and rows[1].resume_evidence == [resume.split("\n")[0]]
+    assert set(rows[1].overlap_terms) == {"forklift", "license", "steady", "hands"} and len(rows[1].requirements) == 2
+    assert values(spark, matching.words, ["the forklift and experience"]) == [["forklift", "experience"]] and values(spark, text.tokens, ["the forklift and experience"]) == [["forklift"]]
+
+
+def test_a_listing_asks_for_known_queues():
+    from boardlake.operators import joins, listing
+
+    with pytest.raises(ValueError, match="review_queue"):
+        listing.Spec(review_queue="old")
+    with pytest.raises(ValueError, match="column"):
+        joins.top_k("text")
+    assert listing.Spec(limit=9000, offset=-3).limit == 2000 and listing.Spec(offset=-3).offset == 0
+
+
 def test_sql_functions_equal_expressions(spark):
     fields.register(spark)
     df = spark.createDataFrame([(" Hybrid -  Boston ",), ("the Red-Widget 12 and cog",), ("",)], "x string")
+    from boardlake.functions import sources
+
+    links = [f"https://{b}1" for b in sources.BOARDS]
+    told = spark.createDataFrame([(x,) for x in links], "x string").select(F.expr("infer_source(x)").alias("a"), sources.infer_source(F.col("x")).alias("b")).collect()
+    assert all(r.a == r.b for r in told) and len({r.a for r in told}) > 50
     for row in df.selectExpr("like_text(x) a", "work_mode(x) b", "title_words(x) c", "x").withColumns(
         {"d": text.like_text(F.col("x")), "e": geo.work_mode(F.col("x")), "f": text.title_words(F.col("x"))}
     ).collect():
