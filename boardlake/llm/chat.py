@@ -50,7 +50,8 @@ def unquoted(text: Column) -> Column:
 def link(messages: DataFrame) -> DataFrame:
     """conv_id, turn, role, text (without quotes), n_quoted (quoted lines), reply_to, thread, position.
 
-    Null texts are empty. Rows with a null conv_id or turn answer nothing and stand alone, at
+    Every line behind ">" is a quote and leaves the text, whether or not its original is found;
+    n_quoted tells how many did. Null texts are empty. Rows with a null conv_id or turn answer nothing and stand alone, at
     position 1 of a thread of their own turn. Of rows with one conv_id and turn, one (the least
     by role and text) is kept. An empty table gives none; further columns are left out.
     """
@@ -101,7 +102,11 @@ def link(messages: DataFrame) -> DataFrame:
 
 def as_mail(conversations: DataFrame) -> DataFrame:
     """The conversations as mail would carry them: a turn, but for each fourth, quotes the turn
-    before it, and each third also what that one answered, one level deeper."""
+    before it, and each third also what that one answered, one level deeper.
+
+    Null texts are empty ones; a turn whose predecessor isn't there quotes nothing; repeated rows of
+    a turn quote and are quoted once each; an empty table gives none; further columns are left out.
+    """
     c = conversations.select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text"))
     prior = lambda n, name: c.select("conv_id", (F.col("turn") + n).alias("turn"), F.col("text").alias(name))
     both = c.join(prior(1, "_one"), ["conv_id", "turn"], "left").join(prior(2, "_two"), ["conv_id", "turn"], "left")

@@ -5,8 +5,9 @@ has a label. Each passage becomes a feature vector (shares of byte classes, repe
 word length, hashed byte pairs), is encoded by one tanh layer, gets an attention weight from a
 gate tanh(V h) * sigmoid(U h), and the weighted sum of encodings gives the document's score.
 
-Fitting takes a sample of at most LABELLED labelled rows, those of lowest hash, without texts
-over LONGEST bytes; both bounds are parameters. Scoring runs over every passage of every text.
+Fitting takes a sample of at most LABELLED labelled rows, those of lowest hash, and of each text
+at most PASSAGES passages, spread evenly over it; both bounds are parameters. Scoring runs over
+every passage of every text.
 The model has a fixed size of some ten thousand numbers and travels in the task's closure.
 """
 
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 
 PASSAGE = 400
 LABELLED = 6_000
-LONGEST = 60_000
+PASSAGES = 64
 THRESHOLD = 0.3
 FOLDS = 5
 PAIRS = 64
@@ -147,35 +148,37 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % FOLDS == 0, F.lit(False))
 
 
-def train(documents: DataFrame, labels: DataFrame, most: int = LABELLED, longest: int = LONGEST) -> Model | None:
-    """A model from labels outside the held-out fold; none if there are no two kinds of labels."""
+def train(documents: DataFrame, labels: DataFrame, most: int = LABELLED, passages: int = PASSAGES) -> Model | None:
+    """A model from labels outside the held-out fold; none if there are no two kinds of labels.
+
+    Labels other than 0 and 1 and null doc_ids are left out, and so are doc_ids whose labels
+    contradict each other; repeated labels count once. Null texts are empty ones; rows of one
+    doc_id are one bag each. Further columns are left out. The sample's order, and so the model,
+    follows from the rows alone.
+    """
     sample = (
         labels.filter(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1) & ~held_out(F.col("doc_id")))
-        .select(F.col("doc_id").alias("_d"), F.col("quality").cast("int").alias("_y"))
-        .dropDuplicates(["_d"])
-        .orderBy(F.xxhash64("_d"), "_d")
-        .limit(most)
-    )
-    texts = documents.join(F.broadcast(sample), F.col("doc_id") == F.col("_d")).filter(
-        F.coalesce(F.octet_length("text"), F.lit(0)) <= longest
+        .groupBy(F.col("doc_id").alias("_d")).agg(F.min(F.col("quality").cast("int")).alias("_y"), F.max(F.col("quality").cast("int")).alias("_z"))
+        .filter("_y = _z").select("_d", "_y").orderBy(F.xxhash64("_d"), "_d").limit(most)
     )
+    texts = documents.join(F.broadcast(sample), F.col("doc_id") == F.col("_d"))  # at most so many rows of two numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(0, batch.num_rows, 64):
-                part = batch.slice(i, 64)
+            for i in range(0, batch.num_rows, 16):
+                part = batch.slice(i, 16)
                 x, counts = features(part.column(2).to_pylist())
-                parts = np.split(x, np.cumsum(counts)[:-1])
+                bags = [b if len(b) <= passages else b[np.linspace(0, len(b) - 1, passages).astype(int)] for b in np.split(x, np.cumsum(counts)[:-1])]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), pa.array([p.tobytes() for p in parts], pa.binary())], names=["d", "y", "x"]
+                    [part.column(0), part.column(1), pa.array([b.tobytes() for b in bags], pa.binary())], names=["d", "y", "x"]
                 )
 
-    rows = texts.select(F.col("_d").alias("d"), F.col("_y").alias("y"), "text").mapInArrow(run, "d bigint, y int, x binary").toArrow()
-    rows = rows.sort_by("d")
-    y = rows.column("y").to_numpy().astype(np.float32)
+    found = texts.select(F.col("_d").alias("d"), F.col("_y").alias("y"), "text").mapInArrow(run, "d bigint, y int, x binary").toArrow().to_pylist()
+    rows = sorted(found, key=lambda r: (r["d"], r["x"]))
+    y = np.array([r["y"] for r in rows], np.float32)
     if len(set(y.tolist())) < 2:
         return None
-    bags = [np.frombuffer(b, np.float32).reshape(-1, FEATURES) for b in rows.column("x").to_pylist()]
+    bags = [np.frombuffer(r["x"], np.float32).reshape(-1, FEATURES) for r in rows]
     return fit(np.concatenate(bags), np.array([len(b) for b in bags]), y)
 
 

@@ -284,6 +284,57 @@ def test_classifier(spark, docs, none):
     assert {r.score for r in quality.score(docs[0], quality.train(none, labels.limit(0))).collect()} == {0.5}
 
 
+def test_scores_are_the_gated_sum(spark):
+    """The forward pass against plain loops over passages."""
+    import math
+
+    rng = np.random.default_rng(3)
+    x, counts = quality.features(["word " * 300, "", "A b 1 & " * 200, "é" * 50])
+    model = quality.fit(x, counts, np.array([1, 0, 1, 0], np.float32), epochs=3)
+    texts = [" ".join(rng.choice(["alpha", "beta", "##", "9", "é"], n)) for n in (1, 90, 700)]
+    w = {k: v.astype(float) for k, v in model.weights.items()}
+    for text, score in zip(texts, model.score(texts), strict=True):
+        (p, n), encoded, weights = quality.features([text]), [], []
+        for row in (p - model.mean) / model.scale:
+            h = [math.tanh(sum(row[i] * w["W"][i, j] for i in range(len(row))) + w["b"][j]) for j in range(w["W"].shape[1])]
+            gate = [
+                math.tanh(sum(h[i] * w["V"][i, k] for i in range(len(h)))) / (1 + math.exp(-sum(h[i] * w["U"][i, k] for i in range(len(h))))) for k in range(len(w["a"]))
+            ]
+            encoded.append(h)
+            weights.append(math.exp(sum(g * a for g, a in zip(gate, w["a"], strict=True))))
+        z = [sum(a * h[j] for a, h in zip(weights, encoded, strict=True)) / sum(weights) for j in range(len(w["c"]))]
+        assert abs(score - 1 / (1 + math.exp(-(sum(a * b for a, b in zip(z, w["c"], strict=True)) + w["d"][0])))) < 1e-4 and n[0] == len(encoded)
+
+
+def test_contradicting_labels_are_left_out(spark):
+    docs = spark.createDataFrame([(i, f"text {i} " + "# " * (i % 2)) for i in range(1, 40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 40)] + [(1, 0), (2, 1), (3, 1), (None, 1), (4, 7)], "doc_id long, quality int")
+    clean = labels.filter("doc_id not in (1, 2) and quality in (0, 1)")
+    texts = ["text", "text # # #"]
+    assert quality.train(docs, labels).score(texts).tolist() == quality.train(docs, clean.distinct()).score(texts).tolist()
+
+
+def test_stages_take_odd_rows(spark, docs, none):
+    import corpus_pipeline
+
+    df, rows = docs
+    odd = df.unionByName(df.filter("doc_id % 3 = 0")).unionByName(spark.createDataFrame([(None, "some text of no document " * 9, None, None, None, "c", "c", "c")], KIND))
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, odd, SF)
+        if name != "byte-level BPE":
+            assert out.columns == df.columns, name
+            assert stage(spark, none, SF).count() == 0
+        found = [(r.doc_id, getattr(r, "text", None)) for r in out.collect()]
+        if name == "n-gram Jaccard join":
+            known = [x for x in found if x[0] is not None]
+            assert len(known) == len(set(known)) and len(known) < len(found)  # repeated rows are one, rows without doc_id stay
+        elif name == "byte-level BPE":
+            assert len(found) == odd.count()
+        else:
+            again = [x for x in found if x[0] is not None and x[0] % 3 == 0]
+            assert all(again.count(x) == 2 for x in again), name  # repeated rows share their fate
+
+
 def test_passages_cover_whole_texts():
     x, counts = quality.features(["", None, "word " * 1000, "x" * 2000, "a\nb"])
     assert counts.tolist()[:2] == [1, 1] and counts[2] >= 12 and counts[3] == 1 and x.shape == (counts.sum(), quality.FEATURES)
