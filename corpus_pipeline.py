@@ -11,28 +11,33 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from boardlake.llm import bpe, decontaminate, linededup, partenum, rules
-from boardlake.llm.common import materialise, table
+from boardlake.llm.common import drop, materialise, table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the rules; null and empty texts go, repeated rows share their fate, other columns pass as they are."""
     return rules.keep_good(docs)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, texts without lines that came before; null texts stay null, repeated rows stay alike, other columns pass as they are."""
     return linededup.dedup(docs)
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group, that of least doc_id; texts without words and null doc_ids stay, of repeated rows one stays."""
     return partenum.keep_one(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the benchmark does not contaminate; texts without words stay, repeated rows share their fate."""
     return decontaminate.remove(docs, table(spark, sf_dir, "benchmark"))
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row; null texts are empty."""
     return bpe.digests(docs, public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
 
 
@@ -49,8 +54,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on documents; each stage's rows are written and read again."""
+    """All stages on documents; each stage's rows are written and read again, and go once the next stage's are there.
+
+    An empty table gives none; null, repeated and odd rows are treated as each stage has it.
+    """
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir))
+        before, docs = docs, materialise(stage(spark, docs, sf_dir))
+        drop(before)
     return STAGES[-1][1](spark, docs, sf_dir)
