@@ -13,14 +13,14 @@ _BREAKS = r"(?i)<(?:br|/p|/div|/li|/h[1-6]|/tr)\b[^>]*>"
 
 
 def decode_entities(c: Column) -> Column:
-    """Named entities of the five marks and decimal or hexadecimal numbers below 65,536 as text."""
+    """Named entities of the five marks and decimal or hexadecimal numbers of characters as text."""
     parts = F.split(c, r"(?=&#)")
 
     def number(p: Column) -> Column:
-        decimal, hexa = F.regexp_extract(p, r"^&#([0-9]{1,5});", 1), F.regexp_extract(p, r"^&#[xX]([0-9a-fA-F]{1,4});", 1)
+        decimal, hexa = F.regexp_extract(p, r"^&#([0-9]{1,7});", 1), F.regexp_extract(p, r"^&#[xX]([0-9a-fA-F]{1,6});", 1)
         code = F.coalesce(F.conv(F.nullif(hexa, F.lit("")), 16, 10).try_cast("int"), F.nullif(decimal, F.lit("")).try_cast("int"))
-        mark = F.decode(F.unhex(F.lpad(F.hex(code), 4, "0")), "UTF-16BE")
-        return F.when(code.between(1, 65535), F.concat(mark, F.regexp_replace(p, r"^&#[xX]?[0-9a-fA-F]+;", ""))).otherwise(p)
+        mark = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+        return F.when(code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF), F.concat(mark, F.regexp_replace(p, r"^&#[xX]?[0-9a-fA-F]+;", ""))).otherwise(p)
 
     c = F.array_join(F.transform(parts, number), "")
     for name, mark in (("&quot;", '"'), ("&apos;", "'"), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")):

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from boardlake.functions.dates import posting_epoch
 from boardlake.functions.sources import URLS
+from boardlake.functions.text import like_text
 from boardlake.registry import query
 from boardlake.sources.postings import POSTINGS, postings
 
@@ -16,6 +17,9 @@ COMPENSATION = {
     "annual": "salary", "annually": "salary", "yearly": "salary", "per_year": "salary", "per-year": "salary", "year": "salary", "both": "both",
 }
 PERIODS = ("hour", "week", "month", "year")
+STATUSES = ("applied", "interview scheduled", "awaiting response", "offer received", "withdrawn", "denied")
+FITS = ("good fit", "stretch", "overqualified", "underqualified")
+SORTS = ("recent", "company_asc", "first_seen_desc", "match_desc")
 CURRENCIES = ("USD", "CAD", "AUD", "EUR", "GBP", "JPY", "NZD", "CHF", "SEK", "NOK", "DKK", "INR")
 EDUCATION = {
     "high_school": "high_school", "high school": "high_school", "ged": "high_school", "associate": "associate", "associates": "associate",
@@ -79,6 +83,68 @@ def bool_flag(c: Column, default: bool = False) -> Column:
     return F.when(_key(c).isin("1", "true", "yes", "on"), True).when(_key(c).isin("0", "false", "no", "off"), False).otherwise(default)
 
 
+def nonneg_int(c: Column) -> Column:
+    """The whole number that a text begins with; 0 if there is none or it is below 0."""
+    n = F.regexp_extract(F.coalesce(c, F.lit("")), r"^\s*([+-]?\d+)", 1).try_cast("bigint")
+    return F.greatest(F.coalesce(n, F.lit(0)), F.lit(0))
+
+
+def pos_int(c: Column, default: int = 0) -> Column:
+    """The positive whole number that a text begins with, else the default."""
+    return F.when(nonneg_int(c) > 0, nonneg_int(c)).otherwise(F.lit(default).cast("bigint"))
+
+
+def _one_of(c: Column, options: tuple[str, ...], default: str) -> Column:
+    text = like_text(c)
+    return F.when(text.isin(*options), text).otherwise(default)
+
+
+def app_status(c: Column) -> Column:
+    return _one_of(c, STATUSES, "applied")
+
+
+def fit(c: Column) -> Column:
+    """Blank is a value: not assessed yet."""
+    return _one_of(c, FITS, "")
+
+
+def applied_by_type(c: Column) -> Column:
+    return _one_of(c, ("ai", "agent"), "manual")
+
+
+def applied_by_label(c: Column, kind: Column) -> Column:
+    made = F.when(kind.isin("ai", "agent"), "AI agent applied on behalf of user").otherwise("Manually applied by user")
+    return F.coalesce(F.nullif(F.trim(c), F.lit("")), made)
+
+
+def ignored_by(c: Column) -> Column:
+    return F.coalesce(F.nullif(F.trim(c), F.lit("")), F.lit("Ignored by user"))
+
+
+def sort_name(c: Column) -> Column:
+    text = like_text(c)
+    return F.when(text == "alphabetical", "company_asc").otherwise(_one_of(c, SORTS, "recent"))
+
+
+def remote_modes(c: Column) -> Column:
+    """Work modes of a comma list; anything unknown among them, or nothing, is all."""
+    modes = F.filter(F.transform(F.split(F.lower(F.coalesce(c, F.lit(""))), ","), lambda m: F.trim(m)), lambda m: m != "")
+    every = (F.size(modes) == 0) | F.exists(modes, lambda m: ~m.isin("remote", "hybrid", "non_remote"))
+    return F.when(every, F.array(F.lit("all"))).otherwise(F.array_distinct(modes))
+
+
+def url_join(base: Column, part: Column) -> Column:
+    """part against base: whole addresses as they are, "//host" and "/path" at the base's scheme and host, others beside its last
+    segment; null for a blank part, another scheme or an unusable base. Dots in paths are left as they are."""
+    p, b = F.nullif(F.trim(part), F.lit("")), normalize_url(base)
+    origin, folder = F.regexp_extract(b, r"^(?i)(https?://[^/?#]+)", 1), F.regexp_extract(b, r"^(?i)(https?://[^/?#]+[^?#]*/)", 1)
+    return (
+        F.when(p.isNull(), None).when(p.rlike("^(?i)https?://"), p).when(p.rlike("^(?i)[a-z][a-z0-9+.-]*:"), None).when(b.isNull(), None)
+        .when(p.startswith("//"), F.concat(F.regexp_extract(b, "^(?i)(https?:)", 1), p)).when(p.startswith("/"), F.concat(origin, p))
+        .otherwise(F.concat(F.when(folder.rlike("^(?i)https?://[^/]+/"), folder).otherwise(F.concat(origin, F.lit("/"))), p))
+    )
+
+
 def normalize_url(c: Column) -> Column:
     """A link by http or https, https where none is named; other schemes and blanks are null."""
     text = F.trim(c)
@@ -186,3 +252,27 @@ def fn_sql_functions(spark, sf_dir) -> DataFrame:
         "SELECT company_key(company_name) AS company, work_mode(location) AS mode, count(*) AS n, sum(nullif(size(csv_list(education_levels)), 0)) AS levels "
         "FROM boardlake_postings GROUP BY 1, 2"
     )
+
+
+_KINDS = """CASE p_partkey % 9 WHEN 0 THEN ' Interview   Scheduled ' WHEN 1 THEN 'DENIED' WHEN 2 THEN 'ghosted' WHEN 3 THEN 'Good Fit' WHEN 4 THEN 'AGENT' WHEN 5 THEN 'Alphabetical' WHEN 6 THEN 'remote, Hybrid,remote' WHEN 7 THEN 'remote, moon' ELSE p_name END"""
+
+
+@query(
+    f"""WITH k AS (SELECT p_partkey, p_partkey % 9 AS i, {_KINDS} AS x, CASE p_partkey % 4 WHEN 0 THEN ' ' || p_partkey || ' rows' WHEN 1 THEN '-' || p_partkey WHEN 2 THEN 'none' ELSE '+' || p_partkey END AS n,
+CASE p_partkey % 5 WHEN 0 THEN '/a/' || p_partkey WHEN 1 THEN 'b?c=' || p_partkey WHEN 2 THEN '//other.example/' || p_partkey WHEN 3 THEN 'mailto:x' ELSE 'http://y.example/' || p_partkey END AS part FROM part)
+SELECT p_partkey, CASE i WHEN 0 THEN 'interview scheduled' WHEN 1 THEN 'denied' ELSE 'applied' END AS status, CASE i WHEN 3 THEN 'good fit' ELSE '' END AS fit, CASE i WHEN 4 THEN 'agent' ELSE 'manual' END AS by_type,
+CASE WHEN i = 4 THEN 'AI agent applied on behalf of user' ELSE 'Manually applied by user' END AS by_label, CASE i WHEN 5 THEN 'company_asc' ELSE 'recent' END AS sort, CASE i WHEN 6 THEN 'remote,hybrid' ELSE 'all' END AS modes,
+CASE p_partkey % 4 WHEN 0 THEN p_partkey WHEN 3 THEN p_partkey ELSE 0 END AS whole, CASE WHEN p_partkey % 4 IN (0, 3) AND p_partkey > 0 THEN p_partkey ELSE 7 END AS positive,
+CASE p_partkey % 5 WHEN 0 THEN 'https://x.example' || part WHEN 1 THEN 'https://x.example/jobs/' || part WHEN 2 THEN 'https:' || part WHEN 4 THEN part END AS link FROM k"""
+)
+def sc_kinds(spark, sf_dir) -> DataFrame:
+    """Kinds, whole numbers and links of every part in several spellings."""
+    n = "CASE p_partkey % 4 WHEN 0 THEN ' ' || p_partkey || ' rows' WHEN 1 THEN '-' || p_partkey WHEN 2 THEN 'none' ELSE '+' || p_partkey END"
+    part = "CASE p_partkey % 5 WHEN 0 THEN '/a/' || p_partkey WHEN 1 THEN 'b?c=' || p_partkey WHEN 2 THEN '//other.example/' || p_partkey WHEN 3 THEN 'mailto:x' ELSE 'http://y.example/' || p_partkey END"
+    rows = spark.read.parquet(f"{sf_dir}/part.parquet").selectExpr("p_partkey", f"{_KINDS} AS x", f"{n} AS n", f"{part} AS part")
+    x = F.col("x")
+    return rows.select(
+        "p_partkey", app_status(x).alias("status"), fit(x).alias("fit"), applied_by_type(x).alias("by_type"), applied_by_label(F.lit(" "), applied_by_type(x)).alias("by_label"),
+        sort_name(x).alias("sort"), F.array_join(remote_modes(x), ",").alias("modes"), nonneg_int(F.col("n")).alias("whole"), pos_int(F.col("n"), 7).alias("positive"),
+        url_join(F.lit("x.example/jobs/list"), F.col("part")).alias("link"),
+    )

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from boardlake.constants import COUNTRIES, COUNTRY_REGIONS, STATES
 from boardlake.functions.enrich import with_line
-from boardlake.functions.geo import entries, located, per_distinct
+from boardlake.functions.geo import _map, entries, located, per_distinct
 from boardlake.functions.text import geo_text
 from boardlake.registry import query
 from boardlake.sources.postings import POSTINGS, postings
@@ -28,7 +28,7 @@ REGION_HINTS = {
 }
 def hiring_places(text: Column) -> Column:
     """Distinct (city, state, country) of all clauses. A state's name alone is the whole state."""
-    names = F.create_map(*[F.lit(x) for k, v in STATES.items() for x in (v.lower(), k)])
+    names = _map({v.lower(): k for k, v in STATES.items()})
     said = F.concat(*[F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(p), 1) for p in CLAUSES])
     places = F.filter(
         F.transform(F.split(F.array_join(F.transform(said, lambda s: F.regexp_replace(s, r"(?i)\b(?:or|and)\b", ",")), ","), ","), lambda x: F.trim(x)), lambda p: p != ""
@@ -55,13 +55,13 @@ def region(text: Column, country: Column) -> Column:
     """Region that the text names as words, else the country's."""
     words = F.concat(F.lit(" "), geo_text(F.coalesce(text, F.lit(""))), F.lit(" "))
     named = [F.when(words.rlike(f" ({'|'.join(hints)}) "), name) for name, hints in REGION_HINTS.items()]
-    return F.coalesce(*named, F.create_map(*[F.lit(x) for kv in COUNTRY_REGIONS.items() for x in kv])[country])
+    return F.coalesce(*named, _map(COUNTRY_REGIONS)[country])
 
 
 def infer_geo(text: Column) -> Column:
     """Struct of country and region: the last segment that is a country, else the US where a state stands."""
     parts = F.reverse(F.transform(F.split(F.coalesce(text, F.lit("")), r"[,/|;]|-\s"), lambda p: geo_text(p)))
-    names = F.create_map(*[F.lit(x) for pair in COUNTRIES.items() for x in pair])
+    names = _map(COUNTRIES)
     def code(part: Column) -> Column:
         """The segment, or else its last four, three, two words or word, as a country."""
         words = F.split(part, " ")

@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from boardlake.constants import CORPUS_STOPWORDS
+from boardlake.functions.enrich import decode_entities
 from boardlake.registry import query
 from boardlake.sources.postings import POSTINGS, postings
 
-_ACCENTED, _PLAIN = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy"
+#: Letters that are an ASCII letter with marks, and that letter.
+_MARKED = {chr(c): b for c in (*range(0xC0, 0x250), *range(0x1E00, 0x1F00)) if (b := unicodedata.normalize("NFD", chr(c))[0]).isascii() and b.isalpha() and chr(c).islower()}
+_ACCENTED, _PLAIN = "".join(_MARKED), "".join(_MARKED.values())
 TITLE_STOPWORDS = ("and", "for", "the", "with")
 
 
@@ -25,10 +30,8 @@ def geo_text(c: Column) -> Column:
 
 
 def clean_html(c: Column) -> Column:
-    """Tags as spaces, common entities decoded, white space as one space."""
-    c = F.regexp_replace(c, "<[^>]*>", " ")
-    for name, mark in (("&nbsp;", " "), ("&quot;", '"'), ("&apos;", "'"), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")):
-        c = F.replace(c, F.lit(name), F.lit(mark))
+    """Tags as spaces, entities decoded, white space as one space."""
+    c = decode_entities(F.replace(F.regexp_replace(c, "<[^>]*>", " "), F.lit("&nbsp;"), F.lit(" ")))
     return F.trim(F.regexp_replace(c, r"\s+", " "))
 
 

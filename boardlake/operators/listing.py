@@ -8,9 +8,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from boardlake.functions import dates, fields, geo
+from boardlake.functions import dates, fields, geo, places
 from boardlake.functions.enrich import DEMANDS, with_line
-from boardlake.functions.hiring import entry_matches
+from boardlake.functions.hiring import infer_geo
+from boardlake.functions.industry import of_industry
 from boardlake.functions.sources import infer_source
 from boardlake.functions.text import like_text
 from boardlake.operators import filters, joins
@@ -33,9 +34,12 @@ class Spec:
     pay_max: float | None = None
     unknown_pay: bool = True
     education: list[str] = field(default_factory=list)
+    industries: list[str] = field(default_factory=list)
     states: list[str] = field(default_factory=list)
+    counties: list[str] = field(default_factory=list)
     countries: list[str] = field(default_factory=list)
-    cities: list[tuple[str, str]] = field(default_factory=list)
+    regions: list[str] = field(default_factory=list)
+    cities: list[str] = field(default_factory=list)
     remote: list[str] = field(default_factory=list)
     hide_no_date: bool = False
     include_applied: bool = True
@@ -56,6 +60,20 @@ class Spec:
         self.limit, self.offset = min(max(self.limit, 1), 2000), max(self.offset, 0)
 
 
+#: What a user's saved preferences may fill in.
+PREFERRED = ("search", "industries", "states", "counties", "countries", "regions", "remote")
+
+
+def candidates(asked: dict, saved: dict, use_settings: bool = True, budget: int = 10) -> Spec:
+    """The spec of a run of applications: what is asked for, else what is saved; as many rows as asked for, else as the budget has.
+
+    Applied postings are left out unless they are asked for."""
+    given = {k: v for k, v in asked.items() if v}
+    if use_settings:
+        given = {k: saved[k] for k in PREFERRED if saved.get(k)} | given
+    return Spec(**{"include_applied": False, "limit": max(1, budget)} | given)
+
+
 def pay_period(periods: list[str]) -> Column:
     """Normalised period in the set; rows without one fail."""
     return F.coalesce(fields.pay_period(F.col("pay_period")).isin(periods), F.lit(False))
@@ -79,12 +97,14 @@ def user_state(log: DataFrame) -> DataFrame:
     )
 
 
-def list_postings(df: DataFrame, spec: Spec, state: DataFrame, scores: DataFrame, companies: DataFrame, blocked: DataFrame, now: int) -> DataFrame:
+def list_postings(
+    df: DataFrame, spec: Spec, state: DataFrame, scores: DataFrame, companies: DataFrame, blocked: DataFrame, now: int, fitted: DataFrame | None = None
+) -> DataFrame:
     """A page of the listing.
 
     df are postings, state is user_state(), scores has posting_id, resume_key and match_percent,
     companies company_name and source (of several with one key the first by name and source
-    counts), blocked company_name. Filters on stored columns come first and reach the scan.
+    counts), blocked company_name, fitted is a matcher() where industries are asked for. Filters on stored columns come first and reach the scan.
     """
     cutoff = now - dates.window_seconds(spec.hours)
     if spec.review_queue in ("shortlisted", "reviewed"):
@@ -113,14 +133,19 @@ def list_postings(df: DataFrame, spec: Spec, state: DataFrame, scores: DataFrame
     ).drop("_key", "_company", "_source")
     if spec.sources:
         rows = rows.filter(F.col("source").isin(spec.sources))
-    if spec.states or spec.countries or spec.cities:
-        rows = geo.per_distinct(rows, "location", "entries", geo.entries)
-        if spec.states or spec.countries:
-            rows = rows.filter(entry_matches(F.col("entries"), states=spec.states, countries=spec.countries))
+    if spec.industries:
+        met = of_industry(rows, "posting_id", "position_name", fitted).filter(F.col("industry").isin(spec.industries)).select("posting_id").distinct()
+        rows = rows.join(met, "posting_id", "left_semi")
+    asked = {
+        "states": places.state_filters(spec.states), "counties": places.county_filters(spec.counties), "countries": places.country_filters(spec.countries), "regions": places.region_filters(spec.regions),
+    }
+    if any(asked.values()) or spec.cities:
+        told = lambda c: F.struct(geo.entries(c).alias("entries"), infer_geo(c).alias("geo"))
+        rows = geo.per_distinct(rows, "location", "_at", told)
+        rows = rows.filter(places.in_place(F.col("location"), F.col("_at.entries"), F.col("_at.geo"), **asked))
         if spec.cities:
-            at = lambda e: reduce(Column.__or__, [(F.lower(e["city"]) == city.lower()) & (e["state"] == code) for city, code in spec.cities])
-            rows = rows.filter(F.exists("entries", at))
-        rows = rows.drop("entries")
+            rows = rows.filter(places.in_town(F.col("_at.entries"), places.city_filters(spec.cities)))
+        rows = rows.drop("_at")
     rows = dates.classified(rows, now, spec.hours)
     if spec.hide_no_date:
         rows = rows.filter(fields.real_source_date(F.col("posting_date"), F.coalesce("source", F.lit("")), F.col("first_seen_epoch"), F.col("last_seen_epoch"), now))
@@ -208,7 +233,7 @@ AND pay_period = 'year' AND review_state = 'unseen' AND freshness IN ('confirmed
 )
 def q_list_queue(spark, sf_dir) -> DataFrame:
     """The queue of new postings with yearly pay at places in the country, not remote."""
-    spec = Spec(pay_periods=["year"], countries=["US"], states=["WA", "OR", "MA", "KY", "CO", "TX", "DC", "IL"], remote=["hybrid", "non_remote"], include_applied=False, review_queue="new", sort="company_asc", limit=100)
+    spec = Spec(pay_periods=["year"], countries=["usa"], states=["WA", "Oregon", "ma", "KY", "CO", "Texas", "DC", "IL"], regions=["amer"], remote=["hybrid", "non_remote"], include_applied=False, review_queue="new", sort="company_asc", limit=100)
     return list_postings(postings(spark, sf_dir), spec, *_sides(spark, sf_dir), NOW).select(*_SHOWN.split(", "))
 
 

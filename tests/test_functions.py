@@ -52,8 +52,8 @@ def test_places(spark, place, want):
 
 def test_text_forms(spark):
     assert values(spark, text.like_text, ["  A  b\tC ", None]) == ["a b c", None]
-    assert values(spark, text.geo_text, ["São Paulo & Côte-d'Or"]) == ["sao paulo and cote dor"]
-    assert values(spark, text.clean_html, ["<p>a&nbsp;&lt;b</p>\n<br>c"]) == ["a <b c"]
+    assert values(spark, text.geo_text, ["São Paulo & Côte-d'Or", "Łódź Šiauliai Ắn"]) == ["sao paulo and cote dor", "odz siauliai an"]
+    assert values(spark, text.clean_html, ["<p>a&nbsp;&lt;b</p>\n<br>c&#39;d"]) == ["a <b c'd"]
     assert values(spark, text.title_words, ["The Senior C/C++ Engineer and Engineer 2024"]) == [["senior", "engineer"]]
     assert values(spark, text.company_from_url, ["https://www.acme-co.example.com/x", "http://jobs.big_one.com"]) == ["acme co", "big one"]
 
@@ -61,7 +61,7 @@ def test_text_forms(spark):
 def test_entities_and_page_text(spark):
     from boardlake.functions import enrich
 
-    assert values(spark, enrich.decode_entities, ["a &#233;&#x4E2D;&lt;b&gt; &#0; &amp;", "", None]) == ["a é中<b> &#0; &", "", None]
+    assert values(spark, enrich.decode_entities, ["a &#233;&#x4E2D;&lt;b&gt; &#0; &amp;", "", None, "&#128512;&#xD800;"]) == ["a é中<b> &#0; &", "", None, "\N{GRINNING FACE}&#xD800;"]
     assert values(spark, enrich.html_to_text, ["<script>x</script><ul><li>one</li><li>two&nbsp;x</li></ul><!-- c -->end", None]) == ["- one\n\n- two x\nend", None]
 
 
@@ -209,6 +209,9 @@ def test_a_listing_asks_for_known_queues():
         listing.Spec(review_queue="old")
     with pytest.raises(ValueError, match="column"):
         joins.top_k("text")
+    saved = {"search": "red", "states": ["WA"], "pay_min": 5, "remote": ["remote"]}
+    assert listing.candidates({"states": ["OR"], "limit": 0}, saved, budget=7) == listing.Spec(search="red", states=["OR"], remote=["remote"], include_applied=False, limit=7)
+    assert listing.candidates({"include_applied": True}, saved, use_settings=False) == listing.Spec(include_applied=True, limit=10)
     assert listing.Spec(limit=9000, offset=-3).limit == 2000 and listing.Spec(offset=-3).offset == 0
 
 
