@@ -63,13 +63,16 @@ def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     m, length = len(start), np.diff(np.append(start, len(data)))
     of = np.repeat(np.arange(m), length)
     kinds = np.bincount(of * (_CLASSES + 1) + _CLASS[data], minlength=m * (_CLASSES + 1)).reshape(m, -1)[:, :_CLASSES]
+    first = np.zeros(len(data), bool)  # of a text; nothing is told across texts, so a score is its own text's alone
+    first[begin] = True
+    inside = ~first[1:]
     pair = (data[:-1].astype(np.int64) * 31 + data[1:].astype(np.int64) * 17) % PAIRS
-    pairs = np.bincount(of[:-1] * PAIRS + pair, minlength=m * PAIRS).reshape(m, -1)
+    pairs = np.bincount((of[:-1] * PAIRS + pair)[inside], minlength=m * PAIRS).reshape(m, -1)
     word = np.concatenate([[0], space[:-1] + 1])
     size = space - word
     place = np.arange(len(data)) - np.repeat(word, size + 1)
     value = np.add.reduceat((data.astype(np.int64) + 1) * (place * place * 7919 + place * 104729 + 1), word)
-    again = (value[1:] == value[:-1]) & (size[1:] > 0)
+    again = (value[1:] == value[:-1]) & (size[1:] > 0) & ~first[word[1:]]
     words = np.bincount(of[word], weights=size > 0, minlength=m)
     same = np.bincount(of[word[1:]], weights=again, minlength=m)
     share = 1 / length[:, None]

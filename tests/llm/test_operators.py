@@ -292,6 +292,7 @@ def test_scores_are_the_gated_sum(spark):
     x, counts = quality.features(["word " * 300, "", "A b 1 & " * 200, "é" * 50])
     model = quality.fit(x, counts, np.array([1, 0, 1, 0], np.float32), epochs=3)
     texts = [" ".join(rng.choice(["alpha", "beta", "##", "9", "é"], n)) for n in (1, 90, 700)]
+    assert np.allclose(model.score(texts), [model.score([t])[0] for t in texts])  # whatever stands beside a text
     w = {k: v.astype(float) for k, v in model.weights.items()}
     for text, score in zip(texts, model.score(texts), strict=True):
         (p, n), encoded, weights = quality.features([text]), [], []
