@@ -142,13 +142,24 @@ def or_page(spark, sf_dir) -> DataFrame:
 
 
 @query(
-    """WITH r AS (SELECT s_suppkey, s_nationkey, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_acctbal, s_suppkey) AS turn FROM supplier)
-SELECT s_suppkey, s_nationkey, turn FROM r"""
+    """WITH r AS (SELECT s_suppkey, s_nationkey, s_acctbal, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_acctbal, s_suppkey) AS turn FROM supplier),
+n AS (SELECT s_nationkey, row_number() OVER (ORDER BY s_acctbal, s_suppkey) AS source_place FROM r WHERE turn = 1)
+SELECT s_suppkey, s_nationkey, turn, source_place, row_number() OVER (ORDER BY turn, source_place) AS place FROM r JOIN n USING (s_nationkey)"""
 )
 def wn_round_robin(spark, sf_dir) -> DataFrame:
-    """Crawl turns: each source's companies from stale to fresh, sources interleaved by turn."""
+    """Crawl order: each source's companies from stale to fresh, sources taking turns in the order of their stalest company.
+
+    A company's place comes from the number of companies in each turn and of those before it in its own, so companies are
+    never ordered in one task; sources and turns are.
+    """
+    rows = spark.read.parquet(f"{sf_dir}/supplier.parquet")
     turn = F.row_number().over(Window.partitionBy("s_nationkey").orderBy("s_acctbal", "s_suppkey")).cast("long")
-    return spark.read.parquet(f"{sf_dir}/supplier.parquet").select("s_suppkey", "s_nationkey", turn.alias("turn"))
+    ranked = rows.select("s_suppkey", "s_nationkey", "s_acctbal", turn.alias("turn"))
+    first = ranked.filter("turn = 1").select("s_nationkey", F.row_number().over(Window.orderBy("s_acctbal", "s_suppkey")).cast("long").alias("source_place"))
+    turns = ranked.groupBy("turn").agg(F.count("*").alias("n"))
+    before = turns.select("turn", (F.sum("n").over(Window.orderBy("turn")) - F.col("n")).alias("_before"))
+    within = F.row_number().over(Window.partitionBy("turn").orderBy("source_place"))
+    return ranked.join(first, "s_nationkey").join(before, "turn").select("s_suppkey", "s_nationkey", "turn", "source_place", (F.col("_before") + within).alias("place"))
 
 
 @query(

@@ -59,15 +59,41 @@ def st_lifecycle(spark, sf_dir) -> DataFrame:
     return replay(spark, f"{sf_dir}/events.parquet", sightings)
 
 
+def timeouts(events: DataFrame, length: str = "10 minutes", every: str = "5 minutes", late: str = "2 hours") -> DataFrame:
+    """Failures of each source in the last minutes, in sliding windows."""
+    return events.filter("value < 5").withWatermark("ts", late).groupBy(F.window("ts", length, every), F.col("event_type").alias("source")).agg(
+        F.count("*").alias("n")
+    ).select(F.unix_timestamp("window.start").alias("start"), "source", "n")
+
+
+@query(
+    """WITH s AS (SELECT event_type AS source, floor(epoch(time_bucket(INTERVAL 5 MINUTE, ts)))::BIGINT AS start FROM events WHERE value < 5)
+SELECT start - back AS start, source, count(*) AS n FROM s, (VALUES (0), (300)) b(back) GROUP BY 1, 2"""
+)
+def st_timeouts(spark, sf_dir) -> DataFrame:
+    return replay(spark, f"{sf_dir}/events.parquet", timeouts)
+
+
+STALL, EPISODE = 7_200, 21_600
+
+
+def write_gaps(events: DataFrame) -> DataFrame:
+    """source, stalled_from, recovered_at and alerts (one as a stall begins, one more for each episode that it lasts) of gaps of two
+    hours or more between a source's writes. Only the first and last write of each hour are put in order."""
+    hours = events.groupBy(F.col("event_type").alias("source"), F.date_trunc("hour", "ts").alias("hour")).agg(
+        F.unix_timestamp(F.min("ts")).alias("recovered_at"), F.unix_timestamp(F.max("ts")).alias("last")
+    )
+    gaps = hours.withColumn("stalled_from", F.lag("last").over(Window.partitionBy("source").orderBy("hour")))  # the hours of a source
+    long = gaps.filter(F.col("recovered_at") - F.col("stalled_from") >= STALL)
+    return long.select("source", "stalled_from", "recovered_at", (1 + F.floor((F.col("recovered_at") - F.col("stalled_from") - STALL) / EPISODE)).alias("alerts"))
+
+
 @query(
-    """WITH w AS (SELECT event_type AS source, ts, lag(ts) OVER (PARTITION BY event_type ORDER BY ts, event_id) AS before FROM events)
-SELECT source, floor(epoch(before))::BIGINT AS stalled_from, floor(epoch(ts))::BIGINT AS recovered_at FROM w WHERE floor(epoch(ts)) - floor(epoch(before)) >= 7200"""
+    """WITH w AS (SELECT event_type AS source, floor(epoch(ts))::BIGINT AS t, lag(floor(epoch(ts))::BIGINT) OVER (PARTITION BY event_type ORDER BY ts, event_id) AS before FROM events)
+SELECT source, before AS stalled_from, t AS recovered_at, 1 + (t - before - 7200) // 21600 AS alerts FROM w WHERE t - before >= 7200"""
 )
 def st_write_liveness(spark, sf_dir) -> DataFrame:
-    """Gaps of two hours or more between writes of a source."""
-    before = F.lag("ts").over(Window.partitionBy("event_type").orderBy("ts", "event_id"))
-    rows = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("before", before)
-    return rows.select(F.col("event_type").alias("source"), F.unix_timestamp("before").alias("stalled_from"), F.unix_timestamp("ts").alias("recovered_at")).filter("recovered_at - stalled_from >= 7200")
+    return write_gaps(spark.read.parquet(f"{sf_dir}/events.parquet"))
 
 
 def dropped(events: DataFrame, now: int, hours: int = 24, late: str = "2 hours") -> DataFrame:
@@ -103,7 +129,13 @@ def upsert_stream(incoming: DataFrame, folder: str, now: int) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="boardlake-")
+    """A new folder below spark.checkpoint.dir; a temporary one only where that is unset on one machine (tests)."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
+    if not base:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="boardlake-")
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
