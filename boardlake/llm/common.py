@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Bytes (as estimated by row_bytes) that a broadcast may hold; beyond it the join shuffles instead.
@@ -93,3 +93,19 @@ def ascii_lower(c: Column) -> Column:
     return F.when(F.length(c) == F.octet_length(c), F.lower(c)).otherwise(
         F.translate(c, ASCII_UPPER, ASCII_UPPER.lower())
     )
+
+
+def numbered(rows: DataFrame, key: str, *order: str) -> DataFrame:
+    """rows with _pos: 1, 2, ... inside each group of key by the other columns, nulls first.
+
+    Rows are dealt by ranges of key and order, so a group of any size is spread over tasks. A row's number in its task's
+    order is written with it; a group's pieces are then put one after the other by their counts.
+    """
+    by = [F.col(c).asc_nulls_first() for c in (key, *order)]
+    placed = materialise(rows.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_row", F.monotonically_increasing_id()))
+    piece = F.shiftright("_row", 33)
+    pieces = placed.groupBy(F.col(key).alias("_key"), piece.alias("_piece")).agg(F.min("_row").alias("_first"), F.count("*").alias("_many"))
+    before = F.sum("_many").over(Window.partitionBy("_key").orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1))
+    starts = pieces.select("_key", "_piece", (F.col("_first") - F.coalesce(before, F.lit(0)) - 1).alias("_from"))
+    same = F.col(key).eqNullSafe(F.col("_key")) & (piece == F.col("_piece"))
+    return placed.join(starts, same).withColumn("_pos", F.col("_row") - F.col("_from")).drop("_key", "_piece", "_from", "_row")

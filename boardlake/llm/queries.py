@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from boardlake.llm import bpe, chat, decontaminate, linededup, partenum, quality, rules, secrets, tokencounts, tokenfiles
+from boardlake.llm import bpe, chat, decontaminate, linededup, partenum, quality, repair, rules, secrets, tokencounts, tokenfiles, trie, vectors
 from boardlake.llm.common import shared_dir, table
 
 MULTI = "byte_bpe_multi_50k.tiktoken"
@@ -67,16 +67,55 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.report(table(spark, sf_dir, "conversations"))
+
+
+def op12_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.rebuilt_trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_byte_bpe, op2_decontamination, op3_quality_classifier, op4_quotation_linking, op5_quality_rules,
         op6_ngram_jaccard_join, op6_ngram_jaccard_links, op7_secret_scan, op8_token_files, op9_line_dedup, op10_token_counts,
+        op11_structure_repair, op12_embedding_dedup, op13_prefix_trie,
     )
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+#: CRC-32 of the ASCII text x.
+_CRC = (
+    "xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length(x) + 1), lambda i: ascii(x[i])::BIGINT)), lambda a, b:"
+    " list_reduce(list_prepend(xor(a, b), range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)), 4294967295::BIGINT)"
+)
+
+
+def _way(of: str, cost: str, edit: str, told: str = "''") -> str:
+    """A way (cost, audit, text with a newline before each row) with one edit more."""
+    return f"{{'c': ({of}).c + {cost}, 'a': ({of}).a || '{edit}', 'o': ({of}).o || {told}}}"
+
+
+_FAR = "{'c': 1000000, 'a': '~', 'o': ''}"
+_GONE = [_way(f"w[{k}]", "4", "D") for k in range(1, 5)]
+_BEFORE_USER = "least(w[1], w[2], w[4])"
+
+
+def _kept(initial: str, of: str) -> str:
+    told = "chr(10) || role || ':' || text"
+    return f"CASE WHEN NOT must AND left(role, 1) = '{initial}' THEN {_way(of, 't', 'K', told)} ELSE {_FAR} END"
+
+
+def _renamed(role: str, of: str) -> str:
+    return f"CASE WHEN must THEN {_FAR} ELSE {_way(of, '3 + t', 'R', f"chr(10) || '{role}:' || text")} END"
+
+
 ORACLE_SQL = {
     "op2_decontamination": rf"""
 WITH d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
@@ -150,3 +189,65 @@ FROM d LEFT JOIN n ON d.doc_id = n.doc_id LEFT JOIN c ON c.a = d.doc_id""",
 ORACLE_SQL["op6_ngram_jaccard_links"] = ORACLE_SQL["op6_ngram_jaccard_join"].replace(
     "AS component_id", "AS component_id, coalesce(l.n_links, 0)::BIGINT AS n_links"
 ) + " LEFT JOIN (SELECT a, count(*) AS n_links FROM e GROUP BY a) AS l ON l.a = d.doc_id"
+
+ORACLE_SQL["op12_embedding_dedup"] = """
+WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS v, sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS n FROM embeddings),
+ok AS (SELECT * FROM v WHERE n > 0 AND isfinite(n)),
+e AS (SELECT x.vec_id AS a, y.vec_id AS b FROM ok x JOIN ok y ON x.vec_id <> y.vec_id AND len(x.v) = len(y.v) WHERE list_dot_product(x.v, y.v) / (x.n * y.n) >= 0.9),
+r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a),
+c AS (SELECT a, min(b) AS b FROM r GROUP BY a), l AS (SELECT a, count(*) AS n FROM e GROUP BY a)
+SELECT vec_id, coalesce(l.n, 0)::BIGINT AS n_links, least(vec_id, coalesce(c.b, vec_id)) AS component_id,
+       vec_id = least(vec_id, coalesce(c.b, vec_id)) AS kept
+FROM v LEFT JOIN c ON c.a = vec_id LEFT JOIN l ON l.a = vec_id"""
+
+ORACLE_SQL["op13_prefix_trie"] = f"""
+WITH o AS (SELECT conv_id AS c, coalesce(text, '') AS text, octet_length(encode(coalesce(text, ''))) AS bytes,
+                  sha256(octet_length(encode(coalesce(role, ''))) || ':' || coalesce(role, '') || coalesce(text, '')) AS t, turn
+           FROM conversations WHERE conv_id IS NOT NULL),
+n AS (SELECT c, t, bytes, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, t) AS p FROM o),
+h AS (SELECT c, x, {_CRC} % 9 AS h FROM (SELECT DISTINCT c, c::VARCHAR AS x FROM o)),
+r AS (SELECT h.c, 0 AS k, n.p, n.t, n.bytes FROM h JOIN n ON n.c = h.c - h.c % 5 WHERE n.p <= h.h
+      UNION ALL SELECT h.c, 1, n.p, n.t, n.bytes FROM h JOIN n ON n.c = h.c WHERE n.p > h.h),
+d AS (SELECT c, row_number() OVER w AS depth, string_agg(t, '') OVER w AS path, bytes FROM r WINDOW w AS (PARTITION BY c ORDER BY k, p)),
+m AS (SELECT c, depth, path, bytes FROM d UNION ALL SELECT c, 0, '', 0 FROM h),
+z AS (SELECT c, max(depth) AS depth FROM m GROUP BY c),
+nodes AS (SELECT path, depth, min(c) AS conv_id, count(*) AS n_convs, (count(*) - 1) * min(bytes) AS saved FROM m GROUP BY path, depth),
+kids AS (SELECT left(path, 64 * (depth - 1)::INT) AS path, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY 1),
+below AS (SELECT left(path, 64 * k::INT) AS path, sum(CASE WHEN leaf THEN 1 ELSE 0 END) AS n_leaves, sum(saved) AS saved
+          FROM (SELECT nodes.*, kids.n IS NULL AS leaf, unnest(generate_series(0, depth)) AS k FROM nodes LEFT JOIN kids USING (path)) GROUP BY 1),
+ends AS (SELECT path, string_agg(c::VARCHAR, ',' ORDER BY c) AS s FROM m JOIN z USING (c, depth) GROUP BY path)
+SELECT nodes.conv_id, nodes.depth::BIGINT AS depth, up.conv_id AS parent_conv_id, nodes.n_convs::BIGINT AS n_convs,
+       coalesce(kids.n, 0)::BIGINT AS n_children, n_leaves::BIGINT AS n_leaves, below.saved::BIGINT AS saved_tokens, sha256(coalesce(s, '')) AS ends_sha256
+FROM nodes JOIN below USING (path) LEFT JOIN kids USING (path) LEFT JOIN ends USING (path)
+LEFT JOIN nodes up ON nodes.depth > 0 AND up.depth = nodes.depth - 1 AND up.path = left(nodes.path, 64 * (nodes.depth - 1)::INT)"""
+
+ORACLE_SQL["op11_structure_repair"] = rf"""
+WITH RECURSIVE k AS (SELECT conv_id AS c, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+                            coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS x FROM conversations),
+m AS (SELECT *, {_CRC} % 20 AS m FROM k),
+b AS (SELECT c, turn, CASE WHEN m = 4 THEN 'user' ELSE role END AS role,
+             CASE WHEN m = 1 THEN '' WHEN m = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+             unnest(CASE WHEN m = 3 THEN [1, 2] ELSE [1] END) AS copy FROM m WHERE m <> 0),
+f AS (SELECT *, regexp_extract(text, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*$', 1) AS z,
+             row_number() OVER (PARTITION BY c, role, text ORDER BY turn NULLS FIRST, copy) > 1 AS again,
+             row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, role, text, copy) AS i FROM b),
+g AS (SELECT *, z = '' AS blank, z <> '' AND again AS dup, z <> '' AND NOT again AND z NOT IN ('.', '!', '?') AS cut,
+             lag(role) OVER (PARTITION BY c ORDER BY i) AS prev FROM f),
+rows_ AS (SELECT c, i, role, text, blank OR dup AS must, CASE WHEN cut THEN 3 ELSE 0 END AS t FROM g),
+counts AS (SELECT c, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (dup) AS duplicate,
+                  count(*) FILTER (cut) AS truncated, count(*) FILTER (i > 1 AND left(prev, 1) || left(role, 1) NOT IN ('su', 'ua', 'au')) AS illegal, max(i) AS n
+           FROM g GROUP BY c),
+s AS (SELECT c, 0::BIGINT AS i, [{{'c': 0, 'a': '', 'o': ''}}, {_FAR}, {{'c': 3, 'a': 'I', 'o': chr(10) || 'user:'}},
+             {{'c': 6, 'a': 'II', 'o': chr(10) || 'user:' || chr(10) || 'assistant:'}}] AS w FROM counts
+      UNION ALL
+      SELECT c, i, [v[1], v[2], u, least(v[4], {_way("u", "3", "I", "chr(10) || 'assistant:'")})] AS w
+      FROM (SELECT c, i, v, least(v[3], {_way("least(v[1], v[2], v[4])", "3", "I", "chr(10) || 'user:'")}) AS u
+            FROM (SELECT s.c, r.i, [{_GONE[0]}, least({_GONE[1]}, {_kept("s", "w[1]")}),
+                         least({_GONE[2]}, {_kept("u", _BEFORE_USER)}, {_renamed("user", _BEFORE_USER)}),
+                         least({_GONE[3]}, {_kept("a", "w[3]")}, {_renamed("assistant", "w[3]")})] AS v
+                  FROM s JOIN rows_ r ON r.c IS NOT DISTINCT FROM s.c AND r.i = s.i + 1))),
+e AS (SELECT counts.*, least(w[1], w[4]) AS w FROM counts JOIN s ON counts.c IS NOT DISTINCT FROM s.c AND counts.n = s.i)
+SELECT conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate,
+       coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, coalesce(w.c, 0)::BIGINT AS cost,
+       coalesce(w.a, '') AS audit, sha256(coalesce(w.o[2:], '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) LEFT JOIN e ON e.c IS NOT DISTINCT FROM conv_id"""

@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import zlib
 from collections import defaultdict
 
 WORDS = r"[^\x20\x09-\x0D]+"
@@ -133,3 +134,126 @@ def left_lines(docs):
 def op9(docs):
     left, texts = left_lines(docs), dict(docs)
     return {d: [len((texts[d] or "").split("\n")) - len(x), hexed("\n".join(x).encode())] for d, x in left.items()}
+
+
+def op13(rows):
+    """rows: (conv_id, turn, role, text). (conv_id, depth) -> the other columns."""
+    own = defaultdict(list)
+    for c, turn, role, text in rows:
+        if c is not None:
+            role, text = role or "", text or ""
+            told = hashlib.sha256(f"{len(role.encode())}:{role}{text}".encode()).digest()
+            own[c].append((turn is not None, turn, told, role, text))
+    own = {c: [x[3:] for x in sorted(r)] for c, r in own.items()}
+    made = {}
+    for c, r in own.items():
+        h = zlib.crc32(str(c).encode()) % 9
+        made[c] = own.get(c - c % 5, [])[:h] + r[h:]
+    members = defaultdict(list)
+    for c, r in made.items():
+        for d in range(len(r) + 1):
+            members[tuple(r[:d])].append(c)
+    kids = defaultdict(set)
+    for n in members:
+        if n:
+            kids[n[:-1]].add(n)
+    leaves, saved = defaultdict(int), defaultdict(int)
+    for n, who in members.items():
+        for d in range(len(n) + 1):
+            leaves[n[:d]] += n not in kids
+            saved[n[:d]] += (len(who) - 1) * len(n[-1][1].encode()) if n else 0
+    return {
+        (min(who), len(n)): (
+            min(members[n[:-1]]) if n else None, len(who), len(kids[n]) if n in kids else 0, leaves[n], saved[n],
+            hexed(",".join(str(c) for c in sorted(who) if len(made[c]) == len(n)).encode()),
+        )
+        for n, who in members.items()
+    }
+
+
+def op11_edits(rows):
+    """Cost and least audit of the cheapest edits of (initial, must go, cut off), by dynamic programming over whole prefixes."""
+    follow = {"": {"s": "s", "u": "u"}, "s": {"u": "u"}, "u": {"a": "a"}, "a": {"u": "u"}}
+    forced = {"": "u", "s": "u", "u": "a", "a": "u"}
+
+    def inserted(ways):
+        for _ in range(3):
+            for q, (c, t) in list(ways.items()):
+                new = (c + 3, t + "I")
+                ways[forced[q]] = min(ways.get(forced[q], new), new)
+        return ways
+
+    ways = inserted({"": (0, "")})
+    for initial, must, cut in rows:
+        made = {}
+
+        def put(q, c, t):
+            made[q] = min(made.get(q, (c, t)), (c, t))  # noqa: B023
+
+        for q, (c, t) in ways.items():
+            put(q, c + 4, t + "D")
+            if not must:
+                put(forced[q], c + 3 + 3 * cut, t + "R")
+                if initial in follow[q]:
+                    put(follow[q][initial], c + 3 * cut, t + "K")
+        ways = inserted(made)
+    return min(ways[q] for q in ("", "a") if q in ways)
+
+
+def op11(rows):
+    """rows: (conv_id, turn, role, text). conv_id -> the other columns."""
+    kept = defaultdict(list)
+    for c, turn, role, text in rows:
+        role, text = " " if role is None else role, " " if text is None else text
+        m = zlib.crc32(f"{' ' if c is None else c}:{' ' if turn is None else turn}".encode()) % 20
+        text = "" if m == 1 else re.sub("[.!?]", "", text) if m == 2 else text
+        kept[c] += [] if m == 0 else [(turn, "user" if m == 4 else role, text)] * (2 if m == 3 else 1)
+    out = {}
+    for c, r in kept.items():
+        r.sort(key=lambda x: (x[0] is not None, x[0] or 0, x[1].encode(), x[2].encode()))
+        seen, faults = set(), []
+        for _, role, text in r:
+            body = text.strip(" \t\n\v\f\r")
+            faults.append("blank" if not body else "duplicate" if (role, text) in seen else "truncated" if body[-1] not in ".!?" else "")
+            seen.add((role, text))
+        turns = {t for t, _, _ in r if t is not None}
+        cost, audit = op11_edits([(role[:1], f in ("blank", "duplicate"), f == "truncated") for (_, role, _), f in zip(r, faults, strict=True)])
+        left, at, now = [], 0, ""
+        for e in audit:
+            role, text = ("", "") if e == "I" else r[at][1:]
+            at += e != "I"
+            if e != "D":
+                role = role if e == "K" else "assistant" if now == "u" else "user"
+                now = role[:1]
+                left.append(f"{role}:{text}")
+        pairs = [x[1][:1] + y[1][:1] for x, y in zip(r, r[1:], strict=False)]
+        out[c] = (
+            max(turns) - min(turns) + 1 - len(turns) if turns else 0, *(faults.count(f) for f in ("blank", "duplicate", "truncated")),
+            sum(p not in ("su", "ua", "au") for p in pairs), cost, audit, hexed("\n".join(left).encode()),
+        )
+    return out
+
+
+def op12(rows, least=0.9):
+    """rows: (vec_id, vector), all pairs. One (vec_id, n_links, component_id) each, in order; ids may come again."""
+    import numpy as np
+
+    sound = [v is not None and len(v) > 0 and all(x is not None and np.isfinite(x) for x in v) and any(v) for _, v in rows]
+    unit = [np.array(v, float) / np.linalg.norm(np.array(v, float)) if s else None for s, (_, v) in zip(sound, rows, strict=True)]
+    n, up = [0] * len(rows), list(range(len(rows)))
+
+    def top(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for i, u in enumerate(unit):
+        for j in range(i):
+            if u is not None and unit[j] is not None and len(u) == len(unit[j]) and u @ unit[j] >= least:
+                n[i], n[j] = n[i] + 1, n[j] + 1
+                up[top(i)] = top(j)
+    name = {}
+    for i, (k, _) in enumerate(rows):
+        t = top(i)
+        name[t] = k if name.get(t) is None else name[t] if k is None else min(k, name[t])
+    return [(k, n[i], name[top(i)]) for i, (k, _) in enumerate(rows)]
