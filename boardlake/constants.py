@@ -52,3 +52,13 @@ COUNTRIES = {name.lower(): code for code, name in COUNTRY_NAMES.items()} | {
     "nederland": "NL", "the netherlands": "NL", "deutschland": "DE", "espana": "ES", "brasil": "BR", "czechia": "CZ", "korea": "KR", "republic of korea": "KR", "viet nam": "VN",
     "uae": "AE", "russian federation": "RU", "turkiye": "TR", "schweiz": "CH", "italia": "IT", "polska": "PL", "belgique": "BE", "osterreich": "AT", "sverige": "SE", "norge": "NO", "danmark": "DK",
 }
+#: What the extract's country is told by, in order, and the country.
+EXTRACT_COUNTRIES = {
+    "united states": "United States", "u.s.": "United States", "u.s.a.": "United States", "usa": "United States", "canada": "Canada", "united kingdom": "United Kingdom", "uk": "United Kingdom",
+    "great britain": "United Kingdom", "australia": "Australia", "new zealand": "New Zealand", "germany": "Germany", "france": "France", "spain": "Spain", "italy": "Italy", "ireland": "Ireland",
+    "india": "India", "singapore": "Singapore", "japan": "Japan", "mexico": "Mexico", "brazil": "Brazil", "netherlands": "Netherlands", "belgium": "Belgium", "sweden": "Sweden", "norway": "Norway",
+    "denmark": "Denmark", "finland": "Finland", "switzerland": "Switzerland", "poland": "Poland", "austria": "Austria", "portugal": "Portugal", "south africa": "South Africa",
+}
+#: Words of a location that are no town.
+NO_TOWNS = """remote;hybrid;onsite;on site;work from home;wfh;flexible;anywhere;worldwide;global;international;united states;usa;us;amer;americas;north america;south america;latin america;latam;
+emea;europe;middle east;africa;apac;asia;asia pacific;oceania;various;multiple locations;other;not specified;tbd;n a;undefined;null""".replace("\n", "").split(";")

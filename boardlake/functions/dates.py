@@ -20,25 +20,56 @@ def window_seconds(hours: int = WINDOW_H) -> int:
 
 #: Seconds of the units of a relative date.
 UNITS = {"minute": 60, "hour": 3600, "day": DAY, "week": 7 * DAY, "month": 30 * DAY, "year": 365 * DAY}
-#: Shapes of written dates and how they are read; a text is only parsed in the form that it has.
-_FORMATS = {
-    r"^\d{4}-\d{2}-\d{2}$": "yyyy-MM-dd",
-    r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}$": "yyyy-MM-dd HH:mm:ss",
-    r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}Z$": "yyyy-MM-dd'T'HH:mm:ss'Z'",
-    r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}\.\d{3}Z$": "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'",
-    r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}[+-]\d{2}:\d{2}$": "yyyy-MM-dd'T'HH:mm:ssXXX",
-    r"^[A-Za-z]{4,9} \d{1,2},? \d{4}$": "MMMM d yyyy",
-    r"^[A-Za-z]{3} \d{1,2},? \d{4}$": "MMM d yyyy",
-    r"^\d{1,2} [A-Za-z]{4,9} \d{4}$": "d MMMM yyyy",
-    r"^\d{1,2} [A-Za-z]{3} \d{4}$": "d MMM yyyy",
-    r"^\d{1,2}/\d{1,2}/\d{4}$": "M/d/yyyy",
-}
+MONTHS = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
+#: Hours that zones named by letters are off UTC.
+ZONES = {"z": 0, "utc": 0, "gmt": 0, "est": -5, "edt": -4, "cst": -6, "cdt": -5, "mst": -7, "mdt": -6, "pst": -8, "pdt": -7}
+_CLOCK = r"(?:[ ,]+|(?<=\d)t)(?:at )?(\d{1,2}):(\d{2})(?::(\d{2})(?:\.\d{1,9})?)? ?([ap]m)?(?: ?(" + "|".join(ZONES) + r"))?(?: ?([+-])(\d{2}):?(\d{2}))?$"
+_NAME, _YEAR = r"([a-z]{3,9})\.?", r"(\d{4}|\d{2})"
+#: Shapes of a day and which of their groups are year, month and day; 0 is the first.
+_DAYS = (
+    (r"^(\d{4})[-/.](\d{1,2})[-/.](\d{1,2})$", (1, 2, 3)),
+    (r"^(\d{1,2})[-/.](\d{1,2})[-/.]" + _YEAR + "$", (3, 1, 2)),
+    ("^" + _NAME + r"[ -](\d{1,2}),?[ -]" + _YEAR + "$", (3, 1, 2)),
+    (r"^(\d{1,2})[ -]" + _NAME + ",?[ -]" + _YEAR + "$", (3, 2, 1)),
+    ("^" + _NAME + r",? (\d{4})$", (2, 1, 0)),
+    (r"^(\d{4})-(\d{2})$", (1, 2, 0)),
+    (r"^(\d{4})$", (1, 0, 0)),
+)
+
+
+def _let(value: Column, use) -> Column:
+    """use(value), with value computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _month(word: Column) -> Column:
+    """Number of a month from its number or from three letters of its name or more."""
+    named = F.array(*[F.lit(m) for m in MONTHS])
+    place = F.get(F.filter(F.transform(named, lambda m, i: F.when(m.startswith(word), i + 1)), lambda i: i.isNotNull()), F.lit(0))
+    return F.when(word.rlike("^\\d"), word.try_cast("int")).otherwise(place)
 
 
 def _written(text: Column) -> Column:
-    """Epoch seconds of a written date. May is both a short and a whole name."""
-    bare = F.replace(text, F.lit(","), F.lit(""))
-    return F.coalesce(*[F.when(text.rlike(shape), F.unix_timestamp(F.try_to_timestamp(bare, F.lit(form)))) for shape, form in _FORMATS.items()])
+    """Epoch seconds of a written date: a day in one of the shapes, with or without a weekday, a time and a zone; UTC if none is named.
+
+    Years of two digits are of 1950 to 2049.
+    """
+    lower = F.regexp_replace(F.lower(text), r"^(?:mon|tue|wed|thu|fri|sat|sun)[a-z]*\.?,? ", "")
+    shape = lambda pattern, groups: (lambda day: F.when(day.rlike(pattern), F.array(*[F.regexp_extract(day, pattern, g) if g else F.lit("1") for g in groups])))
+    shapes = [shape(*x) for x in _DAYS]
+    clock = lambda g: F.regexp_extract(lower, _CLOCK, g)
+    hour = F.when(clock(4) == "", clock(1).try_cast("int")).otherwise(clock(1).try_cast("int") % 12 + F.when(clock(4) == "pm", 12).otherwise(0))
+    named = F.create_map(*[F.lit(x) for kv in ZONES.items() for x in kv])[clock(5)] * 3600
+    signed = F.when(clock(6) == "-", -1).otherwise(1) * (clock(7).try_cast("int") * 3600 + clock(8).try_cast("int") * 60)
+    number = lambda c, least=0: F.coalesce(c.try_cast("int"), F.lit(least))
+
+    def read(day: Column) -> Column:
+        year = day[0].try_cast("int") + F.when(F.length(day[0]) == 4, 0).when(day[0] < "50", 2000).otherwise(1900)
+        at = F.try_make_timestamp(year, _month(day[1]), day[2].try_cast("int"), number(hour), number(clock(2)), number(clock(3)), F.lit("UTC"))
+        return F.unix_timestamp(at) - F.coalesce(signed, named, F.lit(0))
+
+    bare = F.trim(F.regexp_replace(lower, _CLOCK, ""))
+    return _let(_let(bare, lambda day: F.coalesce(*[f(day) for f in shapes])), read)
 
 
 def posting_epoch(raw: Column, now: int) -> Column:
@@ -59,12 +90,11 @@ def posting_epoch(raw: Column, now: int) -> Column:
     spoken = F.when(text.rlike(relative), now - F.floor(F.greatest(fifths, F.lit(0)) * unit / 5))
     plain = F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(F.trim(raw), r"(?i)^posted\s+", ""), r"(?i)\b(\d{1,2})(st|nd|rd|th)\b", "$1"), r"\s+", " "))
     digits = F.when(plain.rlike(r"^\d{13}$"), F.substring(plain, 1, 10)).when(plain.rlike(r"^\d{10,12}$"), plain).try_cast("bigint")
-    # month names in any case; the letters of a time stamp are capitals
-    named = F.when(plain.rlike("^[0-9]{4}-"), F.upper(plain)).otherwise(F.initcap(plain))
+    named = F.lower(plain)
     this_year = F.year(F.timestamp_seconds(F.lit(now)))
     in_year = lambda y: _written(F.concat_ws(" ", named, y.cast("string")))
     nearest = lambda this: F.when(this > now + DAY, F.coalesce(in_year(this_year - 1), this)).otherwise(this)
-    undated = F.when(named.rlike(r"^[A-Za-z]{3,9} \d{1,2}$"), F.get(F.transform(F.array(in_year(this_year)), nearest), F.lit(0)))
+    undated = F.when(named.rlike(r"^[a-z]{3,9} \d{1,2}$"), _let(in_year(this_year), nearest))
     return F.coalesce(
         F.when(text.isin("new", "now", "just now", "today", "posted today"), F.lit(now)),
         F.when(text.isin("yesterday", "posted yesterday"), F.lit(now - DAY)),
@@ -186,6 +216,29 @@ def dt_forms(spark, sf_dir) -> DataFrame:
     )
 
 
+#: Spellings of a day and time, in SQL with {y} year, {m} and {d} month and day of two digits, {b} short and {B} whole month name, {a} weekday.
+_SPELLED = """CASE doc_id % 20 WHEN 0 THEN {y} || '-' || {m} || '-' || {d} || 'T' || hms WHEN 1 THEN {y} || '-' || {m} || '-' || {d} || 'T' || hms || '+0000' WHEN 2 THEN {y} || '-' || {m} || '-' || {d} || 'T' || hms || '.123456Z'
+WHEN 3 THEN {y} || '/' || {m} || '/' || {d} WHEN 4 THEN {m} || '/' || {d} || '/' || substr({y}, 3, 2) WHEN 5 THEN 'Sept 5, 2023' WHEN 6 THEN {a} || ', ' || {d} || ' ' || {b} || ' ' || {y} || ' ' || hms || ' GMT'
+WHEN 7 THEN {y} || '-' || {m} || '-' || {d} || 'T' || hms || '-05:30' WHEN 8 THEN {b} || ' ' || {d} || ', ' || {y} || ' 3:' || mm || ' PM' WHEN 9 THEN {d} || '-' || {b} || '-' || {y} WHEN 10 THEN {y} || '-' || {m} || '-' || {d} || ' ' || hm
+WHEN 11 THEN {b} || ' ' || {d} || ' ' || {y} || ' ' || hms || ' EST' WHEN 12 THEN '31/31/2024' WHEN 13 THEN 'Posted ' || {a} || ' ' || {B} || ' ' || {d} || 'th, ' || {y} WHEN 14 THEN {m} || '/' || {d} || '/' || {y} || ' 12:' || mm || ' am'
+WHEN 15 THEN {B} || ' ' || {y} WHEN 16 THEN {y} || '-' || {m} WHEN 17 THEN {y} || '-' || {m} || '-' || {d} || 'T' || hm || 'Z' WHEN 18 THEN 'Mayor ' || {d} || ', ' || {y} ELSE {y} || '-' || {m} || '-' || {d} || ' ' || hms || '.5 +02:00' END"""
+
+
+@query(
+    f"""WITH d AS (SELECT doc_id, doc_id % 20 AS k, epoch({_DUCK_DAY})::BIGINT AS day, epoch(date_trunc('month', {_DUCK_DAY}))::BIGINT AS month, doc_id * 5 % 24 * 3600 AS h, doc_id * 7 % 60 * 60 AS m, doc_id * 13 % 60 AS s FROM documents)
+SELECT doc_id, (CASE WHEN k IN (0, 1, 2, 6) THEN day + h + m + s WHEN k IN (3, 4, 9, 13) THEN day WHEN k = 5 THEN 1693872000 WHEN k = 7 THEN day + h + m + s + 19800 WHEN k = 8 THEN day + 15 * 3600 + m
+WHEN k IN (10, 17) THEN day + h + m WHEN k = 11 THEN day + h + m + s + 18000 WHEN k = 14 THEN day + m WHEN k IN (15, 16) THEN month WHEN k = 19 THEN day + h + m + s - 7200 END)::BIGINT AS date_epoch FROM d"""
+)
+def dt_written(spark, sf_dir) -> DataFrame:
+    """Days and times of every document in twenty written shapes, two of which are none."""
+    part = lambda form: f"date_format(day, '{form}')"
+    shapes = _SPELLED.format(y=part("yyyy"), m=part("MM"), d=part("dd"), b=part("MMM"), B=part("MMMM"), a=part("EEE"))
+    two = lambda x: f"lpad(CAST({x} AS STRING), 2, '0')"
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").selectExpr("doc_id", f"{_DAY} AS day", f"{two('doc_id * 5 % 24')} AS hh", f"{two('doc_id * 7 % 60')} AS mm", f"{two('doc_id * 13 % 60')} AS ss")
+    rows = rows.selectExpr("doc_id", "day", "mm", "hh || ':' || mm AS hm", "hh || ':' || mm || ':' || ss AS hms").selectExpr("doc_id", f"{shapes} AS raw")
+    return rows.select("doc_id", posting_epoch(F.col("raw"), NOW).alias("date_epoch"))
+
+
 @query(
     f"""WITH {POSTINGS}, s AS (SELECT *, 'Source date unavailable (synced to database on ' || strftime(make_timestamp(first_seen_epoch * 1000000), '%Y-%m-%d') || ')' AS stored FROM postings)
 SELECT posting_id, CASE WHEN trim(posting_date) <> '' THEN trim(posting_date) ELSE stored END AS label,

@@ -59,9 +59,10 @@ def region(text: Column, country: Column) -> Column:
 
 
 def infer_geo(text: Column) -> Column:
-    """Struct of country and region: the last segment that is a country, else the US where a state stands."""
+    """Struct of country and region: the last segment that is a country or a state by name, else the US where a state stands."""
     parts = F.reverse(F.transform(F.split(F.coalesce(text, F.lit("")), r"[,/|;]|-\s"), lambda p: geo_text(p)))
-    names = _map(COUNTRIES)
+    names = _map(COUNTRIES | {n.lower(): "US" for n in STATES.values()})  # so that New Mexico isn't Mexico
+
     def code(part: Column) -> Column:
         """The segment, or else its last four, three, two words or word, as a country."""
         words = F.split(part, " ")
@@ -95,11 +96,11 @@ _LINES = [
 
 
 @query(
-    f"""WITH {POSTINGS}, h(r, places) AS (VALUES (0, 'Austin||,Denver||,Seattle||,|AZ|US'), (1, 'DC||,|WA|US'), (2, 'Boston||,Kent||,MA||'), (3, '')),
+    f"""WITH {POSTINGS}, h(r, places) AS (VALUES (0, 'Austin||,Denver||,Seattle||,|AZ|US'), (1, '|DC|US,|WA|US'), (2, 'Boston||,Kent||,|MA|US'), (3, '')),
 c(location, cities, states) AS (VALUES ('Seattle, WA', ['Seattle'], ['WA']), ('Kent, WA', ['Kent'], ['WA']), ('Perth, WA, Australia', ['Perth'], ['']), ('US-WA-Redmond', ['Redmond'], ['WA']),
 ('Washington, DC', ['Washington'], ['DC']), ('Denver, CO; Austin, TX', ['Denver', 'Austin'], ['CO', 'TX']), ('Berlin, Germany', ['Berlin'], ['']), ('Hybrid - Boston, MA', ['Boston'], ['MA']),
 ('London, United Kingdom', ['London'], ['']), ('Portland, OR 97201', ['Portland'], ['OR']), ('Mumbai, India', ['Mumbai'], ['']), ('Chicago, IL or Remote', ['Chicago'], ['IL']), ('Florence Kentucky', ['Florence'], ['KY'])),
-o(r, cities, states) AS (VALUES (0, ['Austin', 'Denver', 'Seattle'], ['AZ']), (1, ['DC'], ['WA']), (2, ['Boston', 'Kent', 'MA'], []))
+o(r, cities, states) AS (VALUES (0, ['Austin', 'Denver', 'Seattle'], ['AZ']), (1, [], ['DC', 'WA']), (2, ['Boston', 'Kent'], ['MA']))
 SELECT posting_id, places, coalesce((SELECT bool_or(NOT list_contains(o.cities, x.city) AND NOT list_contains(o.states, x.state)) FROM (SELECT unnest(c.cities) AS city, unnest(c.states) AS state) x), false) AND o.r IS NOT NULL AS conflict
 FROM postings JOIN h ON posting_id % 4 = h.r LEFT JOIN c USING (location) LEFT JOIN o ON posting_id % 4 = o.r"""
 )

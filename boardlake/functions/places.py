@@ -10,7 +10,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from boardlake.constants import COUNTRIES, COUNTRY_NAMES, COUNTRY_REGIONS, STATES
+from boardlake.constants import COUNTRIES, COUNTRY_NAMES, COUNTRY_REGIONS, EXTRACT_COUNTRIES, STATES
 from boardlake.functions.geo import entries, per_distinct
 from boardlake.functions.hiring import infer_geo
 from boardlake.functions.text import geo_text, like_text
@@ -132,10 +132,9 @@ def in_place(
 
 
 def simple_country(text: Column) -> Column:
-    """Country name of the extract: the longest known name that occurs, else United States by a state code in the last two parts."""
+    """Country name of the extract: the first of its few names that occurs, else United States by a state code in the last two parts."""
     low, parts = F.lower(F.coalesce(text, F.lit(""))), F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), ","), lambda p: F.trim(p)), lambda p: p != "")
-    # names of two letters would occur in many words
-    named = [F.when(low.contains(n), COUNTRY_NAMES[c]) for n, c in sorted(COUNTRIES.items(), key=lambda x: (-len(x[0]), x)) if len(n) > 3]
+    named = [F.when(low.contains(n), country) for n, country in EXTRACT_COUNTRIES.items()]
     coded = F.exists(F.slice(parts, F.greatest(F.size(parts) - 1, F.lit(1)), 2), lambda p: F.upper(p).isin(*STATES))
     return F.coalesce(*named, F.when((F.size(parts) > 0) & coded, "United States"), F.lit("Unknown"))
 
@@ -185,6 +184,11 @@ def ge_place_filters(spark, sf_dir) -> DataFrame:
     )
 
 
-@query(f"WITH {_WHERE} SELECT c_custkey, CASE WHEN k IN (1, 2) THEN country_name ELSE 'United States' END AS country FROM w")
+_KNOWN = """('Canada', 'United Kingdom', 'Australia', 'New Zealand', 'Germany', 'France', 'Spain', 'Italy', 'Ireland', 'India', 'Singapore', 'Japan', 'Mexico', 'Brazil', 'Netherlands', 'Belgium', 'Sweden', 'Norway',
+'Denmark', 'Finland', 'Switzerland', 'Poland', 'Austria', 'Portugal', 'South Africa', 'United States')"""
+
+
+@query(f"""WITH {_WHERE} SELECT c_custkey, CASE WHEN k IN (1, 2) THEN CASE WHEN country_name IN {_KNOWN} THEN country_name WHEN country_name = 'Ukraine' THEN 'United Kingdom' ELSE 'Unknown' END
+ELSE 'United States' END AS country FROM w""")
 def ge_simple_country(spark, sf_dir) -> DataFrame:
     return per_distinct(places(spark, sf_dir), "location", "country", simple_country).select("c_custkey", "country")

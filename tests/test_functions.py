@@ -26,6 +26,16 @@ def test_dates(spark):
     assert values(spark, lambda c: dates.posting_epoch(c, NOW), [None]) == [None]
 
 
+def test_written_dates(spark):
+    ten = 1_704_448_800  # 2024-01-05 10:00 UTC
+    given = {
+        "2024-01-05T10:00:00": ten, "2024-01-05T10:00:00+0000": ten, "2024-01-05T10:00:00.123456Z": ten, "2024-01-05 10:00": ten, "2023/11/05": 1_699_142_400, "01/05/24": ten - 36_000, "Sept 5, 2023": 1_693_872_000,
+        "Fri, 05 Jan 2024 10:00:00 GMT": ten, "Friday January 5th, 2024 at 10:00 AM": ten, "5-Jan-2024": ten - 36_000, "Jan 5 2024 05:00 EST": ten, "2024-01-05T12:00:00+02:00": ten, "January 2024": 1_704_067_200,
+        "2024-01": 1_704_067_200, "1/5/50": -631_152_000 + 4 * 86_400, "31/31/2024": None, "Mayor 5, 2024": None, "2024-01-05T25:00:00": None, "5 apples 2024": None, "Posted": None, "12:30": None,
+    }
+    assert dict(zip(given, values(spark, lambda c: dates.posting_epoch(c, NOW), list(given)), strict=True)) == given
+
+
 def test_dates_are_trusted_by_what_they_say(spark):
     got = values(spark, lambda c: dates.trusted_date(c, NOW), ["", None, "Source date unavailable", "soon", "2024-03-01", "2024-01-31"])
     assert [tuple(g) for g in got] == [(None, "missing")] * 3 + [(None, "uncertain")] * 2 + [(NOW, "confirmed")]
@@ -43,6 +53,10 @@ def test_window_keeps_blank_and_drops_unreadable(spark):
         ("Bellevue, South Africa", [("Bellevue", None, "ZA")]), ("Perth, WA, Australia", [("Perth", None, "AU")]), ("US-WA-Redmond", [("Redmond", "WA", "US")]),
         ("Winston-Salem, NC", [("Winston-Salem", "NC", "US")]), ("Washington, DC, United States", [("Washington", "DC", "US")]),
         ("Cambridge, Massachusetts 02139, United States of America", [("Cambridge", "MA", "US")]), ("", []), (None, []),
+        ("Seattle, WA, Austin, TX", [("Seattle", "WA", "US"), ("Austin", "TX", "US")]), ("Charleston West Virginia", [("Charleston", "WV", "US")]),
+        ("Albuquerque New Mexico", [("Albuquerque", "NM", "US")]), ("Georgetown District of Columbia", [("Georgetown", "DC", "US")]), ("Portland, Washington, DC", [("Washington", "DC", "US")]),
+        ("New York, NY", [(None, "NY", "US")]), ("Mumbai Remote", [("Mumbai", None, None)]), ("Ontario", [("Ontario", None, None)]), ("Toronto, ON M5V 2T6, Canada", [("Toronto", None, "CA")]),
+        ("Multiple Locations", []), ("Texas", [(None, "TX", "US")]), ("Denver, CO / Remote (Boise, ID)", [("Denver", "CO", "US"), ("Boise", "ID", "US")]),
     ],
 )
 def test_places(spark, place, want):
@@ -133,8 +147,15 @@ def test_hiring_clauses_open_whole_states(spark):
 
 
 def test_country_and_region(spark):
-    got = values(spark, hiring.infer_geo, ["Paris, France", "Boise, ID", "Remote, EMEA", "", None])
-    assert [tuple(g) for g in got] == [("FR", "EMEA"), ("US", "AMER"), (None, "EMEA"), (None, None), (None, None)]
+    got = values(spark, hiring.infer_geo, ["Paris, France", "Boise, ID", "Remote, EMEA", "", None, "Albuquerque New Mexico", "Puebla, Mexico"])
+    assert [tuple(g) for g in got] == [("FR", "EMEA"), ("US", "AMER"), (None, "EMEA"), (None, None), (None, None), ("US", "AMER"), ("MX", "AMER")]
+
+
+def test_country_of_the_extract(spark):
+    from boardlake.functions import places
+
+    given = {"Malibu, CA": "United States", "Roman Forest, TX": "United States", "Peru, IN": "United States", "Lima, Peru": "Unknown", "Köln, Germany": "Germany", "London UK": "United Kingdom", "": "Unknown"}
+    assert dict(zip(given, values(spark, places.simple_country, list(given)), strict=True)) == given
 
 
 def test_sources(spark):
