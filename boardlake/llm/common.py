@@ -70,10 +70,16 @@ def row_bytes(df: DataFrame) -> Column:
     return width
 
 
-def small_enough(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
-    """df marked for broadcast if its rows have at most so many bytes, else df as it is (a shuffled join)."""
+def fits(df: DataFrame, most: int | None = None) -> DataFrame | None:
+    """df marked for broadcast if its rows have at most so many bytes (BROADCAST_BYTES), else none."""
     total = df.agg(F.sum(row_bytes(df))).first()[0] or 0
-    return F.broadcast(df) if total <= most else df
+    return F.broadcast(df) if total <= (BROADCAST_BYTES if most is None else most) else None
+
+
+def small_enough(df: DataFrame, most: int | None = None) -> DataFrame:
+    """df marked for broadcast if it fits, else df as it is (a shuffled join)."""
+    small = fits(df, most)
+    return df if small is None else small
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

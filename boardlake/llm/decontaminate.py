@@ -1,7 +1,8 @@
 """Benchmark decontamination with DataFrame operations alone.
 
 Method: the distinct windows of 13 normalised words of the test items are hashed into one
-broadcast hash relation (its size is checked; beyond the bound the same join is shuffled).
+broadcast hash relation (its size is checked; beyond the bound the same join is shuffled, each
+window under several keys, so that a passage in very many documents is dealt over tasks).
 Every document is split into words once. Flags of the windows' first two words and of whole
 windows, broadcast too, say at each word position whether a window can begin there; only such
 windows are looked up in the hash relation and verified word by word. The union of a
@@ -13,11 +14,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from boardlake.llm.common import ascii_lower, fresh, materialise, small_enough
+from boardlake.llm.common import ascii_lower, fits, fresh, materialise, small_enough
 
 WINDOW = 13
 #: Flags for each window, and how many at most; more windows than they can tell apart are looked up more often, nothing else.
 FLAGS, MOST_FLAGS = 64, 1 << 23
+#: Keys that the occurrences of one window are dealt over where the windows are too many for a broadcast.
+SPLIT = 16
 _PART = 1024
 _BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _SPANS = "array<struct<at:int,end:int>>"
@@ -77,18 +80,25 @@ def _scan(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     size = _PART
     while size < min(FLAGS * sum(lengths.values()), MOST_FLAGS):
         size *= 2
-    docs = documents.select(
-        F.col("doc_id").alias("_doc"), F.xxhash64("text").alias("_text"), words(F.col("text")).alias("_w"), _flags(found, size).alias("_flags")
-    )
+    source = documents.select(F.col("doc_id").alias("_doc"), F.xxhash64("text").alias("_text"), words(F.col("text")).alias("_w"))
+    docs = source.withColumn("_flags", _flags(found, size))
     kind = "array<struct<at:int,n:int,words:array<string>>>"
     every = F.array(F.struct(F.lit(0).alias("at"), F.lit(0).alias("n"), F.array().cast("array<string>").alias("words"))).cast(kind)
     tried = [_windows_at(F.col("_w"), F.col("_flags"), size, n).cast(kind) for n in sorted(lengths)]
     each = docs.select("_doc", "_text", F.size("_w").cast("long").alias("_words"), F.explode(F.concat(every, *tried)).alias("k")).select(
         "_doc", "_text", "_words", F.col("k.at").alias("_at"), F.col("k.n").alias("_n"), F.col("k.words").alias("_window"), F.xxhash64("k.words").alias("_h")
     )
-    test = small_enough(found.select("_key", "_item", F.col("_n").alias("_m"), F.col("_words").alias("_x")))
+    test = found.select("_key", "_item", F.col("_n").alias("_m"), F.col("_words").alias("_x"))
     same = (F.col("_h") == F.col("_key")) & (F.col("_n") == F.col("_m")) & (F.col("_window") == F.col("_x"))
-    return each.join(test, same, "left").filter((F.col("_n") == 0) | F.col("_key").isNotNull()).select("_doc", "_text", "_words", "_at", "_n", "_item")
+    columns = ["_doc", "_text", "_words", "_at", "_n", "_item"]
+    if (small := fits(test)) is not None:
+        return each.join(small, same, "left").filter((F.col("_n") == 0) | F.col("_key").isNotNull()).select(columns)
+    # shuffled: documents' own rows stay out of the join, and a window's occurrences are dealt over SPLIT keys
+    each = materialise(each)
+    dealt = each.filter("_n > 0").withColumn("_part", F.pmod(F.xxhash64("_doc", "_text", "_at"), F.lit(SPLIT)))
+    spread = test.withColumn("_of", F.explode(F.sequence(F.lit(0), F.lit(SPLIT - 1))))
+    met = dealt.join(spread, same & (F.col("_part") == F.col("_of")))
+    return each.filter("_n = 0").withColumn("_item", F.lit(None).cast(test.schema["_item"].dataType)).select(columns).unionByName(met.select(columns))
 
 
 def hits(documents: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -5,9 +5,9 @@ has a label. Each passage becomes a feature vector (shares of byte classes, repe
 word length, hashed byte pairs), is encoded by one tanh layer, gets an attention weight from a
 gate tanh(V h) * sigmoid(U h), and the weighted sum of encodings gives the document's score.
 
-Fitting takes a sample of at most LABELLED labelled rows, those of lowest hash, and of each text
-at most PASSAGES passages, spread evenly over it; both bounds are parameters. Scoring runs over
-every passage of every text.
+Fitting takes a sample of at most LABELLED labelled rows, those of lowest hash, and of these as many
+as have MOST_PASSAGES passages together; both bounds are parameters. Every passage of a row that is
+taken is encoded. Scoring runs over every passage of every text.
 The model has a fixed size of some ten thousand numbers and travels in the task's closure.
 """
 
@@ -18,12 +18,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from boardlake.llm.common import drop, materialise
+
 PASSAGE = 400
 LABELLED = 6_000
-PASSAGES = 64
+#: Passages that the rows of a fit have together, at most (of 93 float32 numbers, so some 110 MB).
+MOST_PASSAGES = 300_000
 THRESHOLD = 0.3
 FOLDS = 5
 PAIRS = 64
@@ -151,33 +154,39 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % FOLDS == 0, F.lit(False))
 
 
-def train(documents: DataFrame, labels: DataFrame, most: int = LABELLED, passages: int = PASSAGES) -> Model | None:
+def train(documents: DataFrame, labels: DataFrame, most: int = LABELLED, passages: int = MOST_PASSAGES) -> Model | None:
     """A model from labels outside the held-out fold; none if there are no two kinds of labels.
 
     Labels other than 0 and 1 and null doc_ids are left out, and so are doc_ids whose labels
-    contradict each other; repeated labels count once. Null texts are empty ones; rows of one
-    doc_id are one bag each. Further columns are left out. The sample's order, and so the model,
-    follows from the rows alone.
+    contradict each other; repeated labels count once. Null texts are empty ones; of rows of one
+    doc_id the least text is taken. Further columns are left out. The sample's order, and so the
+    model, follows from the rows alone.
     """
     sample = (
         labels.filter(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1) & ~held_out(F.col("doc_id")))
         .groupBy(F.col("doc_id").alias("_d")).agg(F.min(F.col("quality").cast("int")).alias("_y"), F.max(F.col("quality").cast("int")).alias("_z"))
         .filter("_y = _z").select("_d", "_y").orderBy(F.xxhash64("_d"), "_d").limit(most)
     )
-    texts = documents.join(F.broadcast(sample), F.col("doc_id") == F.col("_d"))  # at most so many rows of two numbers
+    texts = documents.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("_d"))  # at most so many rows of two numbers
+    texts = texts.groupBy(F.col("_d").alias("d"), F.col("_y").alias("y")).agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
+    # a text has at most one passage more than PASSAGE goes into its bytes
+    upto = F.sum(F.floor(F.octet_length("text") / PASSAGE) + 1).over(Window.orderBy(F.xxhash64("d"), "d"))
+    texts = materialise(texts)  # at most so many rows, which two steps read
+    chosen = texts.select("d", upto.alias("_upto")).filter(F.col("_upto") <= passages).select("d")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, batch.num_rows, 16):
                 part = batch.slice(i, 16)
                 x, counts = features(part.column(2).to_pylist())
-                bags = [b if len(b) <= passages else b[np.linspace(0, len(b) - 1, passages).astype(int)] for b in np.split(x, np.cumsum(counts)[:-1])]
+                bags = np.split(x, np.cumsum(counts)[:-1])
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), part.column(1), pa.array([b.tobytes() for b in bags], pa.binary())], names=["d", "y", "x"]
                 )
 
-    found = texts.select(F.col("_d").alias("d"), F.col("_y").alias("y"), "text").mapInArrow(run, "d bigint, y int, x binary").toArrow().to_pylist()
-    rows = sorted(found, key=lambda r: (r["d"], r["x"]))
+    found = texts.join(F.broadcast(chosen), "d").select("d", "y", "text").mapInArrow(run, "d bigint, y int, x binary").toArrow().to_pylist()
+    drop(texts)
+    rows = sorted(found, key=lambda r: r["d"])
     y = np.array([r["y"] for r in rows], np.float32)
     if len(set(y.tolist())) < 2:
         return None

@@ -116,16 +116,15 @@ def limits(measured: DataFrame, c: str) -> DataFrame:
 
 
 def judge(measured: DataFrame, most: DataFrame, c: str, kept: str) -> DataFrame:
-    """measured with boolean column kept."""
-    joined = measured.join(
-        small_enough(most),
-        F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source")),
-        "left",
-    )
+    """measured with boolean column kept; the columns of limits() get names that measured doesn't have."""
+    name = {x: fresh(x, [*measured.columns, kept]) for x in most.columns}
+    most = small_enough(most.select(*[F.col(x).alias(y) for x, y in name.items()]))
+    of = lambda x: measured[f"`{x}`"].eqNullSafe(F.col(name[f"_{x}"]))
+    joined = measured.join(most, of("lang") & of("source"), "left")
     passed = ~base_failed(c)
     for m in METRICS:
-        passed = passed & (_metric(c, m) <= F.coalesce(F.col(f"_max_{m}"), F.lit(1000)))
-    return joined.withColumn(kept, passed).select(*measured.columns, kept)
+        passed = passed & (_metric(c, m) <= F.coalesce(F.col(name[f"_max_{m}"]), F.lit(1000)))
+    return joined.withColumn(kept, passed).select(*[F.col(f"`{x}`") for x in measured.columns], kept)
 
 
 def quality(documents: DataFrame) -> DataFrame:
