@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from boardlake.functions.dates import within_window
 from boardlake.operators import lifecycle
 from boardlake.registry import query
+from boardlake.sources.folders import shared_folder
 from boardlake.sources.postings import NOW
 
 
@@ -128,17 +126,6 @@ def upsert_stream(incoming: DataFrame, folder: str, now: int) -> DataFrame:
     return spark.read.schema(_SNAPSHOT).parquet(f"{folder}/snapshot-{last[-1]}")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir; a temporary one only where that is unset on one machine (tests)."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
-    if not base:
-        master = spark.sparkContext.master
-        if not master.startswith("local") or master.startswith("local-cluster"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="boardlake-")
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
-
-
 @query(
     """SELECT floor(epoch(time_bucket(INTERVAL 1 HOUR, ts)))::BIGINT AS start, count(*) FILTER (user_id % 3 <> 2) AS kept,
 count(*) FILTER (user_id % 3 = 2) AS dropped FROM events GROUP BY 1"""
