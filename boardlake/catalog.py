@@ -4,10 +4,10 @@ from boardlake.functions import dates, enrich, fields, geo, hiring, industry, pl
 from boardlake.operators import aggregates, filters, history, joins, lifecycle, listing, matching, relevance, similar, upkeep
 from boardlake.registry import ORACLE_SQL, QUERIES
 from boardlake.sources import inspection, pages, payloads
-from boardlake.streaming import streams
+from boardlake.streaming import stateful, streams
 
 MODULES = (
-    aggregates, dates, enrich, fields, filters, geo, hiring, history, industry, inspection, joins, lifecycle, listing, matching, pages, payloads, places, relevance, similar, sources, streams, text, upkeep,
+    aggregates, dates, enrich, fields, filters, geo, hiring, history, industry, inspection, joins, lifecycle, listing, matching, pages, payloads, places, relevance, similar, sources, stateful, streams, text, upkeep,
 )
 FLAGSHIP = "q_listing"
 

@@ -26,26 +26,32 @@ def sightings(events: DataFrame, gap: str = "12 hours", late: str = "1 day") ->
     )
 
 
-def replay(spark: SparkSession, path: str, transform) -> DataFrame:
-    """Run a stream over the files that are there, to its end; each batch writes its whole result to
-    the shared folder, and the last one is read."""
+def replay(spark: SparkSession, path: str, transform, keys: list[str] | None) -> DataFrame:
+    """Run a stream over the files that are there, to its end. Each batch adds the groups that it changed, named by keys, and of
+    each group the last state is read; old state goes as the watermark passes. Without keys (sessions, whose bounds change) each
+    batch writes its whole result, and the last one is read."""
     schema = spark.read.parquet(path).schema
     folder, batches = shared_folder(spark), []
 
     def keep(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{folder}/batch-{number}")
+        batch.write.mode("overwrite").parquet(f"{folder}/rows/batch={number}")
         batches.append(number)
 
     # a pattern, so that one file and a folder of files are both read
     source = spark.readStream.schema(schema).parquet(path.replace(".parquet", "[.]parquet")).withColumn("ts", F.col("ts").cast("timestamp"))
-    run = transform(source).writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+    mode = "update" if keys else "complete"
+    run = transform(source).writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     run.awaitTermination()
-    return spark.read.parquet(f"{folder}/batch-{batches[-1]}")
+    if not keys:
+        return spark.read.parquet(f"{folder}/rows/batch={batches[-1]}")
+    told = spark.read.option("basePath", f"{folder}/rows").parquet(f"{folder}/rows")
+    values = [c for c in told.columns if c not in (*keys, "batch")]
+    return told.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch").alias("v")).select(*keys, *[f"v.{c}" for c in values])
 
 
 @query("SELECT floor(epoch(time_bucket(INTERVAL 1 HOUR, ts)))::BIGINT AS start, event_type AS source, count(*) AS n, count(*) FILTER (value < 5) AS failed FROM events GROUP BY 1, 2")
 def st_telemetry(spark, sf_dir) -> DataFrame:
-    return replay(spark, f"{sf_dir}/events.parquet", telemetry)
+    return replay(spark, f"{sf_dir}/events.parquet", telemetry, ["start", "source"])
 
 
 @query(
@@ -54,7 +60,7 @@ s AS (SELECT *, sum(new) OVER (PARTITION BY posting_id ORDER BY ts) AS session F
 SELECT posting_id, floor(epoch(min(ts)))::BIGINT AS listed, floor(epoch(max(ts) + INTERVAL 12 HOUR))::BIGINT AS delisted, count(*) AS n FROM s GROUP BY posting_id, session"""
 )
 def st_lifecycle(spark, sf_dir) -> DataFrame:
-    return replay(spark, f"{sf_dir}/events.parquet", sightings)
+    return replay(spark, f"{sf_dir}/events.parquet", sightings, None)
 
 
 def timeouts(events: DataFrame, length: str = "10 minutes", every: str = "5 minutes", late: str = "2 hours") -> DataFrame:
@@ -69,7 +75,7 @@ def timeouts(events: DataFrame, length: str = "10 minutes", every: str = "5 minu
 SELECT start - back AS start, source, count(*) AS n FROM s, (VALUES (0), (300)) b(back) GROUP BY 1, 2"""
 )
 def st_timeouts(spark, sf_dir) -> DataFrame:
-    return replay(spark, f"{sf_dir}/events.parquet", timeouts)
+    return replay(spark, f"{sf_dir}/events.parquet", timeouts, ["start", "source"])
 
 
 STALL, EPISODE = 7_200, 21_600
@@ -132,7 +138,7 @@ count(*) FILTER (user_id % 3 = 2) AS dropped FROM events GROUP BY 1"""
 )
 def st_classify(spark, sf_dir) -> DataFrame:
     date = F.element_at(F.array(F.lit("today"), F.lit("yesterday"), F.lit("9 days ago")), (F.col("user_id") % 3).cast("int") + 1)
-    return replay(spark, f"{sf_dir}/events.parquet", lambda events: dropped(events.withColumn("posting_date", date), NOW))
+    return replay(spark, f"{sf_dir}/events.parquet", lambda events: dropped(events.withColumn("posting_date", date), NOW), ["start"])
 
 
 @query(
