@@ -24,7 +24,9 @@ CURRENCIES = ("USD", "CAD", "AUD", "EUR", "GBP", "JPY", "NZD", "CHF", "SEK", "NO
 EDUCATION = {
     "high_school": "high_school", "high school": "high_school", "ged": "high_school", "associate": "associate", "associates": "associate",
     "associate_degree": "associate", "bachelor": "bachelor", "bachelors": "bachelor", "ba": "bachelor", "bs": "bachelor", "b.a.": "bachelor",
-    "b.s.": "bachelor", "master": "master", "masters": "master", "mba": "master", "ms": "master", "ma": "master",
+    "b.s.": "bachelor", "master": "master", "masters": "master", "mba": "master", "ms": "master", "ma": "master", "m.s.": "master", "m.a.": "master",
+    "doctorate": "doctorate", "doctoral": "doctorate", "doctor": "doctorate", "phd": "doctorate", "ph.d.": "doctorate",
+    "certificate": "certificate", "certification": "certificate", "certified": "certificate", "diploma": "certificate",
 }
 #: Sources whose dates are the times of the pass that saw them.
 PASS_DATED = ("paycor", "prismhr")
@@ -57,8 +59,9 @@ def csv_list(c: Column) -> Column:
 
 
 def education_list(c: Column) -> Column:
-    """Distinct known levels of a comma-separated list."""
-    return F.array_compact(F.array_distinct(F.transform(csv_list(c), lambda x: _named(x, EDUCATION))))
+    """Distinct known levels of a comma-separated or JSON list."""
+    items = F.when(F.trim(c).startswith("["), json_list(c)).otherwise(csv_list(c))
+    return F.array_compact(F.array_distinct(F.transform(items, lambda x: _named(x, EDUCATION))))
 
 
 def json_list(c: Column) -> Column:
@@ -200,7 +203,7 @@ def register(spark: SparkSession) -> None:
 
 
 _SPELLINGS = ["Per_Hour", " yearly", "both", "gig", None]
-_LEVELS = ["GED, mba,B.A.", "masters,master", "", "wizard"]
+_LEVELS = ["GED, mba,B.A.", "[\"PhD\", \"diploma\", \"m.s.\", \"doctor\"]", "", "wizard"]
 _LINKS = ["https://x.example.com/en/job/Seattle-WA/1", "jobs.example.org/a", "ftp://a.example.com", "http://x.example.com/job/Paris--Main%20Site/2?x=1"]
 
 
@@ -210,7 +213,7 @@ def _pick(values: list, key: str = "posting_id") -> Column:
 
 @query(
     f"""WITH {POSTINGS}, k(r, kind) AS (VALUES (0, 'hourly'), (1, 'salary'), (2, 'both'), (3, 'unknown'), (4, 'unknown')),
-l(r, levels) AS (VALUES (0, 'high_school,master,bachelor'), (1, 'master'), (2, ''), (3, '')),
+l(r, levels) AS (VALUES (0, 'high_school,master,bachelor'), (1, 'doctorate,certificate,master'), (2, ''), (3, '')),
 u(r, link, place) AS (VALUES (0, 'https://x.example.com/en/job/Seattle-WA/1', 'Seattle WA'), (1, 'https://jobs.example.org/a', NULL), (2, NULL, NULL),
 (3, 'http://x.example.com/job/Paris--Main%20Site/2?x=1', 'Paris- Main Site'))
 SELECT posting_id, kind, levels, link, place, CASE WHEN pay_min > 0 THEN pay_min END AS pay, coalesce(pay_period, '') AS period

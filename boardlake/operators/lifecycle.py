@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from boardlake.constants import DAY, RETENTION_DAYS
+from boardlake.functions.dates import window_seconds, within_window
+from boardlake.functions.fields import location_from_url
 from boardlake.registry import query
 from boardlake.sources.postings import ACTIONS, NOW, POSTINGS, actions, postings
 
@@ -94,6 +98,79 @@ def m_sync_pass(spark, sf_dir) -> DataFrame:
     return after.groupBy(F.col("hidden_reason").alias("reason")).agg(F.count("*").alias("n"), F.count_if(F.col("job_description").isNotNull()).alias("described"))
 
 
+def resolved(incoming: DataFrame, known: DataFrame) -> DataFrame:
+    """incoming with its location: its own, else that of its address, else that of the stored map known (job_posting_url, location)."""
+    stored = known.groupBy(F.col(KEY).alias("_url")).agg(F.max("location").alias("_known"))
+    place = lambda c: F.nullif(F.trim(c), F.lit(""))
+    found = incoming.join(stored, F.col(KEY) == F.col("_url"), "left")
+    return found.withColumn("location", F.coalesce(place(F.col("location")), location_from_url(F.col(KEY)), place(F.col("_known")))).drop("_url", "_known")
+
+
+def next_map(known: DataFrame, incoming: DataFrame, active: DataFrame) -> DataFrame:
+    """The map of places by address after a pass: what the pass resolved replaces what was stored, and addresses that are no longer active go."""
+    told = incoming.filter("location is not null").groupBy(KEY).agg(F.max_by("location", "batch_order").alias("location"))
+    kept = known.join(told.select(KEY), KEY, "left_anti").select(KEY, "location")
+    return kept.unionByName(told).join(active.select(KEY).distinct(), KEY, "left_semi")
+
+
+def sync_pass(current: DataFrame, incoming: DataFrame, known: DataFrame, now: int, hours: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """One pass: postings that are too long unseen are hidden, incoming rows outside the date window are left out, the others get
+    their place and are merged, and what is long hidden goes. Returns the next snapshot, the next map of places and a row of counts.
+    """
+    window = window_seconds(hours)
+    before = prune(current, now, window)
+    gated = incoming.withColumn("_in", within_window(F.col("posting_date"), now, hours))
+    taken = resolved(gated.filter("_in").drop("_in", "posting_date"), known)
+    merged = prune(upsert(before, taken, now), now, window)
+    after = delete_expired(merged, now)
+    urls, had = taken.select(KEY).distinct(), current.select(F.col(KEY).alias("_had")).distinct()
+    met = urls.join(had, F.col(KEY) == F.col("_had"), "left")
+    parts = (
+        gated.agg(F.count_if(~F.col("_in")).alias("excluded")),
+        met.agg(F.count("*").alias("stored"), F.count_if(F.col("_had").isNull()).alias("new"), F.count_if(F.col("_had").isNotNull()).alias("refreshed")),
+        current.agg(F.count_if(~F.col("hidden") & (F.col("last_seen_epoch") < now - window)).alias("pruned")),
+        merged.agg((F.count("*") - F.count_if(~(F.col("hidden") & (F.coalesce("hidden_at_epoch", F.lit(now)) < now - RETENTION_DAYS * DAY)))).alias("deleted")),
+    )
+    summary = reduce(lambda x, y: x.crossJoin(y), parts)  # one row each
+    return after, next_map(known, taken, after.filter(~F.col("hidden"))), summary
+
+
+_PASS_IN = """inc AS (SELECT posting_id, CASE posting_id % 3 WHEN 0 THEN 'https://x.example.com/en/job/Town--' || CAST(posting_id % 50 AS VARCHAR) || '-Hall/' || CAST(posting_id AS VARCHAR) ELSE job_posting_url END AS job_posting_url,
+CASE WHEN posting_id % 2 = 0 THEN location END AS location, posting_date FROM postings)"""
+_IN_WINDOW = """trim(posting_date) = '' OR posting_date = 'yesterday' OR posting_id % 6 = 1 AND posting_id % 20 <= 7 OR posting_id % 6 = 0 AND '2024-01-' || lpad(CAST(posting_id % 28 + 1 AS VARCHAR), 2, '0') >= '2024-01-24'"""
+_PLACED = f"""taken AS (SELECT posting_id, job_posting_url, coalesce(nullif(trim(location), ''), CASE WHEN posting_id % 3 = 0 THEN 'Town- ' || CAST(posting_id % 50 AS VARCHAR) || ' Hall' END,
+CASE WHEN posting_id % 5 = 0 THEN 'Known ' || CAST(posting_id % 7 AS VARCHAR) END) AS location FROM inc WHERE {_IN_WINDOW})"""
+
+
+def _pass(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
+    all_ = postings(spark, sf_dir)
+    rows = all_.withColumns(
+        {
+            KEY: F.when(F.col("posting_id") % 3 == 0, F.concat(F.lit("https://x.example.com/en/job/Town--"), F.col("posting_id") % 50, F.lit("-Hall/"), "posting_id")).otherwise(F.col(KEY)),
+            "location": F.when(F.col("posting_id") % 2 == 0, F.col("location")), "batch_order": F.lit(1),
+        }
+    ).select(KEY, "posting_date", "position_name", "location", "job_description", "pay_min", "pay_max", "batch_order", "posting_id")
+    known = rows.filter("posting_id % 5 = 0").select(KEY, F.concat(F.lit("Known "), F.col("posting_id") % 7).alias("location"))
+    return sync_pass(all_, rows.drop("posting_id"), known, NOW, 168)
+
+
+@query(f"WITH {POSTINGS}, {_PASS_IN}, {_PLACED} SELECT job_posting_url, location FROM taken WHERE location IS NOT NULL UNION ALL SELECT job_posting_url, 'Known ' || CAST(posting_id % 7 AS VARCHAR) FROM inc JOIN postings USING (posting_id, job_posting_url) WHERE posting_id % 5 = 0 AND NOT ({_IN_WINDOW.replace('posting_date', 'inc.posting_date')}) AND NOT hidden AND last_seen_epoch >= 1706659200 - 604800")
+def m_location_map(spark, sf_dir) -> DataFrame:
+    """The map of places after a pass: own places, those of addresses, stored ones; of postings that are still active."""
+    return _pass(spark, sf_dir)[1]
+
+
+@query(
+    f"""WITH {POSTINGS}, {_PASS_IN}, {_PLACED}, m AS (SELECT taken.job_posting_url, p.job_posting_url IS NOT NULL AS had FROM taken LEFT JOIN postings p USING (job_posting_url)),
+a AS (SELECT *, NOT hidden AND last_seen_epoch < 1706659200 - 604800 AS gone FROM postings)
+SELECT (SELECT count(*) FROM inc) - (SELECT count(*) FROM taken) AS excluded, (SELECT count(*) FROM m) AS stored, (SELECT count(*) FROM m WHERE NOT had) AS new, (SELECT count(*) FROM m WHERE had) AS refreshed,
+(SELECT count(*) FROM a WHERE gone) AS pruned, (SELECT count(*) FROM a WHERE (hidden OR gone) AND coalesce(hidden_at_epoch, 1706659200) < 1706659200 - 30 * 86400 AND job_posting_url NOT IN (SELECT job_posting_url FROM taken)) AS deleted"""
+)
+def m_sync_summary(spark, sf_dir) -> DataFrame:
+    """Counts of a pass."""
+    return _pass(spark, sf_dir)[2]
+
+
 def review_state(log: DataFrame) -> DataFrame:
     """State of each posting from its log: last action, first time of each kind, when the state last changed."""
     of = Window.partitionBy("posting_id").orderBy("acted", "event_id")

@@ -263,3 +263,16 @@ def test_stream_merges_files_in_turn(spark, tmp_path):
     source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     got = streams.upsert_stream(source, str(tmp_path / "out"), 9).orderBy("job_posting_url").collect()
     assert [(r.position_name, r.location, r.last_seen_epoch) for r in got] == [("new", "a", 9), ("kept", None, 9)]
+
+
+def test_pay_of_descriptions(spark):
+    from boardlake.functions import pay
+
+    given = {
+        "": None, "no numbers, good pay": None, "401(k) match and salary": None, "Rate: 12": None, "Pay: $12": (12.0, 12.0, "USD", None, "Pay: $12"), "Salary: 70k": (70_000.0, 70_000.0, None, None, "Salary: 70k"),
+        "From 5 to 9, up to $90,000 per year": (5.0, 9.0, None, "year", "5 to 9"), "Compensation<br>&nbsp;minimum of EUR 40,000": (40_000.0, None, "EUR", None, "minimum of EUR 40,000"),
+        "<p>Ages 18 - 65</p><p>Salary 50,000 to 40,000 per month</p>": (40_000.0, 50_000.0, None, "month", "50,000 to 40,000"), "wage: 0 per hour": None,
+    }
+    found = dict(zip(given, values(spark, pay.pay_from_description, list(given)), strict=True))
+    assert {k: tuple(v) if v else v for k, v in found.items()} == given
+    assert values(spark, pay.pay_from_description, [None]) == [None]
