@@ -1,11 +1,17 @@
 """Chat formatting by quotation linking.
 
 Method: the quote level of each line is the number of ">" before it; runs of one level are
-quoted passages. Their normalised lines are hashed and joined, in one conversation, to the
-hashed lines that earlier messages wrote themselves. A message answers the message that wrote
+quoted passages. Their normalised lines are hashed (128 bits) and joined, in one conversation, to
+the hashed lines that earlier messages wrote themselves. A message answers the message that wrote
 most of what it quotes at level one (the latest of several). Answers form threads; each thread
 is put in reply order (an answer comes after what it answers) without its quotes.
 
+A line that more than RARE messages of a conversation wrote isn't joined message by message. Messages
+with the same set of such common lines are one class; classes meet by line, and of the messages
+of all classes that share lines with a class the best so far is a running maximum over turns. So
+a line that all messages write and quote costs rows in proportion to the messages, not their pairs.
+Messages that share rarer lines are held against that with all their lines counted.
+
 Roots of threads are found by pointer doubling, so a thread of n answers takes log n rounds.
 """
 
@@ -14,8 +20,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from boardlake.llm.common import materialise
+from boardlake.llm.common import drop, materialise, small_enough
 
+#: Writers of a line in a conversation up to which they are joined one by one.
+RARE = 16
 _MARKS = r"^[ \t]*(?:>[ \t]?)+"
 MOST_ROUNDS = 40
 
@@ -36,11 +44,48 @@ def _lines(messages: DataFrame) -> DataFrame:
         .withColumn("_level", level(F.col("_line")))
         .withColumn("_norm", norm(F.regexp_replace("_line", _MARKS, "")))
         .filter(F.col("_norm") != "")
-        .select("_conv", "_turn", "_level", F.xxhash64("_norm").alias("_hash"))
+        .select("_conv", "_turn", "_level", F.unhex(F.md5("_norm")).alias("_hash"))
         .distinct()
     )
 
 
+def _classes(lines: DataFrame, who: str) -> tuple[DataFrame, DataFrame]:
+    """(_conv, who, _class) of each message by its set of common lines, and (_conv, _class, _hash) of each class."""
+    told = F.sha2(F.array_join(F.array_sort(F.collect_set(F.hex("_hash"))), ","), 256)
+    members = lines.groupBy("_conv", who).agg(told.alias("_class"))
+    return members, lines.join(members, ["_conv", who]).select("_conv", "_class", "_hash").distinct()
+
+
+def _answered(lines: DataFrame) -> DataFrame:
+    """_conv, _turn, _to: of each message that quotes an earlier one's lines, the one that wrote most of them, the latest of several."""
+    own = lines.filter("_level = 0").select("_conv", F.col("_turn").alias("_from"), "_hash")
+    quoted = lines.filter("_level = 1").select("_conv", "_turn", "_hash")
+    common = materialise(own.groupBy("_conv", "_hash").agg(F.count("*").alias("_n")).filter(F.col("_n") > RARE).select("_conv", "_hash"))
+    few = small_enough(common)
+    part = lambda df, how: df.join(few, ["_conv", "_hash"], how)
+    rare = part(quoted, "left_anti").join(part(own, "left_anti"), ["_conv", "_hash"]).filter("_from < _turn").groupBy("_conv", "_turn", "_from").agg(F.count("*").alias("n"))
+    best = lambda df: df.groupBy("_conv", "_turn").agg(F.max(F.struct("n", "_from")).alias("b")).select("_conv", "_turn", F.col("b._from").alias("_to"))
+    if common.isEmpty():
+        return best(rare)
+    writers, written = (materialise(x) for x in _classes(part(own, "left_semi"), "_from"))
+    askers, asked = (materialise(x) for x in _classes(part(quoted, "left_semi"), "_turn"))
+    shared = materialise(
+        asked.withColumnRenamed("_class", "_q").join(written.withColumnRenamed("_class", "_o"), ["_conv", "_hash"]).groupBy("_conv", "_q", "_o").agg(F.count("*").alias("_c"))
+    )
+    said = shared.join(writers.withColumnRenamed("_class", "_o"), ["_conv", "_o"]).select("_conv", "_q", F.col("_from").alias("_turn"), "_c")
+    asks = askers.select("_conv", F.col("_class").alias("_q"), "_turn", F.lit(None).cast("long").alias("_c"))
+    before = Window.partitionBy("_conv", "_q").orderBy("_turn").rangeBetween(Window.unboundedPreceding, -1)
+    latest = F.max(F.when(F.col("_c").isNotNull(), F.struct(F.col("_c").alias("n"), F.col("_turn").alias("_from")))).over(before)
+    by_common = said.unionByName(asks).withColumn("_best", latest).filter("_c is null and _best is not null").select("_conv", "_turn", "_best._from", "_best.n")
+    both = (
+        rare.join(askers.withColumnRenamed("_class", "_q"), ["_conv", "_turn"], "left").join(writers.withColumnRenamed("_class", "_o"), ["_conv", "_from"], "left")
+        .join(shared, ["_conv", "_q", "_o"], "left").select("_conv", "_turn", "_from", (F.col("n") + F.coalesce("_c", F.lit(0))).alias("n"))
+    )
+    out = materialise(best(both.unionByName(by_common)))
+    drop(common, writers, written, askers, asked, shared)
+    return out
+
+
 def unquoted(text: Column) -> Column:
     """The lines that the message wrote itself, without blank lines at both ends."""
     own = F.filter(F.split(text, "\n", -1), lambda x: level(x) == 0)
@@ -64,25 +109,23 @@ def link(messages: DataFrame) -> DataFrame:
     )
     whole = materialise(whole)
     lines = materialise(_lines(whole))
-    own = lines.filter("_level = 0").select("_conv", F.col("_turn").alias("_from"), "_hash")
-    quoted = lines.filter("_level = 1").select("_conv", "_turn", "_hash")
-    met = (
-        quoted.join(own, ["_conv", "_hash"]).filter("_from < _turn").groupBy("_conv", "_turn", "_from").agg(F.count("*").alias("n"))
-        .groupBy("_conv", "_turn").agg(F.max(F.struct("n", "_from")).alias("b"))
-        .select("_conv", "_turn", F.col("b._from").alias("_to"))
-    )
-    n_quoted = lines.filter("_level > 0").groupBy("_conv", "_turn").agg(F.count("*").alias("_quoted"))
+    met = _answered(lines)
+    n_quoted = materialise(lines.filter("_level > 0").groupBy("_conv", "_turn").agg(F.count("*").alias("_quoted")))
     up = materialise(
         whole.select("_conv", "_turn").join(met, ["_conv", "_turn"], "left").select(
             "_conv", "_turn", F.col("_to"), F.coalesce("_to", "_turn").alias("_root")
         )
     )
+    drop(lines)
+    before = up
     for _ in range(MOST_ROUNDS):
         above = up.select("_conv", F.col("_turn").alias("_root"), F.col("_root").alias("_next"))
         more = materialise(
             up.join(above, ["_conv", "_root"], "left").select("_conv", "_turn", "_to", F.coalesce("_next", "_root").alias("_new"), F.col("_root").alias("_old"))
         )
         changed = not more.filter("_new <> _old").isEmpty()
+        drop(before)
+        before = more
         up = more.select("_conv", "_turn", "_to", F.col("_new").alias("_root"))
         if not changed:
             break
