@@ -11,7 +11,7 @@ Lines of LONG words or more pass a lossless sieve first: of two lines within one
 first HEAD words or the last HEAD words are equal. A line that shares neither with another
 line has no neighbour and emits nothing, so the variants stay far below the words of the
 corpus. Shorter lines (and those of LONG words, which may meet them) emit theirs as they are.
-Exact copies need no variants and meet by their hash.
+Exact copies need no variants and meet by two hashes, 128 bits.
 
 Only groups' minima are kept, never pairs: a line that a third of all documents carry is one
 row after partial aggregation.
@@ -58,6 +58,11 @@ def _ends(line: Column) -> Column:
     return F.array(F.xxhash64(F.lit(0), front), F.xxhash64(F.lit(1), back))
 
 
+def _other(line: str) -> Column:
+    """A second hash of a line: lines are equal when both are, and none goes for a collision of one."""
+    return F.xxhash64(F.lit(1), line)
+
+
 def _first(c: str = "_first") -> Column:
     """The earliest place of a group; nulls of doc_id come first, as Spark orders structs."""
     return F.min(F.struct(F.col("_doc").alias("doc"), F.col("_at").alias("at"))).alias(c)
@@ -68,22 +73,22 @@ def later_lines(documents: DataFrame, near_from: int = NEAR_WORDS) -> DataFrame:
     n = F.col("_n")
     table = materialise(
         _lines(documents).select(
-            "_doc", "_text", "_at", F.xxhash64("_line").alias("_h"),
+            "_doc", "_text", "_at", F.xxhash64("_line").alias("_h"), _other("_line").alias("_k"),
             F.when((n >= LONG) & (n >= near_from), _ends(F.col("_line"))).alias("_ends"),
             F.when((n <= LONG) & (n >= near_from), F.col("_line")).alias("_line"),
         )
     )
     first = materialise(
-        table.groupBy("_h").agg(_first(), F.count("*").alias("_copies"), F.first("_ends").alias("_ends"), F.first("_line").alias("_line"))
+        table.groupBy("_h", "_k").agg(_first(), F.count("*").alias("_copies"), F.first("_ends").alias("_ends"), F.first("_line").alias("_line"))
     )
     near = _near(documents, first, near_from)
-    odd = first.filter(F.col("_copies") > 1).select("_h", "_first").join(
-        near.withColumnRenamed("_h", "_g"), F.col("_h") == F.col("_g"), "full"
-    ).select(F.coalesce("_h", "_g").alias("_o"), "_first", F.coalesce("_is_near", F.lit(False)).alias("_is_near"))
+    odd = first.filter(F.col("_copies") > 1).select("_h", "_k", "_first").join(
+        near.select(F.col("_h").alias("_g"), F.col("_k").alias("_l"), "_is_near"), (F.col("_h") == F.col("_g")) & (F.col("_k") == F.col("_l")), "full"
+    ).select(F.coalesce("_h", "_g").alias("_o"), F.coalesce("_k", "_l").alias("_p"), "_first", F.coalesce("_is_near", F.lit(False)).alias("_is_near"))
     odd = materialise(odd)
     drop(first, near)
     place = F.struct(F.col("_doc").alias("doc"), F.col("_at").alias("at"))
-    gone = table.select("_doc", "_text", "_at", "_h").join(small_enough(odd), F.col("_h") == F.col("_o")).filter(
+    gone = table.select("_doc", "_text", "_at", "_h", "_k").join(small_enough(odd), (F.col("_h") == F.col("_o")) & (F.col("_k") == F.col("_p"))).filter(
         F.col("_is_near") | (place > F.col("_first"))
     )
     out = materialise(gone.groupBy("_doc", "_text").agg(F.sort_array(F.collect_set("_at")).alias("_gone")))  # of one document
@@ -99,7 +104,7 @@ def _flags(places: Column) -> Column:
 
 
 def _long_lines(documents: DataFrame, first: DataFrame, near_from: int) -> DataFrame:
-    """_h, _first, _line, _n of the lines of over LONG words that share an end with another line, each read once, at its earliest place."""
+    """_h, _k, _first, _line, _n of the lines of over LONG words that share an end with another line, each read once, at its earliest place."""
     ends = first.filter(F.col("_ends").isNotNull()).select("_h", F.explode("_ends").alias("_key"))
     shared = ends.groupBy("_key").agg(F.min("_h").alias("a"), F.max("_h").alias("b")).filter(F.col("a") != F.col("b"))
     able = materialise(ends.join(shared.select("_key"), "_key", "left_semi").select("_h").distinct())
@@ -113,8 +118,8 @@ def _long_lines(documents: DataFrame, first: DataFrame, near_from: int) -> DataF
     read = docs.join(small_enough(at), F.col("_id").eqNullSafe(F.col("_doc"))).select("_doc", F.explode(wanted).alias("_x"))
     line = read.filter("_x.line is not null").select("_doc", F.col("_x.at").alias("_at"), norm(F.col("_x.line")).alias("_line"))
     out = materialise(
-        line.withColumn("_h", F.xxhash64("_line")).withColumn("_n", _count(F.col("_line"))).filter((F.col("_n") > LONG) & (F.col("_n") >= near_from))
-        .groupBy("_h").agg(_first(), F.first("_line").alias("_line"), F.first("_n").alias("_n"))
+        line.withColumn("_h", F.xxhash64("_line")).withColumn("_k", _other("_line")).withColumn("_n", _count(F.col("_line"))).filter((F.col("_n") > LONG) & (F.col("_n") >= near_from))
+        .groupBy("_h", "_k").agg(_first(), F.first("_line").alias("_line"), F.first("_n").alias("_n"))
     )
     drop(able, at)
     return out
@@ -134,9 +139,9 @@ def _variants(lines: DataFrame) -> DataFrame:
 
 
 def _near(documents: DataFrame, first: DataFrame, near_from: int) -> DataFrame:
-    """_h, _is_near (true) of the lines that have an earlier line within one edit."""
+    """_h, _k, _is_near (true) of the lines that have an earlier line within one edit."""
     long = _long_lines(documents, first, near_from)
-    lines = first.filter(F.col("_line").isNotNull()).select("_h", "_first", "_line").unionByName(long.select("_h", "_first", "_line"))
+    lines = first.filter(F.col("_line").isNotNull()).select("_h", "_k", "_first", "_line").unionByName(long.select("_h", "_k", "_first", "_line"))
     every = materialise(_variants(lines))
     # variants that one line alone has meet nothing
     met = every.groupBy("_v").agg(F.min("_h").alias("a"), F.max("_h").alias("b")).filter(F.col("a") != F.col("b")).select("_v")
@@ -157,9 +162,9 @@ def _near(documents: DataFrame, first: DataFrame, near_from: int) -> DataFrame:
         .unionByName(shrunk.select("_h", F.col("_w.h").alias("_g")))
         .distinct()
     )
-    texts = lines.select("_h", F.split("_line", " ").alias("x"))
+    texts = lines.select("_h", "_k", F.split("_line", " ").alias("x"))
     seen = pairs.join(texts, "_h").join(texts.select(F.col("_h").alias("_g"), F.col("x").alias("y")), "_g")
-    out = materialise(seen.filter(one_edit(F.col("x"), F.col("y"))).select("_h").distinct().withColumn("_is_near", F.lit(True)))
+    out = materialise(seen.filter(one_edit(F.col("x"), F.col("y"))).select("_h", "_k").distinct().withColumn("_is_near", F.lit(True)))
     drop(long, variants)
     return out
 
