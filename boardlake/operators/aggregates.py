@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from boardlake.constants import DAY
 from boardlake.functions.dates import posting_epoch, window_seconds
-from boardlake.functions.geo import _ANSWERS, located
+from boardlake.functions.geo import _ANSWERS, entries
 from boardlake.functions.sources import infer_source
 from boardlake.functions.text import title_words
 from boardlake.operators import filters
@@ -34,19 +34,28 @@ def facets(df: DataFrame, cap: int = FACET_CAP) -> DataFrame:
     """facet, value, n: states, cities ("City|ST"), companies, words of titles and sources, the cap most frequent of each by n and
     then by value; and as facet total the numbers of all, visible, hidden and paid postings.
 
-    df has the entries of its locations. A row's values are exploded side by side and counted together.
+    A row's location, title, company and source are exploded side by side and counted; locations are parsed and titles split
+    after that, once for each distinct one.
     """
     pair = lambda name, c: F.struct(F.lit(name).alias("facet"), c.alias("value"))
-    one = lambda name, c: F.array(pair(name, c))
+    paid = F.coalesce("pay_max", "pay_min", F.lit(0.0)) > 0
+    raw = F.array_compact(
+        F.array(
+            pair("location", F.col("location")), pair("title", F.col("position_name")), pair("company", F.nullif(F.trim("company_name"), F.lit(""))),
+            pair("source", F.coalesce(infer_source(F.col("job_posting_url")), F.lit("unknown"))),
+            pair("total", F.lit("all")), pair("total", F.when(F.col("hidden"), "hidden").otherwise("visible")), F.when(paid, pair("total", F.lit("with_pay"))),
+        )
+    )
+    some = df.select(F.explode(raw).alias("v")).filter("v.value is not null").groupBy("v.facet", "v.value").agg(F.count("*").alias("n"))
+    found = F.when(F.col("facet") == "location", entries(F.col("value")))
+    some = some.withColumn("entries", found)
     states = F.array_distinct(F.transform(F.filter("entries", lambda e: (e["country"] == "US") & e["state"].isNotNull()), lambda e: e["state"]))
     cities = F.transform(F.filter("entries", lambda e: e["city"].isNotNull() & e["state"].isNotNull()), lambda e: F.concat_ws("|", e["city"], e["state"]))
-    paid = F.coalesce("pay_max", "pay_min", F.lit(0.0)) > 0
-    totals = F.array_compact(F.array(pair("total", F.lit("all")), pair("total", F.when(F.col("hidden"), "hidden").otherwise("visible")), F.when(paid, pair("total", F.lit("with_pay")))))
-    values = F.concat(
-        F.transform(states, lambda x: pair("state", x)), F.transform(cities, lambda x: pair("city", x)), one("company", F.nullif(F.trim("company_name"), F.lit(""))),
-        F.transform(title_words(F.col("position_name")), lambda w: pair("title", w)), one("source", F.coalesce(infer_source(F.col("job_posting_url")), F.lit("unknown"))), totals,
+    values = (
+        F.when(F.col("facet") == "location", F.concat(F.transform(states, lambda x: pair("state", x)), F.transform(cities, lambda x: pair("city", x))))
+        .when(F.col("facet") == "title", F.transform(title_words(F.col("value")), lambda w: pair("title", w))).otherwise(F.array(F.struct("facet", "value")))
     )
-    counts = df.select(F.explode(values).alias("v")).filter("v.value is not null").groupBy("v.facet", "v.value").agg(F.count("*").alias("n"))
+    counts = some.select("n", F.explode(values).alias("v")).groupBy("v.facet", "v.value").agg(F.sum("n").alias("n"))
     # the distinct values of a facet, not its rows, are put in order
     rank = F.row_number().over(Window.partitionBy("facet").orderBy(F.desc("n"), "value"))
     return counts.withColumn("_r", rank).filter(F.col("_r") <= cap).drop("_r")
@@ -63,7 +72,7 @@ c AS (SELECT facet, value, count(*) AS n FROM v GROUP BY 1, 2)
 SELECT facet, value, n FROM (SELECT *, row_number() OVER (PARTITION BY facet ORDER BY n DESC, value) AS r FROM c) WHERE r <= 20000"""
 )
 def ag_facets(spark, sf_dir) -> DataFrame:
-    return facets(located(spark, sf_dir))
+    return facets(postings(spark, sf_dir))
 
 
 @query(

@@ -48,6 +48,27 @@ def top_k(column: str, descending: bool = True) -> list[Column]:
     return [F.desc_nulls_last(column) if descending else F.asc_nulls_first(column), F.desc("posting_id")]
 
 
+def tops(df: DataFrame, k: int) -> DataFrame:
+    """by ("column ASC" or "column DESC"), posting_id: the first k rows in each order that may be asked for.
+
+    A row is written once for each column beside its value, as number or text; one pass finds the first k upwards, one downwards,
+    and each task sends at most k rows an order on.
+    """
+    kinds = dict(df.dtypes)
+    text = lambda c: kinds[c] == "string"
+    value = lambda c: F.struct(
+        F.lit(c).alias("column"), (F.lit(None).cast("double") if text(c) else F.col(c).cast("double")).alias("number"), (F.col(c) if text(c) else F.lit(None).cast("string")).alias("text")
+    )
+    each = df.select("posting_id", F.explode(F.array(*map(value, TOP_COLUMNS))).alias("x")).select("posting_id", "x.*")
+
+    def first(way: str) -> DataFrame:
+        by = [f(c) for c in ("number", "text") for f in ([F.desc_nulls_last] if way == "DESC" else [F.asc_nulls_first])]
+        rank = F.row_number().over(Window.partitionBy("column").orderBy(*by, F.desc("posting_id")))
+        return each.withColumn("_r", rank).filter(F.col("_r") <= k).select(F.concat_ws(" ", "column", F.lit(way)).alias("by"), "posting_id")
+
+    return first("ASC").unionByName(first("DESC"))
+
+
 def after(last_seen: int, posting_id: int, sort: str = "recent") -> Column:
     """Rows after a cursor in the order recent or first_seen."""
     column = {"recent": "last_seen_epoch", "first_seen": "first_seen_epoch"}[sort]
@@ -117,11 +138,7 @@ def jn_unscored(spark, sf_dir) -> DataFrame:
 )
 def or_top_k(spark, sf_dir) -> DataFrame:
     """The first twenty postings by each column, up and down."""
-    df, parts = postings(spark, sf_dir), []
-    for c in TOP_COLUMNS:
-        for d in ("ASC", "DESC"):
-            parts.append(df.orderBy(*top_k(c, d == "DESC")).limit(20).select(F.lit(f"{c} {d}").alias("by"), "posting_id"))
-    return reduce(DataFrame.unionByName, parts)
+    return tops(postings(spark, sf_dir), 20).select("by", "posting_id")
 
 
 @query(
