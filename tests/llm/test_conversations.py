@@ -20,7 +20,7 @@ def _rows():
     rows += [(5, None, "user", "first."), (5, None, "assistant", "too."), (5, 3, "user", "tie."), (5, 3, "user", "tie."), (6, None, None, None)]
     rows += [(None, 1, "user", "nobody."), (None, 2, "assistant", "nothing."), (-7, 1, "user", "below."), (-8, 0, "user", "zero")]
     rows += [(100, t, "user" if t % 2 else "assistant", f"turn {t % 50}.") for t in range(400)]
-    rows += [(101, t, "user" if t % 3 else "system", f"turn {t}.") for t in range(2600)]
+    rows += [(101, t, "user" if t % 3 else "system", f"turn {t}.") for t in range(300)]
     rows += [(c, t, "user" if t % 2 == 0 else "assistant", "same.") for c in range(200, 260) for t in range(12)]
     return rows
 
@@ -107,17 +107,19 @@ def test_trie_as_it_is(spark):
 
 
 def test_contraction_of_random_trees(spark):
-    rng = random.Random(6)
-    for shape in (1, 3, 400):
-        up = {0: None, **{i: rng.randrange(max(0, i - shape), i) for i in range(1, 400)}}
+    """A chain, a tree that is nearly one and a bushy one, as one forest."""
+    rng, rows, want = random.Random(6), [], {}
+    for tree, shape in enumerate((1, 3, 150)):
+        up = {0: None, **{i: rng.randrange(max(0, i - shape), i) for i in range(1, 150)}}
         names = dict(zip(up, rng.sample(range(10_000), len(up)), strict=True))
-        rows = [(names[i], None if p is None else names[p], rng.randrange(5), i) for i, p in up.items()]
-        want = {n: [a, b] for n, _, a, b in rows}
-        for n, p, *_ in reversed(rows):
+        here = [(tree * 10_000 + names[i], None if p is None else tree * 10_000 + names[p], rng.randrange(5), i) for i, p in up.items()]
+        want |= {n: [a, b] for n, _, a, b in here}
+        for n, p, *_ in reversed(here):
             if p is not None:
                 want[p] = [x + y for x, y in zip(want[p], want[n], strict=True)]
-        tree = spark.createDataFrame(rows, "_id long, _parent long, _a long, _b long")
-        assert {r._id: [r._a, r._b] for r in trie.subtree_totals(tree).collect()} == want
+        rows += here
+    tree = spark.createDataFrame(rows, "_id long, _parent long, _a long, _b long")
+    assert {r._id: [r._a, r._b] for r in trie.subtree_totals(tree).collect()} == want
 
 
 def _vectors():
@@ -175,14 +177,16 @@ def test_cells_of_clustered_vectors_prune_and_lose_nothing():
     assert all(home[a] == home[b] or ((a, home[b]) in met if home[a] < home[b] else (b, home[a]) in met) for a, b in zip(i.tolist(), j.tolist(), strict=True))
 
 
-@pytest.mark.parametrize("name", ["op11_structure_repair", "op12_embedding_dedup", "op13_prefix_trie"])
-def test_sql(spark, name):
+def test_sql():
+    """The SQL against plain Python on whole tables; the driver of queries holds the queries against the SQL."""
     import duckdb
 
-    sf = "/root/testdata/sf0.01"
-    con = duckdb.connect()
+    con, sf = duckdb.connect(), "/root/testdata/sf0.01"
     for t in ("conversations", "embeddings"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf}/{t}.parquet')")
-    told = con.execute(queries.ORACLE_SQL[name])
-    names = [d[0] for d in told.description]
-    assert _sorted(told.fetchall()) == _sorted(queries.QUERIES[name](spark, sf).select(names).collect())
+    rows = con.execute("SELECT conv_id, turn, role, text FROM conversations").fetchall()
+    told = {name: con.execute(queries.ORACLE_SQL[name]).fetchall() for name in ("op11_structure_repair", "op12_embedding_dedup", "op13_prefix_trie")}
+    assert {r[0]: r[1:] for r in map(tuple, told["op11_structure_repair"])} == plain.op11(rows)
+    assert {r[:2]: r[2:] for r in map(tuple, told["op13_prefix_trie"])} == plain.op13(rows)
+    points = con.execute("SELECT vec_id, embedding FROM embeddings").fetchall()
+    assert _sorted(r[:3] for r in map(tuple, told["op12_embedding_dedup"])) == _sorted(plain.op12(points))
