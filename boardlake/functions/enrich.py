@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from boardlake.registry import query
 from boardlake.sources.postings import POSTINGS, postings
 
+# Markup that is no text, and markup that ends a line.
 _BLOCKS = r"(?is)<(?:script|style|noscript|svg)\b.*?</(?:script|style|noscript|svg)>|<!--.*?-->"
 _BREAKS = r"(?i)<(?:br|/p|/div|/li|/h[1-6]|/tr)\b[^>]*>"
 

@@ -107,7 +107,7 @@ def sc_title_words(spark, sf_dir) -> DataFrame:
     return postings(spark, sf_dir).select(F.explode(title_words(F.col("position_name"))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
 
 
-#: What a page says whose posting is gone; searched without case in the first 8,000 characters of the page's text.
+#: What a page says whose posting is gone; searched without case in the first 8,000 characters of the page's text.
 GONE = (
     "job (?:posting |opening )?(?:was |is )?not found",
     "(?:position|job|posting|opening|role) (?:is |has been |was )?(?:no longer|not) (?:available|active|open|accepting)",
@@ -117,7 +117,7 @@ GONE = (
     "page (?:you(?:'| a)re looking for )?(?:could not be found|doesn'?t exist|cannot be found|was not found)",
     "sorry.{0,40}(?:job|page|posting).{0,40}(?:not found|no longer exists|doesn'?t exist)",
 )
-#: What a page says that wants an account.
+#: What a page says that wants an account.
 ACCOUNT = (
     "h-?captcha|re-?captcha|turnstile",
     "(?:sign|log) ?in to (?:apply|continue|your account)",
