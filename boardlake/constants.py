@@ -31,21 +31,35 @@ STATES = {
 }
 #: Codes and names of countries by region; more names of some below.
 _BY_REGION = {
-    "AMER": """US United States; CA Canada; MX Mexico; BR Brazil; AR Argentina; CL Chile; CO Colombia; PE Peru; VE Venezuela; EC Ecuador; BO Bolivia; PY Paraguay; UY Uruguay;
-        CR Costa Rica; PA Panama; GT Guatemala; HN Honduras; SV El Salvador; NI Nicaragua; BZ Belize; CU Cuba; DO Dominican Republic; HT Haiti; JM Jamaica; TT Trinidad and Tobago;
-        BS Bahamas; BB Barbados; GY Guyana; SR Suriname; PR Puerto Rico""",
-    "EMEA": """GB United Kingdom; IE Ireland; FR France; DE Germany; ES Spain; PT Portugal; IT Italy; NL Netherlands; BE Belgium; LU Luxembourg; CH Switzerland; AT Austria; PL Poland;
-        CZ Czech Republic; SK Slovakia; HU Hungary; RO Romania; BG Bulgaria; GR Greece; HR Croatia; SI Slovenia; RS Serbia; BA Bosnia and Herzegovina; ME Montenegro; MK North Macedonia;
-        AL Albania; DK Denmark; SE Sweden; NO Norway; FI Finland; IS Iceland; EE Estonia; LV Latvia; LT Lithuania; UA Ukraine; BY Belarus; MD Moldova; RU Russia; TR Turkey; CY Cyprus; MT Malta;
-        IL Israel; JO Jordan; LB Lebanon; SA Saudi Arabia; AE United Arab Emirates; QA Qatar; KW Kuwait; BH Bahrain; OM Oman; YE Yemen; IQ Iraq; IR Iran; SY Syria; EG Egypt; MA Morocco;
-        DZ Algeria; TN Tunisia; LY Libya; SD Sudan; ET Ethiopia; KE Kenya; UG Uganda; TZ Tanzania; RW Rwanda; NG Nigeria; GH Ghana; CI Ivory Coast; SN Senegal; ML Mali; CM Cameroon;
-        CD Democratic Republic of the Congo; AO Angola; ZM Zambia; ZW Zimbabwe; BW Botswana; NA Namibia; MZ Mozambique; MG Madagascar; MU Mauritius; ZA South Africa""",
-    "APAC": """AU Australia; NZ New Zealand; CN China; HK Hong Kong; MO Macau; TW Taiwan; JP Japan; KR South Korea; KP North Korea; IN India; PK Pakistan; BD Bangladesh; LK Sri Lanka; NP Nepal;
-        BT Bhutan; MV Maldives; TH Thailand; VN Vietnam; MY Malaysia; SG Singapore; ID Indonesia; PH Philippines; KH Cambodia; LA Laos; MM Myanmar; BN Brunei; MN Mongolia; FJ Fiji;
-        PG Papua New Guinea; AF Afghanistan; KZ Kazakhstan; UZ Uzbekistan""",
+    "AMER": {
+        "US": "United States", "CA": "Canada", "MX": "Mexico", "BR": "Brazil", "AR": "Argentina", "CL": "Chile", "CO": "Colombia", "PE": "Peru",
+        "VE": "Venezuela", "EC": "Ecuador", "BO": "Bolivia", "PY": "Paraguay", "UY": "Uruguay", "CR": "Costa Rica", "PA": "Panama", "GT": "Guatemala",
+        "HN": "Honduras", "SV": "El Salvador", "NI": "Nicaragua", "BZ": "Belize", "CU": "Cuba", "DO": "Dominican Republic", "HT": "Haiti",
+        "JM": "Jamaica", "TT": "Trinidad and Tobago", "BS": "Bahamas", "BB": "Barbados", "GY": "Guyana", "SR": "Suriname", "PR": "Puerto Rico",
+    },
+    "EMEA": {
+        "GB": "United Kingdom", "IE": "Ireland", "FR": "France", "DE": "Germany", "ES": "Spain", "PT": "Portugal", "IT": "Italy", "NL": "Netherlands",
+        "BE": "Belgium", "LU": "Luxembourg", "CH": "Switzerland", "AT": "Austria", "PL": "Poland", "CZ": "Czech Republic", "SK": "Slovakia",
+        "HU": "Hungary", "RO": "Romania", "BG": "Bulgaria", "GR": "Greece", "HR": "Croatia", "SI": "Slovenia", "RS": "Serbia",
+        "BA": "Bosnia and Herzegovina", "ME": "Montenegro", "MK": "North Macedonia", "AL": "Albania", "DK": "Denmark", "SE": "Sweden", "NO": "Norway",
+        "FI": "Finland", "IS": "Iceland", "EE": "Estonia", "LV": "Latvia", "LT": "Lithuania", "UA": "Ukraine", "BY": "Belarus", "MD": "Moldova",
+        "RU": "Russia", "TR": "Turkey", "CY": "Cyprus", "MT": "Malta", "IL": "Israel", "JO": "Jordan", "LB": "Lebanon", "SA": "Saudi Arabia",
+        "AE": "United Arab Emirates", "QA": "Qatar", "KW": "Kuwait", "BH": "Bahrain", "OM": "Oman", "YE": "Yemen", "IQ": "Iraq", "IR": "Iran",
+        "SY": "Syria", "EG": "Egypt", "MA": "Morocco", "DZ": "Algeria", "TN": "Tunisia", "LY": "Libya", "SD": "Sudan", "ET": "Ethiopia",
+        "KE": "Kenya", "UG": "Uganda", "TZ": "Tanzania", "RW": "Rwanda", "NG": "Nigeria", "GH": "Ghana", "CI": "Ivory Coast", "SN": "Senegal",
+        "ML": "Mali", "CM": "Cameroon", "CD": "Democratic Republic of the Congo", "AO": "Angola", "ZM": "Zambia", "ZW": "Zimbabwe", "BW": "Botswana",
+        "NA": "Namibia", "MZ": "Mozambique", "MG": "Madagascar", "MU": "Mauritius", "ZA": "South Africa",
+    },
+    "APAC": {
+        "AU": "Australia", "NZ": "New Zealand", "CN": "China", "HK": "Hong Kong", "MO": "Macau", "TW": "Taiwan", "JP": "Japan", "KR": "South Korea",
+        "KP": "North Korea", "IN": "India", "PK": "Pakistan", "BD": "Bangladesh", "LK": "Sri Lanka", "NP": "Nepal", "BT": "Bhutan", "MV": "Maldives",
+        "TH": "Thailand", "VN": "Vietnam", "MY": "Malaysia", "SG": "Singapore", "ID": "Indonesia", "PH": "Philippines", "KH": "Cambodia",
+        "LA": "Laos", "MM": "Myanmar", "BN": "Brunei", "MN": "Mongolia", "FJ": "Fiji", "PG": "Papua New Guinea", "AF": "Afghanistan",
+        "KZ": "Kazakhstan", "UZ": "Uzbekistan",
+    },
 }
-COUNTRY_REGIONS = {entry.split()[0]: r for r, text in _BY_REGION.items() for entry in text.split(";")}
-COUNTRY_NAMES = {entry.split()[0]: " ".join(entry.split()[1:]) for text in _BY_REGION.values() for entry in text.split(";")}
+COUNTRY_REGIONS = {code: region for region, names in _BY_REGION.items() for code in names}
+COUNTRY_NAMES = {code: name for names in _BY_REGION.values() for code, name in names.items()}
 #: Country names that end a location, and their codes.
 COUNTRIES = {name.lower(): code for code, name in COUNTRY_NAMES.items()} | {
     "uk": "GB", "great britain": "GB", "england": "GB", "scotland": "GB", "wales": "GB", "united states of america": "US", "usa": "US", "us": "US", "u s a": "US", "holland": "NL",
