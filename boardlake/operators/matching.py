@@ -44,20 +44,28 @@ def gaps(demands: Column, resume_stems: Column, strict: bool) -> Column:
     return F.filter(real, lambda d: met(d) < F.when(F.size(words(d)) == 1, 1).otherwise(2))
 
 
+def demands(text: Column) -> Column:
+    """What a description asks for, but for soft demands and those without words."""
+    return F.get(F.transform(F.array(sections(text)["requirements"]), lambda every: F.filter(every, lambda d: ~d.rlike(SOFT) & (F.size(words(d)) > 0))), F.lit(0))
+
+
 def match_scores(described: DataFrame, resumes: DataFrame) -> DataFrame:
     """For each posting and résumé (resume_key, text; a handful): demands, those met, percent, gaps.
 
-    Sections are read once for each posting; résumés come as rows of stems.
+    Sections are read once for each posting; résumés come as rows of stems, broadcast, as a join that deals both sides would read
+    the sections again for each part of the résumés.
     """
-    read = described.select("posting_id", sections(F.col("job_description"))["requirements"].alias("_d"))
-    read = read.select("posting_id", F.filter("_d", lambda d: ~d.rlike(SOFT) & (F.size(words(d)) > 0)).alias("_d"))
     told = resumes.select("resume_key", stems(F.col("text")).alias("_s"))
-    # every posting against each of a user's few résumés; Spark broadcasts them as long as they are small
-    out = read.crossJoin(told).withColumn("unmatched", gaps(F.col("_d"), F.col("_s"), True)).withColumn("total", F.size("_d"))
+    return scored(described.select("posting_id", demands(F.col("job_description")).alias("_d")).crossJoin(F.broadcast(told)))
+
+
+def scored(pairs: DataFrame, *more: str) -> DataFrame:
+    """Scores of rows of posting_id, resume_key, demands _d and a résumé's stems _s; more names columns that stay."""
+    out = pairs.withColumn("unmatched", gaps(F.col("_d"), F.col("_s"), True)).withColumn("total", F.size("_d"))
     matched = F.col("total") - F.size("unmatched")
     return out.select(
         "posting_id", "resume_key", "total", matched.alias("matched"),
-        F.when(F.col("total") > 0, matched * 100.0 / F.col("total")).cast("double").alias("match_percent"), F.slice("unmatched", 1, 5).alias("unmatched"),
+        F.when(F.col("total") > 0, matched * 100.0 / F.col("total")).cast("double").alias("match_percent"), F.slice("unmatched", 1, 5).alias("unmatched"), *more,
     )
 
 
