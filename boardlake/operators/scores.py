@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from boardlake.functions.enrich import DEMANDS, with_line
-from boardlake.operators.matching import RESUMES, match_scores, words
+from boardlake.operators.matching import RESUMES, demands, scored, stems, words
 from boardlake.operators.searchindex import _fs
 from boardlake.registry import query
 from boardlake.sources.folders import shared_folder
@@ -32,17 +32,14 @@ def current(spark: SparkSession, folder: str) -> DataFrame:
 
 def pending(described: DataFrame, resumes: DataFrame, scored: DataFrame) -> DataFrame:
     """posting_id, resume_key, uploaded_at without a score: new postings, late descriptions and changed résumés alike."""
-    keys = resumes.select("resume_key", "uploaded_at")  # a user's few
+    keys = F.broadcast(resumes.select("resume_key", "uploaded_at"))  # a user's few
     known = scored.select("posting_id", "resume_key", "uploaded_at")
     return described.select("posting_id").crossJoin(keys).join(known, ["posting_id", "resume_key", "uploaded_at"], "left_anti")
 
 
-def overlap(text: Column, resume: Column, most: int = MOST_OVERLAP) -> Column:
-    """Words of a text that a résumé has, the most frequent in the text first, then by name."""
-    have = F.array_distinct(words(resume))
-    every = words(text)
-    shared = F.array_intersect(every, have)
-    counted = F.transform(shared, lambda w: F.struct((-F.size(F.filter(every, lambda x: x == w))).alias("n"), w.alias("w")))
+def overlap(every: Column, have: Column, most: int = MOST_OVERLAP) -> Column:
+    """Words of a text (every) that a résumé has, the most frequent in the text first, then by name."""
+    counted = F.transform(F.array_intersect(every, have), lambda w: F.struct((-F.size(F.filter(every, lambda x: x == w))).alias("n"), w.alias("w")))
     return F.transform(F.slice(F.array_sort(counted), 1, most), lambda s: s["w"])
 
 
@@ -50,17 +47,21 @@ def score_pass(described: DataFrame, resumes: DataFrame, folder: str) -> DataFra
     """Score what is pending and append it to the scores in folder, by résumé; returns resume_key, scored.
 
     described has posting_id and job_description, resumes resume_key, text and uploaded_at. Descriptions of postings with nothing pending
-    are not read into sections.
+    are not read into sections. A description is shuffled once, and its sections and words are read once for all résumés that wait for it.
     """
     spark = described.sparkSession
-    due = pending(described, resumes, stored(spark, folder))
-    of = due.select("posting_id").distinct()
-    made = match_scores(described.join(of, "posting_id", "left_semi"), resumes).join(due, ["posting_id", "resume_key"])
-    shared = described.join(due, "posting_id").join(resumes.select("resume_key", "text"), "resume_key").select(
-        "posting_id", "resume_key", overlap(F.col("job_description"), F.col("text")).alias("overlap")
+    due = pending(described, resumes, stored(spark, folder)).filter("posting_id is not null")
+    waiting = due.groupBy("posting_id").agg(F.collect_list(F.struct("resume_key", "uploaded_at")).alias("_due"))
+    text = F.col("job_description")
+    told = resumes.select("resume_key", stems(F.col("text")).alias("_s"), F.array_distinct(words(F.col("text"))).alias("_have"))
+    asked = told.agg(F.array_distinct(F.flatten(F.collect_list("_have"))).alias("_all"))  # of a description's words only these are ever counted
+    read = described.join(waiting.hint("shuffle_hash"), "posting_id").crossJoin(F.broadcast(asked)).select(
+        "posting_id", demands(text).alias("_d"), F.filter(words(text), lambda w: F.array_contains("_all", w)).alias("_w"), "_due"
     )
+    pairs = read.select("posting_id", "_d", "_w", F.explode("_due").alias("_due")).select("posting_id", "_d", "_w", "_due.resume_key", "_due.uploaded_at")
+    pairs = pairs.join(F.broadcast(told), "resume_key").withColumn("overlap", overlap(F.col("_w"), F.col("_have")))
     place = f"{folder}-new"
-    made.join(shared, ["posting_id", "resume_key"]).select(*[c.split()[0] for c in _SCORES.split(", ")]).write.mode("overwrite").parquet(place)
+    scored(pairs, "overlap", "uploaded_at").select(*[c.split()[0] for c in _SCORES.split(", ")]).write.mode("overwrite").parquet(place)
     new = spark.read.schema(_SCORES).parquet(place)  # read once more by the append and the count, not computed again
     new.write.mode("append").partitionBy("resume_key").parquet(folder)
     return new.groupBy("resume_key").agg(F.count("*").alias("scored"))
